@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Pre-tokens kept by one worker; the cache starts anew beyond that.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 #: The pre-token pattern of byte-level BPE, over characters for which \w and \d agree with \p{L} and \p{N}.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -146,11 +146,15 @@ class Encoder:
         while used <= budget:
             used += sizes[k]
             k += 1
-        head = "".join(pieces[: k + 2])  # prefixes that reach further start beyond the budget
-        while k + 2 < len(pieces) and pieces[k + 1].isspace():
-            k += 1
-            head += pieces[k + 1]
-        return total, PrefixCounts(self, head).longest(budget)
+        # the last prefix within the budget ends near pre-token k: look there, from a pre-token that begins a new run
+        first = max(0, k - 4)
+        while first and pieces[first].isspace():
+            first -= 1
+        stop = k + 1
+        while stop < len(pieces) and pieces[stop - 1].isspace():
+            stop += 1
+        tail = PrefixCounts(self, "".join(pieces[first : stop + 1]))
+        return total, sum(map(len, pieces[:first])) + tail.longest(budget - sum(sizes[:first]))
 
     def prefixes(self, text: str) -> "PrefixCounts":
         return PrefixCounts(self, text)

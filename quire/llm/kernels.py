@@ -100,7 +100,7 @@ def _cuts(data: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, hashes: bool = True, block: int = BLOCK):
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, lower-cased A-Z: (hash of each word or None, words per text).
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, lower-cased A-Z: (hash of each word or None, words per text, first byte of each word).
 
     Words of one text never join those of the next, even where no white space stands between the two.
     """
@@ -129,7 +129,7 @@ def words(data: np.ndarray, offsets: np.ndarray, hashes: bool = True, block: int
                 found.append(mix(h + (ends - starts).astype(np.uint64) * _MUL))
     heads = np.concatenate(heads) if heads else np.zeros(0, np.int64)
     counts = np.diff(np.searchsorted(heads, offsets))
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)) if hashes else None, counts
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)) if hashes else None, counts, heads
 
 
 def shingles(word_hashes: np.ndarray, counts: np.ndarray, k: int) -> Iterator[np.ndarray]:

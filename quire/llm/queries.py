@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import scratch
-from quire.llm import mixing, token_counts, token_orc
+from quire.llm import language, mixing, secrets, token_counts, token_orc
+from quire.llm.folds import held_out
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -26,6 +27,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query
+def op1_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    found = secrets.find_secrets(_read(spark, sf_dir, "documents"))
+    base = digest(F.filter("spans", lambda s: s["kind"] != "markov"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base.cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), "n_markov")
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_read(spark, sf_dir, "documents"))
