@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import scratch
-from quire.llm import language, mixing, quality, secrets, token_counts, token_orc
+from quire.llm import html, language, mixing, quality, secrets, token_counts, token_orc
 from quire.llm.folds import held_out
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -57,6 +57,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("_row")).drop("_row")
 
 
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 @query
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "token-orc")
