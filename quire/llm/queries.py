@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import scratch
-from quire.llm import html, language, mixing, quality, secrets, token_counts, token_orc
+from quire.llm import html, language, mixing, quality, secrets, token_counts, token_orc, vectors
 from quire.llm.folds import held_out
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,11 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
 
+@query
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "token-orc")
