@@ -7,8 +7,10 @@ other text (other scripts, control characters, special strings) goes through the
 
 from __future__ import annotations
 
+import array
 import functools
 import re
+import sys
 
 import numpy as np
 
@@ -27,20 +29,37 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Memo(dict):
+    """A dictionary that makes what it lacks, and starts anew when it is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
     """One vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
         import os
 
+        if sys.byteorder != "little" or array.array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as the machine's own little-endian 32-bit integers")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self._model = self.library.model
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._ids: dict[str, bytes] = {}
-        self._sums: dict[str, int] = {}
-        self._tables: dict[str, tuple[int, ...]] = {}
+        self._ids = _Memo(self._encode_piece)
+        self._sums = _Memo(lambda piece: self._fill(piece)[-1])
+        self._tables = _Memo(self._fill)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._alphabet = _byte_alphabet()
         self._vocab = self.library.get_vocab(with_added_tokens=False)
@@ -54,17 +73,13 @@ class Encoder:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         if not self.plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = _PIECES.findall(text)
-        try:
-            return b"".join(map(self._ids.__getitem__, pieces))
-        except KeyError:
-            missing = [p for p in set(pieces) if p not in self._ids]
-            if len(self._ids) + len(missing) > CACHE_ENTRIES:
-                self._ids.clear()
-                missing = list(set(pieces))
-            for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self._ids[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self._ids.__getitem__, pieces))
+        return b"".join(map(self._ids.__getitem__, _PIECES.findall(text)))
+
+    def _letters(self, piece: str) -> str:
+        return "".join(map(self._alphabet.__getitem__, piece.encode()))
+
+    def _encode_piece(self, piece: str) -> bytes:
+        return array.array("I", [t.id for t in self._model.tokenize(self._letters(piece))]).tobytes()
 
     # -- prefix dynamic programming -------------------------------------------------------------------------------
 
@@ -75,7 +90,7 @@ class Encoder:
         if known is None:
             if len(self._pairs) > 2 * CACHE_ENTRIES:
                 self._pairs.clear()
-            known = self._pairs[key] = [t.value for t in self.library.model.tokenize(left + right)] == [left, right]
+            known = self._pairs[key] = [t.value for t in self._model.tokenize(left + right)] == [left, right]
         return known
 
     def table(self, piece: str) -> tuple[int, ...]:
@@ -84,15 +99,10 @@ class Encoder:
         The last token of each prefix's encoding is the one vocabulary entry that ends there and stays separate from
         the last token of what is before it, so each prefix needs one step from a shorter one and none is encoded.
         """
-        known = self._tables.get(piece)
-        if known is None:
-            if len(self._tables) > CACHE_ENTRIES:
-                self._tables.clear()
-            known = self._tables[piece] = self._fill(piece)
-        return known
+        return self._tables[piece]
 
     def _fill(self, piece: str) -> tuple[int, ...]:
-        s = "".join(map(self._alphabet.__getitem__, piece.encode()))
+        s = self._letters(piece)
         vocab, n = self._vocab, len(s)
         counts, last = [0] * (n + 1), [""] * (n + 1)
         for end in range(1, n + 1):
@@ -104,14 +114,14 @@ class Encoder:
                     counts[end], last[end] = counts[start] + 1, t
                     break
             else:  # no entry fits: count this prefix by the library
-                found = [x.value for x in self.library.model.tokenize(s[:end])]
+                found = [x.value for x in self._model.tokenize(s[:end])]
                 counts[end], last[end] = len(found), found[-1]
         return tuple(counts)
 
     @functools.lru_cache(maxsize=100_000)  # noqa: B019  encoders live as long as the worker
     def _whole(self, token: str) -> bool:
         """Whether BPE over a token's own bytes gives that token."""
-        return len(self.library.model.tokenize(token)) == 1
+        return len(self._model.tokenize(token)) == 1
 
     def count(self, text: str) -> int:
         """Tokens of the whole text: the last entry of the prefix counts."""
@@ -121,16 +131,7 @@ class Encoder:
 
     def sizes(self, pieces: list[str]) -> list[int]:
         """Tokens of each pre-token: the last entry of its table."""
-        sums = self._sums
-        try:
-            return list(map(sums.__getitem__, pieces))
-        except KeyError:
-            if len(sums) > CACHE_ENTRIES:
-                sums.clear()
-            for p in set(pieces):
-                if p not in sums:
-                    sums[p] = self._fill(p)[-1]
-            return list(map(sums.__getitem__, pieces))
+        return list(map(self._sums.__getitem__, pieces))
 
     def fitting(self, text: str, budget: int) -> tuple[int, int]:
         """(tokens of the text, code points of its longest prefix within the budget)."""
