@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import scratch
-from quire.llm import html, jaccard, language, mixing, quality, secrets, token_counts, token_orc, vectors
+from quire.llm import decontaminate, html, jaccard, language, mixing, quality, secrets, token_counts, token_orc, vectors
 from quire.llm.folds import held_out
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -79,6 +79,11 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, share=90)
 
 
+@query
+def op9_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
