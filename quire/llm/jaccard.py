@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import scratch
 from quire.llm import kernels
@@ -209,8 +210,8 @@ def _may_link(share: int, size_a, size_b, a: str, b: str):
     return (least * 100 >= most * share) & (bits * (100 + share) <= (size_a + size_b) * (100 - share))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; two rows link when their sets' Jaccard is at least share / 100."""
+def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (its set, null without words), size, c (the component) of every row."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = scratch.materialize(_signed(docs, n, share), "jaccard-signed")
     nodes = signed.where("first").select("h", "size", *SKETCH_COLUMNS).dropDuplicates(["h"])
@@ -241,6 +242,41 @@ def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80, id_col: str
         more = _links(docs, cross, n, share)
         if more.take(1):
             roots = scratch.materialize(components(links.unionByName(more)), "jaccard-roots")
-    rows = signed.select("doc_id", "h", "size").join(roots, F.col("h") == F.col("node"), "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "h").alias("c"))
+    return signed.select("doc_id", "h", "size").join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", "size", F.coalesce("root", "h").alias("c"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; two rows link when their sets' Jaccard is at least share / 100."""
+    rows = _classified(docs, n, share, id_col, text_col)
     least = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(least, "c", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all its columns, of each component: its smallest id's (null ids last, then by set).
+
+    Of rows with the same id and set one stays; documents without words always stay.
+    """
+    found = scratch.materialize(_classified(docs, n, share, id_col, text_col), "jaccard-found")
+    stays = found.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s")).select("c", F.col("s.doc_id").alias("_id"), F.col("s.h").alias("_h"))
+    stays = scratch.materialize(stays, "jaccard-stays")
+    twice = scratch.materialize(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_twice")), "jaccard-twice")
+    gone = found.where("c is not null").join(stays, "c").where("doc_id <> _id").select(F.col("doc_id").alias("_gone")).join(twice, F.col("_gone") == F.col("_twice"), "left_anti")
+    # the ids to drop are as many as the copies: sent to every task if they are few enough, else the texts are shuffled
+    kept = docs.join(small(scratch.materialize(gone.distinct(), "jaccard-gone")), docs[id_col] == F.col("_gone"), "left_anti")
+    if not twice.take(1):
+        return kept
+    again = kept.join(twice, kept[id_col].eqNullSafe(F.col("_twice")), "left_semi")
+    rest = kept.join(twice, kept[id_col].eqNullSafe(F.col("_twice")), "left_anti")
+    at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = pa.array([node_id(s) if len(s) else None for s in _sets(b, at, n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, "_node"])
+
+    marked = again.mapInArrow(mark, schema)
+    wordless = marked.where("_node is null").drop("_node")
+    chosen = marked.join(stays, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_h")), "left_semi")
+    chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_node").orderBy(text_col))).where("_n = 1").drop("_node", "_n")
+    return rest.unionByName(chosen).unionByName(wordless)

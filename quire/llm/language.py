@@ -111,21 +111,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageFilters([r[0] for r in rows], [r[1] for r in rows])
 
 
+def _predict(f: LanguageFilters, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language number, past the last for ``und``; score; n-grams) of each text of a column."""
+    letters = np.asarray(pc.match_substring_regex(column, r"\p{L}").fill_null(False).cast(pa.uint8())).astype(bool)
+    n = len(column)
+    best, score, total = np.full(n, len(f.names)), np.zeros(n), np.zeros(n, np.int64)
+    if f.names:
+        data, offsets = kernels.strings(_lower(column))
+        for i, j in kernels.slices(offsets, kernels.BLOCK):
+            best[i:j], score[i:j], total[i:j] = f.decide(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    return np.where(letters, best, len(f.names)), np.where(letters, score, 0.0), total
+
+
 def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and the number of n-grams looked up, of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # fixed size: POSITIONS words
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        names = np.array([*f.names, "und"], object)
+        names = np.array([*shared.value.names, "und"], object)
         for b in batches:
-            letters = np.asarray(pc.match_substring_regex(b.column(1), r"\p{L}").fill_null(False).cast(pa.uint8())).astype(bool)
-            data, offsets = kernels.strings(_lower(b.column(1)))
-            best, score, total = np.full(b.num_rows, len(f.names)), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            if f.names:
-                for i, j in kernels.slices(offsets, kernels.BLOCK):
-                    best[i:j], score[i:j], total[i:j] = f.decide(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            best, score = np.where(letters, best, len(f.names)), np.where(letters, score, 0.0)
+            best, score, total = _predict(shared.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(score), pa.array(total)], names=["doc_id", "lang_pred", "score", "n_grams"])
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(predict, SCHEMA)
+
+
+def keep_identified(docs: DataFrame, filters: LanguageFilters, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, all their columns, whose text is in a learned language with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # fixed size: POSITIONS words
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best, score, _ = _predict(shared.value, b.column(at))
+            yield b.filter(pa.array((best < len(shared.value.names)) & (score >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)
