@@ -21,6 +21,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,11 @@ _U = np.uint64
 #: N-grams of a counting fragment, about.
 COUNT_FRAGMENT = 2048
 
-#: 64-bit words of a set's parity sketch.
-SKETCH = 16
+#: 64-bit words of the bitmap of shared signatures (16 bytes a word are sent to every task, whatever the input).
+BITMAP_WORDS = 1 << 19
+
+#: 64-bit words of the smallest parity sketch. Sets of fewer n-grams than SMALL meet under pairs of empty fragments.
+LEAST_SKETCH, SMALL = 16, 64
 
 
 class Cuts:
@@ -49,7 +53,7 @@ class Cuts:
     def __init__(self, share: int):
         if not 50 < share <= 100:
             raise ValueError("the threshold is over 50 and at most 100 hundredths")
-        self.share, self.lower = share, [1]
+        self.share, self.lower, self.plans = share, [1], {}
 
     def _grow(self, n: int) -> None:
         while self.lower[-1] <= n:
@@ -69,6 +73,17 @@ class Cuts:
         y = x * 100 // self.share
         return (x + y) * (100 - self.share) // (100 + self.share)
 
+    def fragments(self, c: int) -> tuple[int, int]:
+        """(m, e) for class ``c``: m = differ + 1 + e fragments, where sets of the class rarely have more than e empty ones."""
+        known = self.plans.get(c)
+        if known is None:
+            k, least, e = self.differ(c), self.lower[c], 1
+            if least >= SMALL:
+                while (mean := (k + 1 + e) * math.exp(-least / (k + 1 + e))) + 4 * math.sqrt(mean) > e:
+                    e += 1
+            known = self.plans[c] = (k + 1 + e, e)
+        return known
+
     def classes(self, n: int) -> list[int]:
         """Classes under which a set of ``n`` n-grams is met: as the smaller and as the larger of a pair."""
         own, least = self.size_class(n), self.size_class(max(1, -(-n * self.share // 100)))
@@ -84,29 +99,39 @@ def fragment_edges(s: np.ndarray, m: int) -> np.ndarray:
 def signatures(s: np.ndarray, cuts: Cuts) -> np.ndarray:
     """Hashes under which a set can be met.
 
-    With k differing n-grams at most and k + 2 fragments, a linked pair agrees in two fragments or more. One of them has
-    n-grams, or both sets have these two empty: then they meet under a hash of that pair of empty fragments.
+    With k differing n-grams at most and k + 1 + e fragments, a linked pair agrees in more than e fragments. If one of the
+    two has at most e empty fragments, they agree in one with n-grams and meet there. Otherwise they may agree in empty
+    fragments only, more than e of them: sets with so many meet under those too (under pairs of them where e is 1).
     """
     out = []
     with np.errstate(over="ignore"):
         spun = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernels.mix(s + _U(0x2545F4914F6CDD1D)))])
         for c in cuts.classes(len(s)):
-            m = cuts.differ(c) + 2
+            m, e = cuts.fragments(c)
             edges = fragment_edges(s, m)
             total = spun[edges[1:]] - spun[edges[:-1]]
             full = np.flatnonzero(edges[1:] > edges[:-1])
             base = kernels.mix(np.array([c], np.uint64) + _U(0x9E37))[0]
             out.append(kernels.mix(total[full] + kernels.mix(base + full.astype(np.uint64))))
-            empty = np.setdiff1d(np.arange(m), full).astype(np.uint64)
-            if len(empty) > 1:
-                a, b = np.triu_indices(len(empty), 1)
-                out.append(kernels.mix(kernels.mix(base + empty[a] * _U(0x10001)) + empty[b] + _U(7)))
+            if m - len(full) > e:
+                empty = np.setdiff1d(np.arange(m), full).astype(np.uint64)
+                if e == 1:
+                    a, b = np.triu_indices(len(empty), 1)
+                    out.append(kernels.mix(kernels.mix(base + empty[a] * _U(0x10001)) + empty[b] + _U(7)))
+                else:
+                    out.append(kernels.mix(kernels.mix(base + empty * _U(0x10001)) + _U(11)))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the set's hashes on each of 64 * SKETCH bits, as signed 64-bit words."""
-    odd = np.bincount((kernels.mix(s + _U(0x1B873593)) % _U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """Parity of the set's hashes on each bit, as signed 64-bit words; about a bit for an n-gram, a power of two of words.
+
+    Halves of a sketch put together by XOR are the sketch of half the length.
+    """
+    words = LEAST_SKETCH
+    while 64 * words < len(s):
+        words *= 2
+    odd = np.bincount((kernels.mix(s + _U(0x1B873593)) % _U(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -123,9 +148,6 @@ def _sets(b: pa.RecordBatch, column: int, n: int) -> Iterator[np.ndarray]:
         yield from kernels.shingles(h, counts, n)
 
 
-SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
-
-
 def _signed(docs: DataFrame, n: int, share: int) -> DataFrame:
     """doc_id, h, size of every row; sketch and signatures where a task meets a set for the first time."""
 
@@ -140,19 +162,18 @@ def _signed(docs: DataFrame, n: int, share: int) -> DataFrame:
                     met.add(h)
                 ids.append(h)
                 sizes.append(len(s))
-                sketches.append(sketch(s) if new else None)
+                sketches.append(sketch(s) if new else np.zeros(0, np.int64))
                 sigs.append(signatures(s, cuts).view(np.int64) if new else None)
             lengths = np.array([0 if x is None else len(x) for x in sigs], np.int64)
             flat = np.concatenate([np.zeros(0, np.int64), *(x for x in sigs if x is not None)])
             off = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            words = np.stack([np.zeros(SKETCH, np.int64) if x is None else x for x in sketches]) if sketches else np.zeros((0, SKETCH), np.int64)
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x is not None for x in sigs], pa.bool_()), pa.ListArray.from_arrays(off, pa.array(flat)), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH))],
-                names=["doc_id", "h", "size", "first", "sigs", *SKETCH_COLUMNS],
+                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x is not None for x in sigs], pa.bool_()), pa.ListArray.from_arrays(off, pa.array(flat)), words],
+                names=["doc_id", "h", "size", "first", "sigs", "sketch"],
             )
 
-    schema = "doc_id long, h long, size long, first boolean, sigs array<long>, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS)
-    return docs.mapInArrow(sign, schema)
+    return docs.mapInArrow(sign, "doc_id long, h long, size long, first boolean, sigs array<long>, sketch array<long>")
 
 
 def _fragments_of(size: int) -> int:
@@ -204,45 +225,75 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFrame:
 
 
 def _may_link(share: int, size_a, size_b, a: str, b: str):
-    """Whether sizes and parity sketches leave a pair possible."""
-    least, most = F.least(size_a, size_b), F.greatest(size_a, size_b)
-    bits = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH_COLUMNS), F.lit(0))
-    return (least * 100 >= most * share) & (bits * (100 + share) <= (size_a + size_b) * (100 - share))
+    """Whether sizes and parity sketches leave a pair possible; a sketch of twice the other's length is put together."""
+    a, b = F.col(a), F.col(b)
+    words = F.least(F.size(a), F.size(b))
+
+    def half(x):
+        return F.when(F.size(x) > words, F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    bits = F.aggregate(F.zip_with(half(a), half(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+    sized = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * share
+    return sized & F.when(sized, bits * (100 + share) <= (size_a + size_b) * (100 - share)).otherwise(F.lit(False))
 
 
 def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, h (its set, null without words), size, c (the component) of every row."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = scratch.materialize(_signed(docs, n, share), "jaccard-signed")
-    nodes = signed.where("first").select("h", "size", *SKETCH_COLUMNS).dropDuplicates(["h"])
     sigs = signed.where("first").select("h", F.explode("sigs").alias("sig"))
     # one hub for every signature that at least two sets have
     hubs = sigs.groupBy("sig").agg(F.min("h").alias("hub"), F.max("h").alias("top")).where("hub < top").select("sig", "hub")
-    stars = scratch.materialize(sigs.join(hubs, "sig").where("h <> hub").select("h", "hub").distinct(), "jaccard-stars")
+    hubs = scratch.materialize(hubs, "jaccard-hubs")
+    # a bitmap of those signatures, of fixed size, spares most of the others the shuffle
+    word, bit = F.shiftright("sig", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.col("sig").bitwiseAND(F.lit(63)).cast("int")
+    bitmap = F.broadcast(hubs.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63L as int))")).alias("bits")))
+    likely = sigs.join(bitmap, word == F.col("word")).where(F.getbit("bits", bit) == 1).select("h", "sig")
+    stars = scratch.materialize(likely.join(hubs, "sig").where("h <> hub").groupBy("h", "hub").agg(F.count(F.lit(1)).alias("shared")), "jaccard-stars")
+    rows = scratch.materialize(signed.select("doc_id", "h", "size"), "jaccard-rows")
     # from here on only sets that share a signature
     met = stars.select("h").unionByName(stars.select(F.col("hub").alias("h"))).distinct()
-    known = scratch.materialize(nodes.join(met, "h", "left_semi").select("h", "size", F.struct(*SKETCH_COLUMNS).alias("k")), "jaccard-known")
-    member = known.select(F.col("h"), F.col("size").alias("size_h"), F.col("k").alias("k_h"))
+    nodes = signed.where("first").select("h", "size", F.col("sketch").alias("k")).dropDuplicates(["h"])
+    known = scratch.materialize(nodes.join(met, "h", "left_semi"), "jaccard-known")
+    scratch.drop(signed)
+    scratch.drop(hubs)
+    scratch.release(docs.sparkSession)
+    member = known.select("h", F.col("size").alias("size_h"), F.col("k").alias("k_h"))
     hub = known.select(F.col("h").alias("hub"), F.col("size").alias("size_hub"), F.col("k").alias("k_hub"))
-    first = stars.join(member, "h").join(hub, "hub").where(_may_link(share, F.col("size_h"), F.col("size_hub"), "k_h", "k_hub"))
-    first = scratch.materialize(first.select(F.col("h").alias("a"), F.col("hub").alias("b"), F.col("size_h").alias("size_a"), F.col("size_hub").alias("size_b")), "jaccard-first")
-    links = _links(docs, first, n, share)
+    near = stars.join(member, "h").join(hub, "hub").where(_may_link(share, F.col("size_h"), F.col("size_hub"), "k_h", "k_hub"))
+    near = scratch.materialize(near.select(F.col("h").alias("a"), F.col("hub").alias("b"), F.col("size_h").alias("size_a"), F.col("size_hub").alias("size_b"), "shared"), "jaccard-near")
+    # first every member with the hub it shares most with, then with those hubs that are not in its component yet
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    links = _links(docs, near.join(best, ["a", "b"], "left_semi").drop("shared"), n, share)
     roots = scratch.materialize(components(links), "jaccard-roots")
-    # members that their hub's component lacks are compared with the hub's other members outside their own component
+    root_a, root_b = (roots.select(F.col("node").alias(v), F.col("root").alias(f"root_{v}")) for v in ("a", "b"))
+    left = near.join(best, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left")
+    left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "size_a", "size_b")
+    left = scratch.materialize(left, "jaccard-left")
+    if left.take(1):
+        links = links.unionByName(_links(docs, left, n, share))
+        roots = scratch.materialize(components(links), "jaccard-roots")
+    cross = scratch.materialize(_cross(stars, known, roots, share), "jaccard-cross")
+    if cross.take(1):
+        links = links.unionByName(_links(docs, cross, n, share))
+    roots = scratch.materialize(components(links), "jaccard-roots")
+    return rows.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", "size", F.coalesce("root", "h").alias("c"))
+
+
+def _cross(stars: DataFrame, known: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+    """Pairs of one hub's members in different components, of which at least one is not in the hub's.
+
+    Linked sets share a signature, so both are members of its hub (or are it); pairs with the hub itself are known.
+    """
     rooted = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "size", "k", F.coalesce("root", "h").alias("c"))
     of_hub = rooted.select(F.col("h").alias("hub"), F.col("c").alias("c_hub"))
-    stated = scratch.materialize(stars.join(rooted, "h").join(of_hub, "hub"), "jaccard-stated")
+    stated = scratch.materialize(stars.select("h", "hub").join(rooted, "h").join(of_hub, "hub"), "jaccard-stated")
     x = stated.where("c <> c_hub").select("hub", *(F.col(v).alias(f"{v}_x") for v in ("h", "size", "k", "c")))
-    y = stated.select("hub", F.col("c_hub"), *(F.col(v).alias(f"{v}_y") for v in ("h", "size", "k", "c")))
+    y = stated.select(F.col("hub").alias("hub_y"), "c_hub", *(F.col(v).alias(f"{v}_y") for v in ("h", "size", "k", "c")))
     once = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("c_hub")) | (F.col("h_x") < F.col("h_y")))
-    cross = x.join(y, (x["hub"] == y["hub"]) & once & _may_link(share, F.col("size_x"), F.col("size_y"), "k_x", "k_y"))
-    cross = cross.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(F.col("h_x") < F.col("h_y"), F.col("size_x")).otherwise(F.col("size_y")).alias("size_a"), F.when(F.col("h_x") < F.col("h_y"), F.col("size_y")).otherwise(F.col("size_x")).alias("size_b")).distinct()
-    cross = scratch.materialize(cross, "jaccard-cross")
-    if cross.take(1):
-        more = _links(docs, cross, n, share)
-        if more.take(1):
-            roots = scratch.materialize(components(links.unionByName(more)), "jaccard-roots")
-    return signed.select("doc_id", "h", "size").join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", "size", F.coalesce("root", "h").alias("c"))
+    pairs = x.join(y, (F.col("hub") == F.col("hub_y")) & once & _may_link(share, F.col("size_x"), F.col("size_y"), "k_x", "k_y"))
+    first = F.col("h_x") < F.col("h_y")
+    return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(first, F.col("size_x")).otherwise(F.col("size_y")).alias("size_a"), F.when(first, F.col("size_y")).otherwise(F.col("size_x")).alias("size_b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

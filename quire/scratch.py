@@ -7,6 +7,7 @@ The folder comes from ``spark.checkpoint.dir``; one of our own is used only wher
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def drop(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect now, so that shuffle files of finished jobs go before the next large step, not some time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _MADE:
