@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,20 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _registered() -> None:
+    importlib.import_module("quire.plans.library")
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Token search of every benchmark item over all documents."""
+    return queries()["token_search"](spark, sf_dir)
