@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import clean_title, file_format
+from quire.functions.text import clean_title, file_format, strip
 
 Parser = Callable[[bytes], list[tuple[str, str]]]
 
@@ -149,7 +149,7 @@ def markdown_chapters(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     parts = F.split(F.coalesce("text", F.lit("")), "(?m)^(?=## )")
     found = F.filter(parts, lambda p: p.startswith("## "))
-    cells = F.transform(found, lambda p, i: F.struct(i.alias("ordinal"), clean_title(F.regexp_extract(p, "^## ([^\\n]*)", 1)).alias("title"), F.trim(F.regexp_replace(p, "^## [^\\n]*\\n?", "")).alias("text")))
+    cells = F.transform(found, lambda p, i: F.struct(i.alias("ordinal"), clean_title(F.regexp_extract(p, "^## ([^\\n]*)", 1)).alias("title"), strip(F.regexp_replace(p, "^## [^\\n]*\\n?", "")).alias("text")))
     whole = F.array(F.struct(F.lit(0).alias("ordinal"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("text")))
     return docs.select(key, F.inline(F.when(F.size(found) > 0, cells).otherwise(whole)))
 
