@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 
 from quire.plans import catalog
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("QUIRE_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = [p.stem for p in Path(DIR).glob("*.parquet")]
 
 
