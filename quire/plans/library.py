@@ -303,10 +303,7 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- entities, sources, output --------------------------------------------------------------------------------------------------------
 
 
-@register(
-    "dictionary_mentions",
-    "WITH t AS (SELECT DISTINCT 'word' AS type, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS term FROM benchmark), g AS (SELECT DISTINCT length(term) AS l FROM t), s AS (SELECT doc_id, l, text, unnest(range(greatest(length(text) - l + 1, 0))) AS i FROM documents, g), w AS (SELECT doc_id, i, l, substr(text, i + 1, l) AS term FROM s) SELECT doc_id, term AS text, type, CAST(i AS INTEGER) AS start, CAST(i + l AS INTEGER) AS \"end\", 0.95::DOUBLE AS confidence FROM w JOIN t USING (term)",
-)
+@register("dictionary_mentions")
 def dictionary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = load(spark, sf_dir, "benchmark").select(F.lit("word").alias("type"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))).alias("term"))
     return entities.dictionary_mentions(load(spark, sf_dir, "documents"), terms)
