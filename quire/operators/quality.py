@@ -152,12 +152,14 @@ def priority(score: Column) -> Column:
     return F.when(score < 50, "HIGH").when(score < 70, "MEDIUM").otherwise("LOW")
 
 
-def chapter_gaps(chapters: DataFrame, key: str, number: str, most: int = 10) -> DataFrame:
-    """(key, missing): numbers between a key's chapters that none has, the first ``most`` in order."""
+def chapter_gaps(chapters: DataFrame, key: str, number: str, most: int | None = 10) -> DataFrame:
+    """(key, missing): numbers between a key's chapters that none has, the first ``most`` in order (None: all)."""
     from pyspark.sql import Window
 
     first = F.nullif(F.regexp_extract(F.col(number).cast("string"), r"\d+", 0), F.lit("")).cast("int")
     have = chapters.select(key, first.alias("n")).where("n is not null").distinct()
     ahead = have.withColumn("next", F.lead("n").over(Window.partitionBy(key).orderBy("n"))).where("next > n + 1")
-    gaps = ahead.select(key, F.expr(f"sequence(n + 1, least(next - 1, n + {most}))").alias("g"))
-    return gaps.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("g"))), 1, most).alias("missing"))
+    last = F.col("next") - 1 if most is None else F.least(F.col("next") - 1, F.col("n") + most)
+    gaps = ahead.select(key, F.sequence(F.col("n") + 1, last).alias("g"))
+    missing = F.array_sort(F.flatten(F.collect_list("g")))
+    return gaps.groupBy(key).agg((missing if most is None else F.slice(missing, 1, most)).alias("missing"))

@@ -6,10 +6,12 @@ import io
 import json
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import entities, graph, quality, series, structured
+from quire.plans import catalog
 from quire.sources import books, sinks
 from quire.streaming import metrics
 
@@ -123,6 +125,21 @@ def test_quality_scores(spark):
     assert out[2]["blocking"] == ["章节合并"]
 
 
+def test_chapter_gaps_are_whole(spark, tmp_path):
+    made = {1: {4, 5, 7, 1500}, 2: set(range(10, 1400)), 3: set()}  # missing numbers, those with a remainder of 1 among them
+    turns = spark.createDataFrame([(k, n) for k, lost in made.items() for n in range(4001) if n not in lost], "conv_id long, turn int")
+    got = values(quality.chapter_gaps(turns, "conv_id", "turn", None), "conv_id")
+    assert got == [(k, sorted(lost)) for k, lost in made.items() if lost]
+    assert values(quality.chapter_gaps(turns, "conv_id", "turn"), "conv_id") == [(k, sorted(lost)[:10]) for k, lost in made.items() if lost]
+    # the registered query agrees with its SQL where a conversation has more than a thousand gaps
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["chapter_gaps"]).fetchall()
+    assert values(catalog.queries()["chapter_gaps"](spark, str(tmp_path)), "conv_id") == sorted(want)
+    assert sorted(want) == [(k, ",".join(str(n) for n in range(4000) if n in lost or n % 3 == 1)) for k, lost in made.items()]
+
+
 def test_epub_and_markdown(spark):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
