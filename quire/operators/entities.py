@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire import scratch
 from quire.functions import rules
 from quire.functions.text import normal_name
+from quire.operators.graph import first_come
 from quire.operators.retrieval import cosine
 
 #: Most terms of a dictionary that is sent to every task; a larger one is refused.
@@ -98,11 +99,11 @@ def merge_entities(entities: DataFrame, aliases: dict[str, str] | None = None) -
     return merged.join(kind, "key").select(F.col("key").alias("name"), "type", "description", "source_count", "merged_from")
 
 
-def leaders(items: DataFrame, threshold: float, rounds: int = 50) -> DataFrame:
+def leaders(items: DataFrame, threshold: float) -> DataFrame:
     """(item_id, leader): in order of id an item joins the first earlier leader with a cosine of at least ``threshold``,
-    else leads itself. Items without a vector lead themselves.
+    else leads itself. Items without a vector, or without an id, lead themselves.
 
-    The similarity join's links are worked off in rounds: an item decides once every earlier item it is linked with has.
+    The similarity join's links are worked off in rounds until no item is open: see :func:`quire.operators.graph.first_come`.
     Links come from a join on a coarse key where ``items`` has a column ``block``, else from all pairs of the table.
     """
     block = "block" if "block" in items.columns else None
@@ -110,19 +111,9 @@ def leaders(items: DataFrame, threshold: float, rounds: int = 50) -> DataFrame:
     on = F.col("a") < F.col("b")
     links = a.join(b, on & (F.col("block_a") == F.col("block_b")) if block else on).where(cosine(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
     links = scratch.materialize(links, "links")
-    open_, led = scratch.materialize(items.select("item_id"), "open"), None
-    for _ in range(rounds):
-        waiting = links.join(open_.select(F.col("item_id").alias("a")), "a", "left_semi").select(F.col("b").alias("item_id")).distinct()
-        new = scratch.materialize(open_.join(waiting, "item_id", "left_anti"), "leaders")
-        if not new.take(1):
-            break
-        led = new if led is None else led.unionByName(new)
-        joined = links.join(new.select(F.col("item_id").alias("a")), "a", "left_semi").select(F.col("b").alias("item_id"))
-        open_ = scratch.materialize(open_.join(new.unionByName(joined).distinct(), "item_id", "left_anti"), "open")
-    if led is None:
-        return items.select("item_id", F.col("item_id").alias("leader")).limit(0)
+    led = first_come(items.select(F.col("item_id").alias("node")), links.select(F.col("b").alias("node"), F.col("a").alias("other"))).select(F.col("node").alias("item_id"))
     first = links.join(led.select(F.col("item_id").alias("a")), "a").groupBy(F.col("b").alias("item_id")).agg(F.min("a").alias("leader"))
-    own = led.select("item_id", F.col("item_id").alias("leader"))
+    own = led.unionByName(items.select("item_id").where("item_id is null")).select("item_id", F.col("item_id").alias("leader"))
     return own.unionByName(first.join(led, "item_id", "left_anti"))
 
 

@@ -71,6 +71,27 @@ def test_leaders_do_not_chain(spark):
     assert values(entities.leaders(items, 0.79), "item_id") == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
+def test_long_chains_are_worked_off(spark, monkeypatch):
+    # vectors that drift with their id, each near to the one before and the one after only
+    n = 400
+    items = spark.createDataFrame([(i, [1.0 if j in (i, i + 1) else 0.0 for j in range(n + 1)]) for i in range(n)], "item_id long, vector array<double>")
+    assert values(entities.leaders(items, 0.49), "item_id") == [(i, i - i % 2) for i in range(n)]
+    # a path: its ends have degree 1 and come last, the others in order of their number
+    path = spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long")
+    assert [s for (s,) in values(graph.seed_communities(path).select("seed").distinct(), "seed")] == list(range(1, n, 2))
+    # by rounds alone, and by one sweep alone
+    ahead = spark.createDataFrame([(i, i - k) for i in range(40) for k in (1, 3) if i >= k], "node long, other long")
+    want = []
+    for i in range(40):
+        if i - 1 not in want and i - 3 not in want:
+            want.append(i)
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    for limit, rounds in ((0, 0), (1000, 0), (1000, 3)):
+        monkeypatch.setattr(graph, "SWEEP_LIMIT", limit)
+        monkeypatch.setattr(graph, "ROUNDS", rounds)
+        assert values(graph.first_come(nodes, ahead), "node") == [(i,) for i in want]
+
+
 def test_alignment_and_passes(spark):
     spans = spark.createDataFrame([("the quick fox", "see the quick fox run"), ("the quick brown fox", "see the quick brwn fox run"), ("zzzz yyyy", "nothing of it"), (None, "x")], "span string, text string")
     rows = entities.aligned(spans).collect()
