@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import scratch
 from quire.functions import rules
@@ -18,6 +19,9 @@ from quire.operators.retrieval import cosine
 #: Most terms of a dictionary that is sent to every task; a larger one is refused.
 DICTIONARY_LIMIT = 1_000_000
 
+#: Rows of a block of vectors that are compared with another block at once.
+BLOCK = 512
+
 MENTION = "doc_id long, text string, type string, start int, end int, confidence double"
 
 
@@ -99,6 +103,39 @@ def merge_entities(entities: DataFrame, aliases: dict[str, str] | None = None) -
     return merged.join(kind, "key").select(F.col("key").alias("name"), "type", "description", "source_count", "merged_from")
 
 
+def _near_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of items (item_id, vector) with a < b and a cosine of at least ``threshold``, all compared.
+
+    Vectors are packed in blocks of about BLOCK rows of one length, and each pair of blocks is one matrix product in double
+    precision. Items without a vector, or with one that is empty, has a null or no length, have no pair.
+    """
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = items.select("item_id", F.col("vector").cast("array<double>").alias("v")).where("item_id is not null and size(v) > 0").withColumn("n", norm).where("n > 0")
+    unit = scratch.materialize(unit.select("item_id", "v", "n", F.size("v").alias("dim")), "vectors")
+    parts = max(1, -(-unit.count() // BLOCK))
+    packed = unit.groupBy("dim", F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).agg(F.collect_list("item_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"), F.collect_list("n").alias("ns"))
+    packed = scratch.materialize(packed.repartition(parts, "part", "dim"), "blocks")
+    left, right = (packed.select(*(F.col(c).alias(f"{c}_{side}") for c in ("dim", "part", "ids", "vs", "ns"))) for side in "xy")
+    # no key to shuffle by: blocks of one length would all meet in one task
+    pairs = left.join(right, (F.col("dim_x") - F.col("dim_y") == 0) & (F.col("part_x") <= F.col("part_y")))
+    found = pairs.select("part_x", "part_y", "ids_x", "vs_x", "ns_x", "ids_y", "vs_y", "ns_y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                px, py, ids_x, vs_x, ns_x, ids_y, vs_y, ns_y = (batch.column(c)[i] for c in range(8))
+                ids_x, ids_y, n, m = ids_x.values, ids_y.values, len(ns_x), len(ns_y)
+                x, y = vs_x.values.to_numpy().reshape(n, -1), vs_y.values.to_numpy().reshape(m, -1)
+                hit = (x @ y.T) / (ns_x.values.to_numpy()[:, None] * ns_y.values.to_numpy()) >= threshold
+                r, c = np.nonzero(np.triu(hit, 1) if px == py else hit)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([ids_x.take(pa.array(r)), ids_y.take(pa.array(c))], names=["a", "b"])
+
+    kind = items.schema["item_id"].dataType
+    out = found.mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).where("a <> b")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def leaders(items: DataFrame, threshold: float) -> DataFrame:
     """(item_id, leader): in order of id an item joins the first earlier leader with a cosine of at least ``threshold``,
     else leads itself. Items without a vector, or without an id, lead themselves.
@@ -107,9 +144,11 @@ def leaders(items: DataFrame, threshold: float) -> DataFrame:
     Links come from a join on a coarse key where ``items`` has a column ``block``, else from all pairs of the table.
     """
     block = "block" if "block" in items.columns else None
-    a, b = (items.select(F.col("item_id").alias(i), F.col("vector").alias(v), *([F.col(block).alias(f"block_{i}")] if block else [])) for i, v in (("a", "va"), ("b", "vb")))
-    on = F.col("a") < F.col("b")
-    links = a.join(b, on & (F.col("block_a") == F.col("block_b")) if block else on).where(cosine(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
+    if block:
+        a, b = (items.select(F.col("item_id").alias(i), F.col("vector").alias(v), F.col(block).alias(f"block_{i}")) for i, v in (("a", "va"), ("b", "vb")))
+        links = a.join(b, (F.col("a") < F.col("b")) & (F.col("block_a") == F.col("block_b"))).where(cosine(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
+    else:
+        links = _near_pairs(items, threshold)
     links = scratch.materialize(links, "links")
     led = first_come(items.select(F.col("item_id").alias("node")), links.select(F.col("b").alias("node"), F.col("a").alias("other"))).select(F.col("node").alias("item_id"))
     first = links.join(led.select(F.col("item_id").alias("a")), "a").groupBy(F.col("b").alias("item_id")).agg(F.min("a").alias("leader"))

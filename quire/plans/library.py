@@ -317,8 +317,8 @@ def merged_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("vector_leaders")
 def vector_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaders within each label, the blocking key of the similarity join."""
-    return entities.leaders(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").alias("block")), 0.8)
+    """Leaders among all vectors, whatever their labels."""
+    return entities.leaders(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 0.8)
 
 
 @register("page_texts")

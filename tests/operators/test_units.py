@@ -7,6 +7,7 @@ import json
 import zipfile
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
@@ -71,6 +72,22 @@ def test_leaders_do_not_chain(spark):
     assert values(entities.leaders(items, 0.79), "item_id") == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
+def test_vector_leaders_cross_labels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(entities, "BLOCK", 3)  # several blocks
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(5, 4))[rng.integers(0, 5, 30)] + rng.normal(size=(30, 4)) * 0.3
+    rows = [(i, v.tolist(), None if i % 4 == 3 else i % 3) for i, v in enumerate(vectors)] + [(30, None, 0), (31, [0.0] * 4, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = (vectors / np.linalg.norm(vectors, axis=1)[:, None]).tolist()
+    led, want = [], []
+    for i, v in enumerate(unit):
+        first = next((j for j in led if np.dot(v, unit[j]) >= 0.8), None)
+        led += [i] if first is None else []
+        want.append((i, i if first is None else first))
+    assert len(led) < 25
+    assert values(catalog.queries()["vector_leaders"](spark, str(tmp_path)), "item_id") == [*want, (30, 30), (31, 31)]
+
+
 def test_long_chains_are_worked_off(spark, monkeypatch):
     # vectors that drift with their id, each near to the one before and the one after only
     n = 400
