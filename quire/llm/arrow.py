@@ -27,6 +27,30 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+#: Keys that :func:`spread` splits at most; a key is hot if it has more than this share of the rows, and at least HOT_ROWS.
+HOT_KEYS, HOT_ROWS = 4096, 300
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_key: str | None = None) -> DataFrame:
+    """``left`` joined to ``right`` on the columns ``on``, a hot key's rows of ``left`` dealt to several tasks.
+
+    Keys with more than 1 / HOT_KEYS of the rows are counted first (at most HOT_KEYS of them, broadcast); their rows of
+    ``left`` get a salt each, and ``right`` has its rows of such keys once for every salt. ``left`` should be a written table.
+    """
+    key = hot_key or on[0]
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    most = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = counts.where(F.col("_c") > most).select(F.col(key).alias("_k"), F.ceil(F.col("_c") / most).cast("int").alias("_n"))
+    hot = scratch.materialize(hot, "hot-keys")
+    if not hot.take(1):
+        return left.join(right, on, how)
+    salted = left.join(F.broadcast(hot), left[key].eqNullSafe(F.col("_k")), "left")
+    salted = salted.withColumn("_salt", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_n")).cast("int"))).drop("_k", "_n")
+    copies = right.join(F.broadcast(hot), right[key].eqNullSafe(F.col("_k")), "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_k", "_n")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def partition_id() -> int:
     from pyspark import TaskContext
 

@@ -3,15 +3,20 @@
 The order of all n-grams is that of their hashes. It is cut into fragments; a pair's overlap is the sum of its overlaps in
 the fragments. Three steps:
 
-* candidates: sets as similar as asked for differ in so few n-grams that, cut into a few fragments more than that, they
-  must agree in whole fragments. Sets are therefore met by hashes of (fragment, its n-grams), which strangers almost
-  never share, however common their single n-grams are;
+* candidates: a linked pair differs in at most k n-grams, so of m fragments it agrees in m - k or more. A set with more than
+  k fragments that hold something therefore agrees with each of its partners in one of those, and meets it under the hash
+  of (fragment, its n-grams), which strangers almost never share, however common their single n-grams are. A set with
+  fewer is cut anew in another order, until it has enough; both sets of a pair go through the same cuts as far as the
+  first that suits one of them, so no pair is lost and no set is ever met by what it lacks;
 * bounds: the parity of the n-grams that fall on each bit of a sketch; two sketches differ in no more bits than the sets
   differ in n-grams, so pairs whose sketches differ in too many bits are dropped without loss;
-* counting: a candidate pair's n-grams are compared fragment by fragment, partial overlaps counted apart and summed.
+* counting: the sets that met someone are written once, cut into fragments; a candidate pair's n-grams are compared
+  fragment by fragment, partial overlaps counted apart and summed.
 
 Equal sets are one node. Buckets of a fragment hash are not expanded into pairs: members are compared to one hub each,
 and then only members of different components are compared, so a group of n near copies costs about n comparisons.
+Large buckets of members that do not link are split by the hashes of other families of cuts first, under each of which a
+linked pair must meet again. Hot keys of every join are spread over tasks.
 
 Defined cases: null texts, and texts without words, have the empty set and link with nothing; shorter texts than n words
 have one n-gram, the whole sequence; rows that repeat an id are rows of one node each, their component is the smallest id
@@ -32,19 +37,25 @@ from pyspark.sql import types as T
 
 from quire import scratch
 from quire.llm import kernels
-from quire.llm.arrow import small
+from quire.llm.arrow import small, spread
 from quire.llm.components import components
 
 _U = np.uint64
 
-#: N-grams of a counting fragment, about.
-COUNT_FRAGMENT = 2048
+#: N-grams of a counting fragment at most, about; fragments that every set is cut into at least.
+COUNT_FRAGMENT, LEAST_FRAGMENTS = 1024, 4
 
 #: 64-bit words of the bitmap of shared signatures (16 bytes a word are sent to every task, whatever the input).
 BITMAP_WORDS = 1 << 19
 
-#: 64-bit words of the smallest parity sketch. Sets of fewer n-grams than SMALL meet under pairs of empty fragments.
-LEAST_SKETCH, SMALL = 16, 64
+#: 64-bit words of the smallest parity sketch.
+LEAST_SKETCH = 16
+
+#: Cuts that a family tries before it meets a set by each of its n-grams (which also finds every linked pair).
+TRIES = 32
+
+#: Pairs of a bucket that are compared at once; larger ones are split by up to so many further families of cuts.
+BUCKET_PAIRS, FAMILIES = 1 << 14, 3
 
 
 class Cuts:
@@ -53,11 +64,14 @@ class Cuts:
     def __init__(self, share: int):
         if not 50 < share <= 100:
             raise ValueError("the threshold is over 50 and at most 100 hundredths")
-        self.share, self.lower, self.plans = share, [1], {}
+        self.share, self.lower, self.plans, self.met = share, [1], {}, {}
+        part = (100 - share) / share
+        # a class is so narrow that its least set keeps more n-grams than a linked pair of its largest sets may differ in
+        self.ratio = min(1.25, (1 + part) / (2 * part)) if part else 1.25
 
     def _grow(self, n: int) -> None:
         while self.lower[-1] <= n:
-            self.lower.append(max(self.lower[-1] + 1, self.lower[-1] * 3 // 2))
+            self.lower.append(max(self.lower[-1] + 1, int(self.lower[-1] * self.ratio)))
 
     def size_class(self, n: int) -> int:
         """The class c with lower[c] <= n < lower[c + 1]."""
@@ -66,60 +80,66 @@ class Cuts:
 
     def differ(self, c: int) -> int:
         """The most n-grams in which a linked pair differs whose smaller set is of class ``c``."""
-        self._grow(self.lower[c] + 1 if c < len(self.lower) else 1)
         while len(self.lower) <= c + 1:
             self._grow(self.lower[-1])
         x = self.lower[c + 1] - 1
         y = x * 100 // self.share
         return (x + y) * (100 - self.share) // (100 + self.share)
 
-    def fragments(self, c: int) -> tuple[int, int]:
-        """(m, e) for class ``c``: m = differ + 1 + e fragments, where sets of the class rarely have more than e empty ones."""
-        known = self.plans.get(c)
-        if known is None:
-            k, least, e = self.differ(c), self.lower[c], 1
-            if least >= SMALL:
-                while (mean := (k + 1 + e) * math.exp(-least / (k + 1 + e))) + 4 * math.sqrt(mean) > e:
-                    e += 1
-            known = self.plans[c] = (k + 1 + e, e)
-        return known
+    def fragments(self, c: int) -> int:
+        """Fragments for class ``c``: the fewest of which its least set fills more than ``differ`` in most cuts.
+
+        0 where no number of them does: there every n-gram is a fragment of its own.
+        """
+        if c not in self.plans:
+            k, least = self.differ(c), self.lower[c]
+
+            def fills(m: int) -> bool:
+                empty = math.exp(-least / m)
+                spread_of = math.sqrt(max(0.0, m * empty * (1 - (1 + least / m) * empty)))
+                return m * (1 - empty) - spread_of >= k + 1
+
+            lo, hi = k, k + 1
+            while hi <= 64 * (least + k) and not fills(hi):
+                lo, hi = hi, 2 * hi
+            while hi - lo > 1 and hi <= 64 * (least + k):
+                mid = (lo + hi) // 2
+                lo, hi = (lo, mid) if fills(mid) else (mid, hi)
+            self.plans[c] = hi if fills(hi) else 0
+        return self.plans[c]
 
     def classes(self, n: int) -> list[int]:
         """Classes under which a set of ``n`` n-grams is met: as the smaller and as the larger of a pair."""
-        own, least = self.size_class(n), self.size_class(max(1, -(-n * self.share // 100)))
-        return sorted({c for c in range(least, own + 1) if self.differ(c)})
+        if n not in self.met:
+            own, least = self.size_class(n), self.size_class(max(1, -(-n * self.share // 100)))
+            self.met[n] = sorted({c for c in range(least, own + 1) if self.differ(c)})
+        return self.met[n]
 
 
-def fragment_edges(s: np.ndarray, m: int) -> np.ndarray:
-    """Where the sorted hashes ``s`` are cut by ``m`` equal ranges of the global order: m + 1 positions."""
-    cuts = np.array([(k << 64) // m for k in range(1, m)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
+def _fragment_of(s: np.ndarray, m: int) -> np.ndarray:
+    """The fragment, 0 .. m - 1, of each hash: ``m`` equal ranges of the global order."""
+    return ((s >> _U(32)) * _U(m)) >> _U(32)
 
 
-def signatures(s: np.ndarray, cuts: Cuts) -> np.ndarray:
-    """Hashes under which a set can be met.
-
-    With k differing n-grams at most and k + 1 + e fragments, a linked pair agrees in more than e fragments. If one of the
-    two has at most e empty fragments, they agree in one with n-grams and meet there. Otherwise they may agree in empty
-    fragments only, more than e of them: sets with so many meet under those too (under pairs of them where e is 1).
-    """
-    out = []
+def signatures(s: np.ndarray, cuts: Cuts, family: int = 0) -> np.ndarray:
+    """Hashes under which a set can be met: linked sets that differ share one, in every family of cuts."""
+    out, orders = [], {}
     with np.errstate(over="ignore"):
-        spun = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernels.mix(s + _U(0x2545F4914F6CDD1D)))])
         for c in cuts.classes(len(s)):
-            m, e = cuts.fragments(c)
-            edges = fragment_edges(s, m)
-            total = spun[edges[1:]] - spun[edges[:-1]]
-            full = np.flatnonzero(edges[1:] > edges[:-1])
-            base = kernels.mix(np.array([c], np.uint64) + _U(0x9E37))[0]
-            out.append(kernels.mix(total[full] + kernels.mix(base + full.astype(np.uint64))))
-            if m - len(full) > e:
-                empty = np.setdiff1d(np.arange(m), full).astype(np.uint64)
-                if e == 1:
-                    a, b = np.triu_indices(len(empty), 1)
-                    out.append(kernels.mix(kernels.mix(base + empty[a] * _U(0x10001)) + empty[b] + _U(7)))
-                else:
-                    out.append(kernels.mix(kernels.mix(base + empty * _U(0x10001)) + _U(11)))
+            m, k = cuts.fragments(c), cuts.differ(c)
+            for t in range(family * TRIES, (family + 1) * TRIES) if m else ():
+                if t not in orders:
+                    x = s if t == 0 else np.sort(kernels.mix(s + _U(0x9E3779B97F4A7C15) * _U(t)))
+                    orders[t] = x, kernels.mix(x + _U(0x2545F4914F6CDD1D))
+                x, spun = orders[t]
+                at = _fragment_of(x, m)
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                base = kernels.mix(np.array([c, t], np.uint64) + _U(0x9E37))
+                out.append(kernels.mix(np.add.reduceat(spun, first) + kernels.mix(base[0] + (base[1] ^ at[first]))))
+                if len(first) > k:
+                    break
+            else:
+                out.append(kernels.mix(s + kernels.mix(np.array([c], np.uint64) + _U(0x51))))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -178,19 +198,18 @@ def _signed(docs: DataFrame, n: int, share: int) -> DataFrame:
 
 def _fragments_of(size: int) -> int:
     """Counting fragments of a pair whose smaller set has ``size`` n-grams."""
-    f = 1
+    f = LEAST_FRAGMENTS
     while f * COUNT_FRAGMENT < size:
         f *= 2
     return f
 
 
 def _fragments_column(size):
-    return F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(size / COUNT_FRAGMENT))).cast("int")).cast("int")
+    return F.greatest(F.lit(LEAST_FRAGMENTS), F.pow(F.lit(2.0), F.ceil(F.log2(size / COUNT_FRAGMENT))).cast("int"))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFrame:
-    """Of candidate ``pairs`` (a, b, size_a, size_b) those that link: partial overlaps by fragment, summed by pair."""
-    involved = scratch.materialize(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "jaccard-involved")
+def _cut_sets(docs: DataFrame, known: DataFrame, n: int, share: int) -> DataFrame:
+    """h, of, f, grams: the sets of ``known`` cut into ``of`` fragments, for every ``of`` that a pair of theirs can need."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
@@ -201,7 +220,7 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFrame:
                     continue
                 met.add(k)
                 for m in {_fragments_of(len(s)), _fragments_of(-(-len(s) * share // 100))}:
-                    edges = fragment_edges(s, m).tolist()
+                    edges = np.searchsorted(_fragment_of(s, m), np.arange(m + 1)).tolist()
                     for f in range(m):
                         h.append(k)
                         of.append(m)
@@ -210,17 +229,22 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFrame:
             off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in grams])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(of, pa.int32()), pa.array(number, pa.int32()), pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))], names=["h", "of", "f", "grams"])
 
-    # filtered where they are made if the candidates' ids are few enough to send to every task, else after a shuffle
-    sets = docs.select("text").mapInArrow(cut, "h long, of int, f int, grams array<long>").join(small(involved), "h", "left_semi")
-    sets = scratch.materialize(sets, "jaccard-sets")
+    # filtered where they are made if the ids are few enough to send to every task, else after a shuffle
+    sets = docs.select("text").mapInArrow(cut, "h long, of int, f int, grams array<long>").join(small(known.select("h")), "h", "left_semi")
+    # a set met by several tasks is there once only
+    return scratch.materialize(sets.dropDuplicates(["h", "of", "f"]), "jaccard-sets")
+
+
+def _links(sets: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    """Of candidate ``pairs`` (a, b, size_a, size_b) those that link: partial overlaps by fragment, summed by pair."""
     p = pairs.withColumn("of", _fragments_column(F.least("size_a", "size_b")))
     left = sets.select(F.col("h").alias("a"), "of", "f", F.col("grams").alias("grams_a"))
     right = sets.select(F.col("h").alias("b"), "of", "f", F.col("grams").alias("grams_b"))
-    partial = p.join(left, ["a", "of"]).join(right, ["b", "of", "f"]).select("a", "b", "size_a", "size_b", "f", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("partial"))
-    # a set met by several tasks is there several times: its partial overlaps are equal
-    overlap = partial.groupBy("a", "b", "size_a", "size_b", "f").agg(F.max("partial").alias("partial")).groupBy("a", "b", "size_a", "size_b").agg(F.sum("partial").alias("overlap"))
+    cut = scratch.materialize(p.join(left, ["a", "of"]), "jaccard-cut")
+    partial = spread(cut, right, ["b", "of", "f"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("partial"))
+    overlap = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("partial").alias("overlap"))
     out = scratch.materialize(overlap.where(F.col("overlap") * (100 + share) >= share * (F.col("size_a") + F.col("size_b"))).select("a", "b"), "jaccard-links")
-    scratch.drop(sets)
+    scratch.drop(cut)
     return out
 
 
@@ -238,7 +262,7 @@ def _may_link(share: int, size_a, size_b, a: str, b: str):
 
 
 def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (its set, null without words), size, c (the component) of every row."""
+    """doc_id, h (its set, null without words), size, least (smallest id of its component), least_h (that row's set) of every row."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = scratch.materialize(_signed(docs, n, share), "jaccard-signed")
     sigs = signed.where("first").select("h", F.explode("sigs").alias("sig"))
@@ -248,59 +272,111 @@ def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str)
     # a bitmap of those signatures, of fixed size, spares most of the others the shuffle
     word, bit = F.shiftright("sig", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.col("sig").bitwiseAND(F.lit(63)).cast("int")
     bitmap = F.broadcast(hubs.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63L as int))")).alias("bits")))
-    likely = sigs.join(bitmap, word == F.col("word")).where(F.getbit("bits", bit) == 1).select("h", "sig")
-    stars = scratch.materialize(likely.join(hubs, "sig").where("h <> hub").groupBy("h", "hub").agg(F.count(F.lit(1)).alias("shared")), "jaccard-stars")
+    likely = scratch.materialize(sigs.join(bitmap, word == F.col("word")).where(F.getbit("bits", bit) == 1).select("h", "sig"), "jaccard-likely")
+    stars = scratch.materialize(spread(likely, hubs, ["sig"]).where("h <> hub").groupBy("h", "hub").agg(F.count(F.lit(1)).alias("shared")), "jaccard-stars")
     rows = scratch.materialize(signed.select("doc_id", "h", "size"), "jaccard-rows")
     # from here on only sets that share a signature
     met = stars.select("h").unionByName(stars.select(F.col("hub").alias("h"))).distinct()
     nodes = signed.where("first").select("h", "size", F.col("sketch").alias("k")).dropDuplicates(["h"])
     known = scratch.materialize(nodes.join(met, "h", "left_semi"), "jaccard-known")
-    scratch.drop(signed)
-    scratch.drop(hubs)
+    for done in (signed, hubs, likely):
+        scratch.drop(done)
     scratch.release(docs.sparkSession)
+    sets = _cut_sets(docs, known, n, share)
     member = known.select("h", F.col("size").alias("size_h"), F.col("k").alias("k_h"))
     hub = known.select(F.col("h").alias("hub"), F.col("size").alias("size_hub"), F.col("k").alias("k_hub"))
-    near = stars.join(member, "h").join(hub, "hub").where(_may_link(share, F.col("size_h"), F.col("size_hub"), "k_h", "k_hub"))
+    sided = scratch.materialize(stars.join(member, "h"), "jaccard-sided")
+    near = spread(sided, hub, ["hub"]).where(_may_link(share, F.col("size_h"), F.col("size_hub"), "k_h", "k_hub"))
     near = scratch.materialize(near.select(F.col("h").alias("a"), F.col("hub").alias("b"), F.col("size_h").alias("size_a"), F.col("size_hub").alias("size_b"), "shared"), "jaccard-near")
+    scratch.drop(sided)
     # first every member with the hub it shares most with, then with those hubs that are not in its component yet
     best = near.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = _links(docs, near.join(best, ["a", "b"], "left_semi").drop("shared"), n, share)
+    links = _links(sets, near.join(best, ["a", "b"], "left_semi").drop("shared"), share)
     roots = scratch.materialize(components(links), "jaccard-roots")
     root_a, root_b = (roots.select(F.col("node").alias(v), F.col("root").alias(f"root_{v}")) for v in ("a", "b"))
-    left = near.join(best, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left")
+    left = scratch.materialize(near.join(best, ["a", "b"], "left_anti").join(root_a, "a", "left"), "jaccard-other")
+    left = spread(left, root_b, ["b"], "left")
     left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "size_a", "size_b")
     left = scratch.materialize(left, "jaccard-left")
     if left.take(1):
-        links = links.unionByName(_links(docs, left, n, share))
+        links = links.unionByName(_links(sets, left, share))
         roots = scratch.materialize(components(links), "jaccard-roots")
-    cross = scratch.materialize(_cross(stars, known, roots, share), "jaccard-cross")
+    cross = scratch.materialize(_cross(stars, known, sets, roots, share), "jaccard-cross")
     if cross.take(1):
-        links = links.unionByName(_links(docs, cross, n, share))
-    roots = scratch.materialize(components(links), "jaccard-roots")
-    return rows.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", "size", F.coalesce("root", "h").alias("c"))
+        links = links.unionByName(_links(sets, cross, share))
+        roots = scratch.materialize(components(links), "jaccard-roots")
+    scratch.drop(sets)
+    # the smallest id of each set first, then of each component, then of each row whose set is not alone
+    of_set = rows.where("h is not null").groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s"), F.count(F.lit(1)).alias("_rows"))
+    of_set = scratch.materialize(of_set.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("_rows > 1 or root is not null").select("h", F.coalesce("root", "h").alias("c"), "s"), "jaccard-of-set")
+    of_c = of_set.groupBy("c").agg(F.min("s").alias("best"))
+    of_set = spread(of_set.select("h", "c"), of_c, ["c"]).select("h", F.col("best.doc_id").alias("least"), F.col("best.h").alias("least_h"), F.lit(True).alias("grouped"))
+    out = spread(rows, scratch.materialize(of_set, "jaccard-least"), ["h"], "left")
+    alone = F.col("grouped").isNull()
+    return out.select("doc_id", "h", "size", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("least"), F.when(alone, F.col("h")).otherwise(F.col("least_h")).alias("least_h"))
 
 
-def _cross(stars: DataFrame, known: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+def _cross(stars: DataFrame, known: DataFrame, sets: DataFrame, roots: DataFrame, share: int) -> DataFrame:
     """Pairs of one hub's members in different components, of which at least one is not in the hub's.
 
-    Linked sets share a signature, so both are members of its hub (or are it); pairs with the hub itself are known.
+    Linked sets share a signature, so both are members of its hub (or are it); pairs with the hub itself are known. A hub
+    with too many such pairs is split: linked sets share a signature in every family of cuts, so only those of its
+    members that do stay together. What no family can split is compared all the same.
     """
     rooted = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "size", "k", F.coalesce("root", "h").alias("c"))
     of_hub = rooted.select(F.col("h").alias("hub"), F.col("c").alias("c_hub"))
-    stated = scratch.materialize(stars.select("h", "hub").join(rooted, "h").join(of_hub, "hub"), "jaccard-stated")
-    x = stated.where("c <> c_hub").select("hub", *(F.col(v).alias(f"{v}_x") for v in ("h", "size", "k", "c")))
-    y = stated.select(F.col("hub").alias("hub_y"), "c_hub", *(F.col(v).alias(f"{v}_y") for v in ("h", "size", "k", "c")))
-    once = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("c_hub")) | (F.col("h_x") < F.col("h_y")))
-    pairs = x.join(y, (F.col("hub") == F.col("hub_y")) & once & _may_link(share, F.col("size_x"), F.col("size_y"), "k_x", "k_y"))
-    first = F.col("h_x") < F.col("h_y")
-    return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(first, F.col("size_x")).otherwise(F.col("size_y")).alias("size_a"), F.when(first, F.col("size_y")).otherwise(F.col("size_x")).alias("size_b")).distinct()
+    stated = scratch.materialize(stars.select("h", "hub").join(rooted.select("h", "c"), "h"), "jaccard-members")
+    stated = spread(stated, of_hub, ["hub"]).select(F.col("hub").alias("g"), "h", "c", (F.col("c") != F.col("c_hub")).alias("out"))
+    groups, found = scratch.materialize(stated, "jaccard-stated"), None
+    for family in range(1, FAMILIES + 2):
+        sizes = groups.groupBy("g").agg((F.count(F.lit(1)) * F.count_if("out")).alias("n")).where("n > 0")
+        groups = scratch.materialize(spread(groups, sizes, ["g"]), "jaccard-groups")
+        large = F.lit(False) if family > FAMILIES else F.col("n") > BUCKET_PAIRS
+        pairs = _member_pairs(groups.where(~large))
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = groups.where(large)
+        if not hot.take(1):
+            break
+        groups = scratch.materialize(_split(hot, known, sets, share, family), "jaccard-split")
+    sided = known.select("h", "size", "k")
+    found = scratch.materialize(found.distinct(), "jaccard-found")
+    found = found.join(sided.select(F.col("h").alias("a"), F.col("size").alias("size_a"), F.col("k").alias("k_a")), "a")
+    found = spread(scratch.materialize(found, "jaccard-found"), sided.select(F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("k").alias("k_b")), ["b"])
+    return found.where(_may_link(share, F.col("size_a"), F.col("size_b"), "k_a", "k_b")).select("a", "b", "size_a", "size_b")
+
+
+def _member_pairs(groups: DataFrame) -> DataFrame:
+    """(a, b) of every two members of a group in different components of which one is marked ``out``."""
+    x = groups.where("out").select("g", F.col("h").alias("x"), F.col("c").alias("c_x"))
+    y = groups.select("g", F.col("h").alias("y"), F.col("c").alias("c_y"), F.col("out").alias("out_y"))
+    pairs = x.join(y, "g").where((F.col("c_x") != F.col("c_y")) & (~F.col("out_y") | (F.col("x") < F.col("y"))))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _split(groups: DataFrame, known: DataFrame, sets: DataFrame, share: int, family: int) -> DataFrame:
+    """The groups cut by their members' signatures of another family; members that share none with another are left out."""
+    own = known.join(groups.select("h").distinct(), "h", "left_semi").select("h", _fragments_column(F.col("size")).alias("of"))
+    whole = own.join(sets, ["h", "of"]).groupBy("h").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("f", "grams"))), lambda x: x["grams"])).alias("grams"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = Cuts(share)
+        for b in batches:
+            h, sig = [], []
+            for k, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = signatures(np.asarray(s.values).view(np.uint64), cuts, family).view(np.int64)
+                h.append(np.full(len(x), k, np.int64))
+                sig.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (h, sig)], names=["h", "sig"])
+
+    signed = scratch.materialize(whole.mapInArrow(sign, "h long, sig long"), "jaccard-family")
+    parts = spread(scratch.materialize(groups.select("h", "g", "c", "out"), "jaccard-hot"), signed, ["h"]).select(F.xxhash64("g", "sig").alias("g"), "h", "c", "out")
+    return parts.distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two rows link when their sets' Jaccard is at least share / 100."""
     rows = _classified(docs, n, share, id_col, text_col)
-    least = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "c", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,10 +385,8 @@ def one_of_each(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc
     Of rows with the same id and set one stays; documents without words always stay.
     """
     found = scratch.materialize(_classified(docs, n, share, id_col, text_col), "jaccard-found")
-    stays = found.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s")).select("c", F.col("s.doc_id").alias("_id"), F.col("s.h").alias("_h"))
-    stays = scratch.materialize(stays, "jaccard-stays")
     twice = scratch.materialize(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_twice")), "jaccard-twice")
-    gone = found.where("c is not null").join(stays, "c").where("doc_id <> _id").select(F.col("doc_id").alias("_gone")).join(twice, F.col("_gone") == F.col("_twice"), "left_anti")
+    gone = found.where("h is not null and doc_id <> least").select(F.col("doc_id").alias("_gone")).join(twice, F.col("_gone") == F.col("_twice"), "left_anti")
     # the ids to drop are as many as the copies: sent to every task if they are few enough, else the texts are shuffled
     kept = docs.join(small(scratch.materialize(gone.distinct(), "jaccard-gone")), docs[id_col] == F.col("_gone"), "left_anti")
     if not twice.take(1):
@@ -328,6 +402,7 @@ def one_of_each(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc
 
     marked = again.mapInArrow(mark, schema)
     wordless = marked.where("_node is null").drop("_node")
+    stays = found.where("h is not null").select(F.col("least").alias("_id"), F.col("least_h").alias("_h")).distinct()
     chosen = marked.join(stays, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_h")), "left_semi")
     chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_node").orderBy(text_col))).where("_n = 1").drop("_node", "_n")
     return rest.unionByName(chosen).unionByName(wordless)
