@@ -1,8 +1,9 @@
 """Byte-level BPE over cached pre-tokens, and exact token counts at every prefix.
 
-A worker keeps one encoder for each vocabulary file. Texts whose characters all belong to a plain repertoire are cut
-into pre-tokens by an equivalent stdlib pattern and looked up in a bounded cache filled by the tokenizers library; any
-other text (other scripts, control characters, special strings) goes through the library whole.
+A worker keeps one encoder for each vocabulary file. Every text is cut at the vocabulary's special strings, the rest into
+pre-tokens by the byte-level pattern, and each pre-token is looked up in a bounded cache. Characters beyond a plain
+repertoire, for which a regular expression's classes and the library's may differ, are first replaced by one of the same
+class; the library itself is asked once for the class of each such character.
 """
 
 from __future__ import annotations
@@ -22,6 +23,29 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
 
 
+class _Shape(dict):
+    """Code point -> a plain character of the same class in the pre-token pattern, as the library cuts it."""
+
+    def __init__(self, pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        if not _OTHER.match(c):
+            found = c
+        elif len(self.pieces("a" + c)) == 1:
+            found = "é"
+        elif len(self.pieces("1" + c)) == 1:
+            found = "1"
+        elif len(self.pieces("!" + c)) == 1:
+            found = "!"
+        else:
+            found = "\t"
+        self[point] = found
+        return found
+
+
 def _byte_alphabet() -> list[str]:
     """The printable character that byte-level BPE writes for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,7 +80,12 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self._model = self.library.model
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in self.library.get_added_tokens_decoder().values()) or self.library.normalizer is not None:
+            raise ValueError("special strings that take their surroundings, and normalizers, are not provided for")
+        # the longest special string that starts first, as the library finds them
+        self._special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self._shape = _Shape(lambda text: self.library.pre_tokenizer.pre_tokenize_str(text))
         self._ids = _Memo(self._encode_piece)
         self._sums = _Memo(lambda piece: self._fill(piece)[-1])
         self._tables = _Memo(self._fill)
@@ -65,15 +94,29 @@ class Encoder:
         self._vocab = self.library.get_vocab(with_added_tokens=False)
         self._longest = max(map(len, self._vocab), default=1)
 
-    def plain(self, text: str) -> bool:
-        """Whether the cached path gives what the library gives."""
-        return not _OTHER.search(text) and not any(s in text for s in self.specials)
+    def shaped(self, text: str) -> str:
+        """The text with characters beyond the plain repertoire replaced by plain ones of their class."""
+        return text.translate(self._shape) if _OTHER.search(text) else text
+
+    def segments(self, text: str) -> list[tuple[int, int, int | None]]:
+        """(start, end, id) of the special strings of a text, and with id None of what is between them."""
+        out, at = [], 0
+        for m in self._special.finditer(text) if self._special else ():
+            out += [(at, m.start(), None), (m.start(), m.end(), self.specials[m[0]])]
+            at = m.end()
+        return [x for x in [*out, (at, len(text), None)] if x[1] > x[0]]
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        shape = self.shaped(text)
+        return _PIECES.findall(text) if shape is text else [text[m.start() : m.end()] for m in _PIECES.finditer(shape)]
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        if not self.plain(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self._ids.__getitem__, _PIECES.findall(text)))
+        special = self._special.search(text) if self._special else None
+        if special is None:
+            return b"".join(map(self._ids.__getitem__, self.pieces(text)))
+        return b"".join(array.array("I", [i]).tobytes() if i is not None else b"".join(map(self._ids.__getitem__, self.pieces(text[a:b]))) for a, b, i in self.segments(text))
 
     def _letters(self, piece: str) -> str:
         return "".join(map(self._alphabet.__getitem__, piece.encode()))
@@ -84,13 +127,10 @@ class Encoder:
     # -- prefix dynamic programming -------------------------------------------------------------------------------
 
     def _stays(self, left: str, right: str) -> bool:
-        """Whether BPE over the two tokens' bytes leaves exactly these two tokens."""
-        key = (left, right)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > 2 * CACHE_ENTRIES:
-                self._pairs.clear()
-            known = self._pairs[key] = [t.value for t in self._model.tokenize(left + right)] == [left, right]
+        """Whether BPE over the two tokens' bytes leaves exactly these two tokens; remembered."""
+        if len(self._pairs) > 2 * CACHE_ENTRIES:
+            self._pairs.clear()
+        known = self._pairs[left, right] = [t.value for t in self._model.tokenize(left + right)] == [left, right]
         return known
 
     def table(self, piece: str) -> tuple[int, ...]:
@@ -103,14 +143,19 @@ class Encoder:
 
     def _fill(self, piece: str) -> tuple[int, ...]:
         s = self._letters(piece)
-        vocab, n = self._vocab, len(s)
+        vocab, known, longest, n = self._vocab, self._pairs, self._longest, len(s)
         counts, last = [0] * (n + 1), [""] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self._longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 t = s[start:end]
-                if t in vocab and (start == 0 or self._stays(last[start], t)):
-                    if start == 0 and len(t) > 1 and not self._whole(t):
-                        continue
+                if t not in vocab:
+                    continue
+                if start:
+                    pair = last[start], t
+                    stays = known[pair] if pair in known else self._stays(*pair)
+                else:
+                    stays = end == 1 or self._whole(t)
+                if stays:
                     counts[end], last[end] = counts[start] + 1, t
                     break
             else:  # no entry fits: count this prefix by the library
@@ -124,10 +169,8 @@ class Encoder:
         return len(self._model.tokenize(token)) == 1
 
     def count(self, text: str) -> int:
-        """Tokens of the whole text: the last entry of the prefix counts."""
-        if not self.plain(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        return sum(self.sizes(_PIECES.findall(text)))
+        """Tokens of the whole text: the last entries of its pre-tokens' tables."""
+        return sum(1 if i is not None else sum(self.sizes(self.pieces(text[a:b]))) for a, b, i in self.segments(text))
 
     def sizes(self, pieces: list[str]) -> list[int]:
         """Tokens of each pre-token: the last entry of its table."""
@@ -135,10 +178,10 @@ class Encoder:
 
     def fitting(self, text: str, budget: int) -> tuple[int, int]:
         """(tokens of the text, code points of its longest prefix within the budget)."""
-        if not self.plain(text):
+        if self._special and self._special.search(text):
             p = PrefixCounts(self, text)
             return p.at(len(text)), p.longest(budget)
-        pieces = _PIECES.findall(text)
+        pieces = self.pieces(text)
         sizes = self.sizes(pieces)
         total = sum(sizes)
         if total <= budget:
@@ -165,29 +208,41 @@ class PrefixCounts:
     """Exact token counts of all prefixes of one text, without encoding any of them.
 
     Holds the count and start of each pre-token; a prefix that ends inside one adds an entry of that pre-token's
-    table. Two ends need care, as the pre-token pattern cuts them differently than in the whole text: a run of white
-    space at the end is one pre-token, and half a contraction is an apostrophe and letters.
+    table. Three ends need care, as they are cut differently than in the whole text: a run of white space at the end is
+    one pre-token, half a contraction is an apostrophe and letters, and part of a special string is ordinary text, which
+    goes on from the last pre-token before it.
     """
 
     def __init__(self, encoder: Encoder, text: str):
-        self.encoder, self.text, self.exact = encoder, text, encoder.plain(text)
-        if not self.exact:
-            return
-        self.pieces = [m.span() for m in _PIECES.finditer(text)]
-        sizes = encoder.sizes([text[a:b] for a, b in self.pieces])
+        self.encoder, self.text = encoder, text
+        self.pieces, self.special, self.shape, sizes = [], set(), "", []
+        for a, b, i in encoder.segments(text):
+            part = encoder.shaped(text[a:b])
+            if i is None:
+                spans = [(a + m.start(), a + m.end()) for m in _PIECES.finditer(part)]
+                sizes += encoder.sizes([text[x:y] for x, y in spans])
+                self.pieces += spans
+                self.shape += part
+            else:
+                self.special.add(len(self.pieces))
+                self.pieces.append((a, b))
+                sizes.append(1)
+                self.shape += "!" * (b - a)
         self.before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
         self.starts = np.array([a for a, _ in self.pieces] + [len(text)], np.int64)
 
     def at(self, end: int) -> int:
         """Tokens of ``text[:end]`` (code points)."""
         end = max(0, min(end, len(self.text)))
-        if not self.exact:
-            return self.encoder.count(self.text[:end])
         if not end:
             return 0
-        if self.text[end - 1].isspace() and end < len(self.text):
-            run = end
-            while run and self.text[run - 1].isspace():
+        k = int(np.searchsorted(self.starts, end, "right")) - 1
+        if k in self.special and end > self.starts[k]:
+            back = k if k == 0 or k - 1 in self.special else k - 1
+            return int(self.before[back]) + self.encoder.count(self.text[int(self.starts[back]) : end])
+        if self.shape[end - 1].isspace() and end < len(self.text):
+            run, first = end, int(self.starts[max([x for x in (k - 1, k) if x in self.special], default=-1) + 1]) if {k - 1, k} & self.special else 0
+            while run > first and self.shape[run - 1].isspace():
                 run -= 1
             return (self._inside(run) if run else 0) + self.encoder.table(self.text[run:end])[-1]
         return self._inside(end)
@@ -212,15 +267,9 @@ class PrefixCounts:
         n = len(self.text)
         if self.at(n) <= budget:
             return n
-        if not self.exact:  # by halves, then exactly around the end found: counts waver by a few tokens only
-            lo, hi = 0, n
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if self.at(mid) <= budget else (lo, mid)
-            return max(e for e in range(lo, min(n, lo + 64) + 1) if self.at(e) <= budget)
         k = int(np.searchsorted(self.before, budget, "right"))  # pre-token k starts beyond the budget
         stop = int(self.starts[min(k, len(self.starts) - 1)])
-        while stop < n and self.text[stop].isspace():
+        while stop < n and self.shape[stop].isspace():
             stop += 1
         return next(e for e in range(min(stop, n), -1, -1) if self.at(e) <= budget)
 
