@@ -24,6 +24,9 @@ from quire.llm.folds import SAMPLE_EACH, sample
 #: Bytes of an n-gram, positions of the filter (a power of two), hash functions, times an n-gram must occur in the sample.
 GRAM, POSITIONS, HASHES, LEAST = 5, 1 << 21, 3, 3
 
+#: Languages of one word of the filter; more languages take more words. N-grams from which a low score is evidence.
+WORD, EVIDENCE = 32, 12
+
 SCHEMA = "doc_id long, lang_pred string, score double, n_grams long"
 
 _FOLD = np.full(256, 32, np.uint8)  # digits and punctuation read as a space
@@ -33,23 +36,30 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every n-gram with at most one space at an end and none inside, over lower-cased UTF-8 bytes."""
+    """(hash, text) of every n-gram over lower-cased UTF-8 bytes: at most one space at an end and none inside, or a whole shorter word."""
     framed = np.full(len(data) + 2 * (len(offsets) - 1), 32, np.uint8)
     n = np.diff(offsets)
     row = np.repeat(np.arange(len(n)), n)
     framed[np.arange(len(data)) + 2 * row + 1] = _FOLD[data]
-    if len(framed) < GRAM:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     space = framed == 32
-    m = len(framed) - GRAM + 1
-    keep = ~(space[1:m + 1] if GRAM > 2 else np.zeros(m, bool))
-    for i in range(2, GRAM - 1):
-        keep &= ~space[i : m + i]
-    at = np.flatnonzero(keep)
-    h = np.zeros(len(at), np.uint64)
-    for i in range(GRAM):
-        h = (h << np.uint64(8)) | framed[at + i].astype(np.uint64)
-    return kernels.mix(h + np.uint64(0x51ED27)), np.searchsorted(offsets[1:] + 2 * np.arange(1, len(offsets)), at, "right")
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for size in range(3, GRAM + 1):  # below GRAM a space, a word and a space
+        m = len(framed) - size + 1
+        if m < 1:
+            continue
+        keep = ~space[1 : m + 1]
+        for i in range(2, size - 1):
+            keep &= ~space[i : m + i]
+        if size < GRAM:
+            keep &= space[:m] & space[size - 1 : m + size - 1]
+        at = np.flatnonzero(keep)
+        h = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            h = (h << np.uint64(8)) | framed[at + i].astype(np.uint64)
+        places.append(at)
+        hashes.append(h)
+    at = np.concatenate(places)
+    return kernels.mix(np.concatenate(hashes) + np.uint64(0x51ED27)), np.searchsorted(offsets[1:] + 2 * np.arange(1, len(offsets)), at, "right")
 
 
 def _lower(column: pa.Array) -> pa.Array:
@@ -63,9 +73,7 @@ class LanguageFilters:
         """Learned from labelled texts; languages in order of their number of texts."""
         names, counts = np.unique(np.array(langs, object).astype(str), return_counts=True) if langs else (np.zeros(0, str), np.zeros(0, int))
         self.names = [str(names[i]) for i in np.lexsort((names, -counts))]
-        if len(self.names) > 63:
-            raise ValueError("a filter position holds 63 languages at most")
-        self.bits = np.zeros(POSITIONS, np.uint64 if len(self.names) > 31 else np.uint32)
+        self.bits = np.zeros((max(1, -(-len(self.names) // WORD)), POSITIONS), np.uint32)
         for k, name in enumerate(self.names):
             data, offsets = kernels.strings(_lower(pa.array([t for t, x in zip(texts, langs, strict=True) if x == name], pa.large_string())))
             found = [np.unique(grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True) for i, j in kernels.slices(offsets)]
@@ -75,8 +83,13 @@ class LanguageFilters:
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
             total = np.add.reduceat(c, first) if len(first) else np.zeros(0, int)
             for p in self._positions(h[first][total >= least]):
-                self.bits[p] |= self.bits.dtype.type(1 << k)
-        self.false = np.array([float(np.mean((self.bits >> self.bits.dtype.type(k)) & self.bits.dtype.type(1))) ** HASHES for k in range(len(self.names))])
+                self.bits[k // WORD, p] |= np.uint32(1 << k % WORD)
+        self.false = np.array([float(np.mean(self._slice(self.bits, k))) ** HASHES for k in range(len(self.names))])
+
+    @staticmethod
+    def _slice(words: np.ndarray, k: int) -> np.ndarray:
+        """The bits of language ``k`` in words of masks."""
+        return (words[k // WORD] >> np.uint32(k % WORD)) & np.uint32(1)
 
     @staticmethod
     def _positions(h: np.ndarray) -> Iterator[np.ndarray]:
@@ -85,11 +98,11 @@ class LanguageFilters:
             yield ((h >> np.uint64(i * (64 - bits) // max(1, HASHES - 1))) & np.uint64(POSITIONS - 1)).astype(np.int64)
 
     def languages(self, h: np.ndarray) -> np.ndarray:
-        """Bit mask of the languages that have each n-gram (some by error)."""
+        """Bit masks, in words, of the languages that have each n-gram (some by error)."""
         p = self._positions(h)
-        mask = self.bits[next(p)]
+        mask = self.bits[:, next(p)]
         for x in p:
-            mask = mask & self.bits[x]
+            mask &= self.bits[:, x]
         return mask
 
     def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,8 +111,7 @@ class LanguageFilters:
         n = len(offsets) - 1
         total = np.bincount(row, minlength=n)
         mask = self.languages(h)
-        one = mask.dtype.type(1)
-        counts = np.stack([np.bincount(row[((mask >> mask.dtype.type(k)) & one).astype(bool)], minlength=n) for k in range(len(self.names))], 1)
+        counts = np.stack([np.bincount(row[self._slice(mask, k).astype(bool)], minlength=n) for k in range(len(self.names))], 1)
         share = (counts - total[:, None] * self.false) / (1 - self.false) / np.maximum(total, 1)[:, None]
         best = np.argmax(share, 1)
         return best, np.clip(share[np.arange(n), best], 0, 1), total
@@ -125,7 +137,7 @@ def _predict(f: LanguageFilters, column: pa.Array) -> tuple[np.ndarray, np.ndarr
 
 def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and the number of n-grams looked up, of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # fixed size: POSITIONS words
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # POSITIONS words of 4 bytes for every 32 languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.names, "und"], object)
@@ -137,13 +149,16 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
 
 
 def keep_identified(docs: DataFrame, filters: LanguageFilters, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, all their columns, whose text is in a learned language with a score of ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # fixed size: POSITIONS words
+    """The rows, all their columns, whose text has a letter and no evidence against all learned languages.
+
+    A score under ``least`` is evidence where the text has ``EVIDENCE`` n-grams or more.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # POSITIONS words of 4 bytes for every 32 languages
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, score, _ = _predict(shared.value, b.column(at))
-            yield b.filter(pa.array((best < len(shared.value.names)) & (score >= least)))
+            best, score, total = _predict(shared.value, b.column(at))
+            yield b.filter(pa.array((best < len(shared.value.names)) & ((score >= least) | (total < EVIDENCE))))
 
     return docs.mapInArrow(keep, docs.schema)
