@@ -5,8 +5,9 @@ with those of the documents; around every hit the two texts are compared word by
 overlap counts if some window has enough equal words. The masks are chosen so that every window with as many
 substitutions as allowed is hit by one of them.
 
-Defined cases: null or empty texts and items overlap with nothing; items shorter than the window but of at least
-``SHORTEST`` words must occur whole and unchanged, shorter ones are no evidence and overlap with nothing; repeated
+Defined cases: null or empty texts and items overlap with nothing; items shorter than the window must occur whole, with as
+many substitutions as ``allowed`` says for their length (none under 8 words); items under ``SHORTEST`` words are ordinary
+phrases, no evidence, and overlap with nothing; repeated
 documents each get their rows, repeated item ids count as one item; null document ids keep their rows; empty tables give
 an empty result; other columns are not read by ``overlaps`` and kept by ``clean``.
 """
@@ -24,7 +25,10 @@ from pyspark.sql import DataFrame
 from quire.llm import kernels
 
 #: Words of a window, substitutions allowed in it, words picked by a mask, words of the shortest item that counts.
-WINDOW, SUBSTITUTIONS, WEIGHT, SHORTEST = 13, 3, 5, 8
+WINDOW, SUBSTITUTIONS, WEIGHT, SHORTEST = 13, 3, 5, 4
+
+#: Hits, and words along their diagonals, that are looked at together: bounds the memory of texts that repeat a phrase.
+HITS = 1 << 21
 
 #: Benchmark words sent to every task at once (about 50 bytes a word); more are taken in blocks, one pass each.
 BLOCK_WORDS = 400_000
@@ -32,7 +36,12 @@ BLOCK_WORDS = 400_000
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
 
 
-@functools.lru_cache(maxsize=8)
+def allowed(words: int) -> int:
+    """Substitutions allowed in an item shorter than the window."""
+    return 0 if words < 8 else 1 if words < 11 else 2
+
+
+@functools.lru_cache(maxsize=16)
 def masks(window: int = WINDOW, substitutions: int = SUBSTITUTIONS, weight: int = WEIGHT) -> tuple[tuple[int, ...], ...]:
     """Few masks of ``weight`` positions of which one, somewhere in the window, avoids any ``substitutions`` positions."""
     misses = [frozenset(c) for c in itertools.combinations(range(window), substitutions)]
@@ -77,61 +86,91 @@ class Passages:
         self.ends = np.cumsum(counts)
         self.starts = self.ends - counts
         self.item_of = np.repeat(np.arange(len(items)), counts)
-        self.masks = [*masks(window, substitutions, weight), *(tuple(range(n)) for n in sorted({int(c) for c in counts if SHORTEST <= c < window}))]
+        # (item length or None for all from the window on, mask)
+        self.masks = [(None, m) for m in masks(window, substitutions, weight)]
+        for n in sorted({int(c) for c in counts if SHORTEST <= c < window}):
+            self.masks += [(n, m) for m in (masks(n, allowed(n), weight) if allowed(n) else [tuple(range(n))])]
         self.tables = []
-        for mask in self.masks:
+        for n, mask in self.masks:
             h = _masked(self.words, mask)
             at = np.arange(len(h))
             whole = self.item_of[at] == self.item_of[at + mask[-1]] if len(at) else np.zeros(0, bool)
             length = counts[self.item_of[at]]
-            short = SHORTEST <= len(mask) == mask[-1] + 1  # the whole of an item of this length
-            keep = whole & (length == len(mask) if short else length >= window)
+            keep = whole & (length >= window if n is None else length == n)
             at, h = at[keep], h[keep]
             order = np.argsort(h, kind="stable")
             maybe = np.zeros(1 << _BITS, bool)
             maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
             self.tables.append((h[order], at[order], maybe))
 
+    def _diagonals(self, words: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+        """(text, item, distance between the two places) of all hits, in blocks of hits."""
+        found = [np.zeros((0, 3), np.int64)]
+        for (_, mask), (keys, places, maybe) in zip(self.masks, self.tables, strict=True):
+            h = _masked(words, mask)
+            at = np.flatnonzero(maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)]) if len(h) else np.zeros(0, np.int64)
+            at = at[text_of[at] == text_of[at + mask[-1]]] if len(at) else at
+            lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            total, a = np.cumsum(n), 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right")))
+                k = n[a:b]
+                place = places[np.repeat(lo[a:b], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+                g = np.repeat(at[a:b], k)
+                found.append(np.unique(np.stack([text_of[g], self.item_of[place], g - place], 1), axis=0))
+                a = b
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _need(self, size: int) -> int:
+        """Equal words that a window of ``size`` words must have."""
+        return self.need if size == self.window else size - allowed(size)
+
     def overlaps(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, start in the text, start in the item, words, equal words) of each text's best overlap with each item."""
         words, counts, _ = kernels.words(data, offsets)
         ends = np.cumsum(counts)
         starts, text_of = ends - counts, np.repeat(np.arange(len(counts)), counts)
-        hits = []
-        for mask, (keys, places, maybe) in zip(self.masks, self.tables, strict=True):
-            h = _masked(words, mask)
-            at = np.flatnonzero(maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)]) if len(h) else np.zeros(0, np.int64)
-            at = at[text_of[at] == text_of[at + mask[-1]]] if len(at) else at
-            lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-            n = hi - lo
-            if n.sum():
-                place = places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                hits.append(np.stack([np.repeat(at, n), place], 1))
-        if not hits:
+        diagonals = self._diagonals(words, text_of)
+        if not len(diagonals):
             return []
-        g, p = np.concatenate(hits).T
-        # one diagonal for each (text, item, distance between the two places)
-        diagonals = np.unique(np.stack([text_of[g], self.item_of[p], g - p], 1), axis=0)
+        t, i, d = diagonals.T
+        lo, hi = np.maximum(starts[t], self.starts[i] + d), np.minimum(ends[t], self.ends[i] + d)
+        size = np.minimum(self.window, self.ends[i] - self.starts[i])
+        keep = hi - lo >= size
+        diagonals, lo, hi, size = diagonals[keep], lo[keep], hi[keep], size[keep]
+        need = np.array([self._need(k) for k in range(self.window + 1)])[size]
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for t, i, d in diagonals.tolist():
-            lo, hi = max(int(starts[t]), int(self.starts[i]) + d), min(int(ends[t]), int(self.ends[i]) + d)
-            size = min(self.window, int(self.ends[i] - self.starts[i]))
-            if hi - lo < size:
-                continue
-            same = words[lo:hi] == self.words[lo - d : hi - d]
+        length, a = hi - lo, 0
+        reach = np.cumsum(length)
+        while a < len(diagonals):
+            b = max(a + 1, int(np.searchsorted(reach, (reach[a - 1] if a else 0) + HITS, "right")))
+            n = length[a:b]
+            first = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(lo[a:b], n)
+            same = words[at] == self.words[at - np.repeat(diagonals[a:b, 2], n)]
             total = np.concatenate([[0], np.cumsum(same)])
-            good = np.flatnonzero(total[size:] - total[:-size] >= (self.need if size == self.window else size))
-            if not len(good):
-                continue
-            for run in np.split(good, np.flatnonzero(np.diff(good) > size) + 1):
-                a, b = int(run[0]), int(run[-1]) + size
-                inner = np.flatnonzero(same[a:b])
-                a, b = a + int(inner[0]), a + int(inner[-1]) + 1
-                found = (int(total[b] - total[a]), -(lo + a - int(starts[t])), -(lo + a - d - int(self.starts[i])), b - a)
-                if found > best.get((t, i), (0, 0, 0, 0)):
-                    best[t, i] = found
+            width = np.repeat(size[a:b], n)
+            inside = np.arange(len(at)) + width <= np.repeat(first + n, n)
+            equal = total[np.minimum(np.arange(len(at)) + width, len(at))] - total[:-1]
+            good = np.flatnonzero(inside & (equal >= np.repeat(need[a:b], n)))
+            own = np.searchsorted(first, good, "right") - 1
+            for k in np.unique(own).tolist():
+                self._best(best, diagonals[a + k], good[own == k] - first[k], same[first[k] : first[k] + n[k]], int(lo[a + k]), int(size[a + k]), starts)
+            a = b
         return [(t, i, -x[1], -x[2], x[3], x[0]) for (t, i), x in sorted(best.items())]
 
+    def _best(self, best: dict, diagonal: np.ndarray, good: np.ndarray, same: np.ndarray, lo: int, size: int, starts: np.ndarray) -> None:
+        """Keep the stretch of good windows with the most equal words for this text and item (ties: the earliest)."""
+        t, i, d = diagonal.tolist()
+        for run in np.split(good, np.flatnonzero(np.diff(good) > size) + 1):
+            a, b = int(run[0]), int(run[-1]) + size
+            inner = np.flatnonzero(same[a:b])
+            a, b = a + int(inner[0]), a + int(inner[-1]) + 1
+            found = (int(same[a:b].sum()), -(lo + a - int(starts[t])), -(lo + a - d - int(self.starts[i])), b - a)
+            if found > best.get((t, i), (0, 0, 0, 0)):
+                best[t, i] = found
+
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[Passages]:
     """Items in blocks of bounded size; the driver holds one block at a time."""

@@ -3,7 +3,10 @@ from __future__ import annotations
 import itertools
 import random
 
+import pyarrow as pa
+
 from quire.llm import decontaminate as d
+from quire.llm import kernels
 from tests.llm import edge
 
 
@@ -12,7 +15,7 @@ def brute(text, item):
     if len(b) < d.SHORTEST:
         return False
     n = min(d.WINDOW, len(b))
-    need = d.WINDOW - d.SUBSTITUTIONS if n == d.WINDOW else n
+    need = d.WINDOW - d.SUBSTITUTIONS if n == d.WINDOW else n - d.allowed(n)
     return any(sum(a[i + k] == b[j + k] for k in range(n)) >= need for i in range(len(a) - n + 1) for j in range(len(b) - n + 1))
 
 
@@ -21,10 +24,27 @@ def test_masks_find_every_window():
         assert any(not any(o + i in misses for i in m) for m in d.masks() for o in range(d.WINDOW - m[-1]))
 
 
+def test_masks_of_short_items_find_every_item():
+    for n in range(8, d.WINDOW):
+        for misses in itertools.combinations(range(n), d.allowed(n)):
+            assert any(not any(o + i in misses for i in m) for m in d.masks(n, d.allowed(n)) for o in range(n - m[-1]))
+
+
+def test_a_passage_repeated_thousands_of_times(monkeypatch):
+    monkeypatch.setattr(d, "HITS", 1 << 16)
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    text = " ".join([item] * 3000 + ["end"])
+    p = d.Passages([(k, item) for k in range(5)] + [(9, "six seven eight nine")])
+    data, offsets = kernels.strings(pa.array([text, "nothing here", item.replace("five", "zz")], pa.large_string()))
+    got = p.overlaps(data, offsets)
+    assert [(t, i) for t, i, *_ in got] == [(0, k) for k in range(6)] + [(2, k) for k in range(6)]
+    assert [x[2:] for x in got if x[0] == 2] == [(0, 0, 14, 13)] * 5 + [(5, 0, 4, 4)]
+
+
 def sample(seed):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(30)]
-    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([3, 8, 10, 12, 13, 14, 20, 40])))) for k in range(20)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([3, 4, 6, 8, 10, 12, 13, 14, 20, 40])))) for k in range(20)]
     docs = []
     for k in range(150):
         w = [r.choice(words) for _ in range(r.randint(0, 40))]
