@@ -77,8 +77,8 @@ def mix(docs: DataFrame, epochs: int = 3, seed: int = 17, id_col: str = "doc_id"
 
 def mixed(docs: DataFrame, epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows the mix takes, all their columns, each as often as it is taken."""
-    copies = mix(docs, epochs, seed, id_col, text_col, source_col).where("copies > 0").select(F.col("sig").alias("_sig"), F.col("copies").alias("_copies"))
-    # 12 bytes a kept document: sent to every task if they are few enough, else the texts are shuffled
+    copies = mix(docs, epochs, seed, id_col, text_col, source_col).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), F.col("copies").alias("_copies"))
+    # 20 bytes a kept document: sent to every task if they are few enough, else the texts are shuffled
     copies = small(scratch.materialize(copies, "mix-copies"))
     sig = F.xxhash64(docs[id_col], docs[source_col], docs[text_col])
-    return docs.join(copies, sig == F.col("_sig")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    return docs.join(copies, (sig == F.col("_sig")) & docs[id_col].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

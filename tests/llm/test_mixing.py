@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from quire.llm import mixing
 from tests.llm import edge
 
@@ -67,3 +69,24 @@ def test_reruns_agree_and_rows_come_back_as_often_as_taken(spark):
     copies = sum(r.copies * r.m for r in mixing.mix(docs).collect())
     assert len(rows) == copies
     assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_copies_are_those_of_a_sorted_list(spark):
+    """Which copies are taken, against fair queueing over plain lists."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = mixing.mix(docs).withColumn("key", F.xxhash64(F.lit(17), "sig")).collect()
+    by = {(r.doc_id, r.source) for r in docs.collect()}
+    source = {i: s for i, s in by}
+    order = sorted({s for _, s in by}, key=lambda s: (s is None, s or ""))
+    copies = []
+    for rank, s in enumerate(order):
+        own, at = sorted((g for g in got if source[g.doc_id] == s), key=lambda g: (g.key, g.doc_id, g.sig)), 0
+        total = sum(g["size"] * g.m for g in own)
+        for g in own:
+            at += g["size"] * g.m
+            copies += [((e * total + at) / (1 + rank % 3), rank, e, g.key, g.doc_id, g.sig, g["size"] * g.m) for e in range(3)]
+    budget, taken, spent = sum(g["size"] * g.m for g in got), defaultdict(int), 0
+    for c in sorted(copies):
+        spent += c[6]
+        taken[c[4], c[5]] += spent <= budget
+    assert {(g.doc_id, g.sig): g.copies for g in got} == dict(taken)
