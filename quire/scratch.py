@@ -1,7 +1,7 @@
 """Written intermediate tables in the folder that driver and executors share.
 
 Lineage is cut by writing a table and reading it back, so a lost executor costs a re-read, not a recomputation.
-The folder comes from ``spark.checkpoint.dir``; one of our own is used only where the setting is absent (tests).
+The folder comes from ``spark.checkpoint.dir``; one of our own is used only in local sessions without the setting.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, else a per-process one."""
+    """The shared folder named by the session; in a local session without one, a folder of this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="quire-"))
 
 
@@ -52,6 +54,7 @@ def drop(df: DataFrame) -> None:
     """Delete the table behind a frame made by :func:`materialize` once nothing reads it any more."""
     if path := getattr(df, "_quire_path", None):
         delete(df.sparkSession, path)
+        _MADE[:] = [x for x in _MADE if x[1] != path]
 
 
 def release(spark: SparkSession) -> None:

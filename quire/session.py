@@ -1,4 +1,4 @@
-"""Session construction for tests, the benchmark and ad-hoc use."""
+"""Local sessions for tests, the benchmark and ad-hoc use; their one process may share a machine-local folder with itself."""
 
 from __future__ import annotations
 
