@@ -58,7 +58,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to ``EPOCHS`` times.
 
-    Null texts have size 0 and are taken; a null source is a source of its own; fully repeated rows share one decision;
+    Null texts have size 0 and are taken where the queue is taken as far as their place; a null source is a source of its own; fully repeated rows share one decision;
     rows tie by finish time, then source, epoch and a hash of their content.
     """
     return mixing.mixed(docs, EPOCHS)
