@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by learned partitions.
 
 A bounded sample's neighbour graph is cut into equal parts by recursive bisection; a small network learns to tell a
-vector's part and deals every row to its most probable one. A query goes to its few most probable parts, as many as
-reach the wanted recall on the sample, and their rows are ranked by exact distance. Parts larger than a block are
-searched in blocks, so no task holds a part or a query set of unknown size.
+vector's part and deals every row to its most probable one. Tables beyond what so many parts can hold are cut finer by
+the same network: a row's cell is its most probable part, the next probable, and so on for as many places as the number of
+rows asks for, so that cells keep their size however large the table is. A query goes to its few most probable cells, as
+many as reach the wanted recall on the sample, and their rows are ranked by exact distance. Cells larger than a block are
+searched in blocks, so no task holds a cell or a query set of unknown size.
 
 Equal vectors are searched once: of each, the smallest ids are kept, one more than the neighbours asked for, which no
 query's answer can go beyond.
@@ -24,10 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import scratch
-from quire.llm.arrow import small
+from quire.llm.arrow import small, spread
 
-#: Rows the partitions are learned from, at most about; rows a part should have, parts at most; rows and queries of a block.
-SAMPLE, PART_ROWS, MAX_PARTS, BLOCK_ROWS = 6_000, 800, 256, 8192
+#: Rows the partitions are learned from, at most about; rows a cell should have, parts of the network at most; rows and
+#: queries of a block; cells that each further place of a cell's name makes of one, about; cells a query visits at most.
+SAMPLE, PART_ROWS, MAX_PARTS, BLOCK_ROWS, FANOUT, MAX_PROBES = 6_000, 800, 256, 8192, 8, 256
 #: Neighbours in the sample's graph; share of them that the probed parts must hold.
 GRAPH_K, RECALL = 10, 0.95
 
@@ -88,9 +91,12 @@ def bisect(graph: np.ndarray, depth: int, seed: int = 1) -> np.ndarray:
 
 
 class Router:
-    """A network of one hidden layer from vectors to parts, and how many parts a query must visit."""
+    """A network of one hidden layer from vectors to parts, and how many cells a query must visit.
 
-    def __init__(self, x: np.ndarray, k: int = GRAPH_K, n_parts: int = 16, recall: float = RECALL, seed: int = 2):
+    A cell is named by its ``places`` most probable parts in order; with one place cells are parts.
+    """
+
+    def __init__(self, x: np.ndarray, k: int = GRAPH_K, n_parts: int = 16, recall: float = RECALL, seed: int = 2, places: int = 1):
         rng = np.random.default_rng(seed)
         depth = max(0, n_parts.bit_length() - 1)
         while depth and len(x) < 4 << depth:
@@ -100,19 +106,51 @@ class Router:
         d, h = x.shape[1], 128
         self.w1, self.b1 = rng.normal(size=(d, h)) / np.sqrt(d), np.zeros(h)
         self.w2, self.b2 = rng.normal(size=(h, self.parts)) / np.sqrt(h), np.zeros(self.parts)
-        self.probes = 1
+        self.probes, self.places = 1, max(1, min(places, self.parts - 1))
         if self.parts == 1:
             return
         graph = neighbour_graph(x, k)
         part = bisect(graph, depth)
         self._train(x, part, rng)
-        # probes: the fewest parts that hold the wanted share of the sample's own neighbours
+        # probes: the fewest cells that hold the wanted share of the sample's own neighbours
         tried = rng.permutation(len(x))[:1000]
-        dealt = self.logits(x).argmax(1)
-        rank = np.argsort(np.argsort(-self.logits(x[tried]), 1), 1)
-        need = np.sort(rank[np.arange(len(tried))[:, None], dealt[graph[tried]]].ravel())
+        dealt = self.cells(x)[:, 0]
+        visited = self.cells(x[tried], min(MAX_PROBES, self.parts if self.places == 1 else MAX_PROBES))
+        hit = visited[:, None, :] == dealt[graph[tried]][:, :, None]
+        need = np.sort(np.where(hit.any(2), hit.argmax(2), visited.shape[1] - 1).ravel())
         self.probes = int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
+    def cells(self, x: np.ndarray, probes: int = 1) -> np.ndarray:
+        """The ``probes`` most probable cells of each vector, best first (-1 where there are fewer).
+
+        Places are filled one by one from the parts not yet named, each with its probability among those; only the best
+        names go on to the next place.
+        """
+        z = self.logits(x)
+        order = np.argsort(-z, 1, kind="stable")
+        if self.places == 1 or probes == 1:
+            top = order[:, : probes if self.places == 1 else self.places]
+            return top if self.places == 1 else (top * self.parts ** np.arange(self.places - 1, -1, -1)).sum(1, keepdims=True)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        width = min(self.parts, max(8, probes))
+        out = np.full((len(x), probes), -1, np.int64)
+        for row in range(len(x)):
+            parts = order[row, :width]
+            share = np.maximum(p[row, parts], 1e-30)
+            names, used, left, score = np.zeros(1, np.int64), np.zeros((1, width), bool), np.ones(1), np.zeros(1)
+            for _ in range(self.places):
+                step = score[:, None] + np.log(share)[None, :] - np.log(np.maximum(left, 1e-30))[:, None]
+                step[used] = -np.inf
+                best = np.argsort(-step, None, kind="stable")[: 2 * probes]
+                best = best[np.isfinite(step.ravel()[best])]
+                a, b = np.divmod(best, width)
+                score, names, left = step[a, b], names[a] * self.parts + parts[b], left[a] - share[b]
+                used = used[a].copy()
+                used[np.arange(len(a)), b] = True
+            out[row, : min(probes, len(names))] = names[:probes]
+        return out
+
     def _train(self, x: np.ndarray, part: np.ndarray, rng: np.random.Generator, epochs: int = 12, rate: float = 0.003) -> None:
         z = (x - self.centre) / self.scale
         weights = [self.w1, self.b1, self.w2, self.b2]
@@ -170,7 +208,9 @@ def fit(rows: DataFrame, n_rows: int, sample: int = SAMPLE) -> Router | None:
     lengths, counts = np.unique([len(r[0]) for r in got], return_counts=True)
     size = lengths[counts.argmax()]
     x = np.unique(np.stack([np.frombuffer(bytes(r[0])) for r in got if len(r[0]) == size]), axis=0)
-    return Router(x, n_parts=int(np.clip(2 ** round(np.log2(max(1, n_rows / PART_ROWS))), 1, MAX_PARTS)))
+    wanted = max(1, n_rows / PART_ROWS)
+    places = 1 + max(0, int(np.ceil(np.log(wanted / MAX_PARTS) / np.log(FANOUT))))
+    return Router(x, n_parts=int(np.clip(2 ** round(np.log2(wanted)), 1, MAX_PARTS)), places=places)
 
 
 def _nearest(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -201,21 +241,23 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     kept = base.withColumn("_r", F.dense_rank().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
     index = scratch.materialize(_deal(kept.groupBy("h", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), router, 1, "h string, v binary, ids array<long>"), "vector-index")
     distinct = queries.select("h", "v").distinct()
-    found = scratch.materialize(_probe(index, distinct, router, router.probes, k), "vector-found")
-    if router.probes < router.parts:
-        # queries whose parts gave too few neighbours are searched everywhere
+    found = scratch.materialize(_probe(index, _deal(distinct, router, router.probes, "h string, v binary"), k), "vector-found")
+    if router.parts > 1:
+        # queries whose cells gave too few neighbours are searched everywhere, as if all rows were in one cell
         counts = found.groupBy("h").count()
         short = scratch.materialize(distinct.join(counts, "h", "left").where(F.coalesce("count", F.lit(0)) < min(k + 1, n_rows)).select("h", "v"), "vector-short")
         if short.take(1):
-            again = _probe(index, short, router, router.parts, k)
+            whole = F.lit(0).cast("long").alias("part")
+            again = _probe(index.select("h", "v", "ids", whole), short.select("h", "v", whole), k)
             found = found.join(short.select("h"), "h", "left_anti").unionByName(scratch.materialize(again, "vector-again"))
-    pairs = queries.select("h", F.col("vec_id").alias("query_id")).join(found, "h").where("query_id <> vec_id")
+    # many queries can have one vector
+    pairs = spread(queries.select("h", F.col("vec_id").alias("query_id")), found, ["h"]).where("query_id <> vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "h").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _deal(rows: DataFrame, router: Router, probes: int, schema: str) -> DataFrame:
-    """Each row once for every one of its ``probes`` most probable parts; column ``part`` follows."""
+    """Each row once for every one of its ``probes`` most probable cells; column ``part``, the cell, follows."""
     shared = rows.sparkSession.sparkContext.broadcast(router)  # fixed size: dimension x 128 + 128 x MAX_PARTS weights
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,20 +266,19 @@ def _deal(rows: DataFrame, router: Router, probes: int, schema: str) -> DataFram
             if not b.num_rows:
                 continue
             at = b.schema.get_field_index("v")
-            logits = r.logits(np.stack([np.frombuffer(x) for x in b.column(at).to_pylist()]))
-            best = np.argsort(-logits, 1, kind="stable")[:, :probes]
-            row = pa.array(np.repeat(np.arange(b.num_rows), best.shape[1]))
-            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns), pa.array(best.ravel().astype(np.int32))], names=[*b.schema.names, "part"])
+            best = r.cells(np.stack([np.frombuffer(x) for x in b.column(at).to_pylist()]), probes)
+            row, rank = np.nonzero(best >= 0)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns), pa.array(best[row, rank].astype(np.int64))], names=[*b.schema.names, "part"])
 
-    return rows.mapInArrow(deal, f"{schema}, part int")
+    return rows.mapInArrow(deal, f"{schema}, part long")
 
 
-def _probe(index: DataFrame, queries: DataFrame, router: Router, probes: int, k: int) -> DataFrame:
-    """h, vec_id, score: the k + 1 nearest ids of each query among its parts' rows."""
-    routed = scratch.materialize(_deal(queries, router, probes, "h string, v binary"), "vector-routed")
+def _probe(index: DataFrame, routed: DataFrame, k: int) -> DataFrame:
+    """h, vec_id, score: the k + 1 nearest ids of each query among the rows of the cells it is routed to."""
+    routed = scratch.materialize(routed, "vector-routed")
     # rows and queries of a part are cut into blocks; each block of rows meets each block of queries once
     sizes = index.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).join(routed.groupBy("part").agg(F.count(F.lit(1)).alias("_q")), "part")
-    blocks = small(sizes.select("part", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("row_blocks"), F.ceil(F.col("_q") / BLOCK_ROWS).cast("int").alias("query_blocks")), router.parts)
+    blocks = small(scratch.materialize(sizes.select("part", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("row_blocks"), F.ceil(F.col("_q") / BLOCK_ROWS).cast("int").alias("query_blocks")), "vector-blocks"))
     rows = index.join(blocks, "part").select("part", F.pmod(F.hash("h"), F.col("row_blocks")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), F.lit(1).alias("kind"), "h", "v", "ids")
     asks = routed.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("rb"), F.pmod(F.hash("h"), F.col("query_blocks")).alias("qb"), F.lit(0).alias("kind"), "h", "v", F.array().cast("array<long>").alias("ids"))
     met = asks.unionByName(rows).repartition("part", "rb", "qb").sortWithinPartitions("part", "rb", "qb", "kind")

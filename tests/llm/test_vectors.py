@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import vectors
@@ -38,12 +39,17 @@ def test_few_and_no_rows(spark):
     assert vectors.search(df.limit(0), F.col("vec_id") % 4 == 0).collect() == []
 
 
-def test_recall_against_brute_force(spark):
-    x = np.stack([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()]).astype(float)
-    ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("vec_id").collect()]
+@pytest.mark.parametrize(("parts", "part_rows"), [(256, 800), (8, 20)])
+def test_recall_against_brute_force(spark, monkeypatch, parts, part_rows):
+    """Also where the table is far beyond what the network's parts can hold, and cells have several places."""
+    monkeypatch.setattr(vectors, "MAX_PARTS", parts)
+    monkeypatch.setattr(vectors, "PART_ROWS", part_rows)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.orderBy("vec_id").collect()
+    x, ids = np.stack([r.embedding for r in rows]).astype(float), [r.vec_id for r in rows]
     hit = total = 0
     found = {}
-    for r in vectors.search(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 100 == 0).collect():
+    for r in vectors.search(table, F.col("vec_id") % 100 == 0).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     for k, i in enumerate(ids):
         if i % 100 == 0:
@@ -55,6 +61,16 @@ def test_recall_against_brute_force(spark):
     assert hit / total >= 0.9
 
 
+def test_cells_keep_their_size():
+    rng = np.random.default_rng(5)
+    router = vectors.Router(rng.normal(size=(600, 8)), n_parts=8, places=3)
+    x = rng.normal(size=(5000, 8))
+    cells, visits = router.cells(x)[:, 0], router.cells(x[:50], 20)
+    assert np.bincount(np.unique(cells, return_inverse=True)[1]).max() < len(x) / 16
+    assert (visits[:, 0] == cells[:50]).all()
+    assert all(len(set(v.tolist())) == 20 for v in visits)
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(3).normal(size=(1024, 8))
     part = vectors.bisect(vectors.neighbour_graph(x, 10), 3)
