@@ -24,6 +24,9 @@ from quire.llm.folds import SAMPLE_EACH, sample
 #: Bytes of an n-gram, positions of the filter (a power of two), hash functions, times an n-gram must occur in the sample.
 GRAM, POSITIONS, HASHES, LEAST = 5, 1 << 21, 3, 3
 
+#: Texts of a language for each time more, from one up to LEAST, that an n-gram must occur.
+FEW = 50
+
 #: Languages of one word of the filter; more languages take more words. N-grams from which a low score is evidence.
 WORD, EVIDENCE = 32, 12
 
@@ -82,7 +85,7 @@ class LanguageFilters:
             h, c = h[order], np.concatenate([x for _, x in found])[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
             total = np.add.reduceat(c, first) if len(first) else np.zeros(0, int)
-            for p in self._positions(h[first][total >= least]):
+            for p in self._positions(h[first][total >= min(least, 1 + len(offsets) // FEW)]):
                 self.bits[k // WORD, p] |= np.uint32(1 << k % WORD)
         self.false = np.array([float(np.mean(self._slice(self.bits, k))) ** HASHES for k in range(len(self.names))])
 

@@ -6,8 +6,8 @@ range-sorted by finish time and the prefix within the total budget is taken; a s
 the others by weight, so each gets the water-filled target.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; fully identical rows share one
-decision; documents of size 0 are taken with size 0; an empty table gives an empty result; rows tie by finish time, then
-source, epoch and shuffle key.
+decision; documents of size 0 are taken, with size 0, where the queue is taken as far as their place; an empty table gives
+an empty result; rows tie by finish time, then source, epoch and shuffle key.
 """
 
 from __future__ import annotations

@@ -51,7 +51,7 @@ def test_language_against_plain_sets(spark):
     known = {}
     for name in f.names:
         counts = Counter(g for r in learn if r.lang == name for g in plain_grams(r.text))
-        known[name] = {g for g, n in counts.items() if n >= language.LEAST}
+        known[name] = {g for g, n in counts.items() if n >= min(language.LEAST, 1 + (sum(r.lang == name for r in learn) + 1) // language.FEW)}
     column = pa.array([r.text for r in asked], pa.string())
     best, score, total = language._predict(f, column)
     for r, b, s, n in zip(asked, best, score, total, strict=True):
