@@ -3,11 +3,11 @@
 The order of all n-grams is that of their hashes. It is cut into fragments; a pair's overlap is the sum of its overlaps in
 the fragments. Three steps:
 
-* candidates: a linked pair differs in at most k n-grams, so of m fragments it agrees in m - k or more. A set with more than
-  k fragments that hold something therefore agrees with each of its partners in one of those, and meets it under the hash
-  of (fragment, its n-grams), which strangers almost never share, however common their single n-grams are. A set with
-  fewer is cut anew in another order, until it has enough; both sets of a pair go through the same cuts as far as the
-  first that suits one of them, so no pair is lost and no set is ever met by what it lacks;
+* candidates: a linked pair differs in at most k n-grams, so it disagrees in at most k fragments, and of the first k + 1
+  fragments of each that hold something at least one is the same for both. Sets meet under the hashes of those (fragment,
+  its n-grams), which strangers almost never share, however common their single n-grams are. A set with no more than k
+  such fragments is cut anew in another order, until it has enough; both sets of a pair go through the same cuts as far as
+  the first that suits one of them, so no pair is lost and no set is ever met by what it lacks;
 * bounds: the parity of the n-grams that fall on each bit of a sketch; two sketches differ in no more bits than the sets
   differ in n-grams, so pairs whose sketches differ in too many bits are dropped without loss;
 * counting: the sets that met someone are written once, cut into fragments; a candidate pair's n-grams are compared
@@ -65,54 +65,57 @@ class Cuts:
         if not 50 < share <= 100:
             raise ValueError("the threshold is over 50 and at most 100 hundredths")
         self.share, self.lower, self.plans, self.met = share, [1], {}, {}
-        part = (100 - share) / share
-        # a class is so narrow that its least set keeps more n-grams than a linked pair of its largest sets may differ in
-        self.ratio = min(1.25, (1 + part) / (2 * part)) if part else 1.25
 
     def _grow(self, n: int) -> None:
         while self.lower[-1] <= n:
-            self.lower.append(max(self.lower[-1] + 1, int(self.lower[-1] * self.ratio)))
+            self.lower.append(max(self.lower[-1] + 1, self.lower[-1] * 3 // 2))
 
     def size_class(self, n: int) -> int:
         """The class c with lower[c] <= n < lower[c + 1]."""
         self._grow(n)
         return int(np.searchsorted(self.lower, n, "right")) - 1
 
-    def differ(self, c: int) -> int:
-        """The most n-grams in which a linked pair differs whose smaller set is of class ``c``."""
+    def upper(self, c: int) -> int:
+        """The largest size of class ``c``."""
         while len(self.lower) <= c + 1:
             self._grow(self.lower[-1])
-        x = self.lower[c + 1] - 1
-        y = x * 100 // self.share
-        return (x + y) * (100 - self.share) // (100 + self.share)
+        return self.lower[c + 1] - 1
+
+    def differ(self, n: int, c: int | None = None) -> int:
+        """The most n-grams in which a set of ``n`` differs from a linked one, the smaller of the two being of class ``c``."""
+        other = n * 100 // self.share if c is None or self.upper(c) >= n else self.upper(c)
+        return (n + other) * (100 - self.share) // (100 + self.share)
 
     def fragments(self, c: int) -> int:
-        """Fragments for class ``c``: the fewest of which its least set fills more than ``differ`` in most cuts.
+        """Fragments for class ``c``: the fewest of which its sets fill more than they may differ in, in most cuts.
 
         0 where no number of them does: there every n-gram is a fragment of its own.
         """
         if c not in self.plans:
-            k, least = self.differ(c), self.lower[c]
+            ends = [(n, self.differ(n) + 1) for n in (self.lower[c] if c < len(self.lower) else self.upper(c - 1) + 1, self.upper(c))]
+            most = 64 * sum(n for n, _ in ends)
 
             def fills(m: int) -> bool:
-                empty = math.exp(-least / m)
-                spread_of = math.sqrt(max(0.0, m * empty * (1 - (1 + least / m) * empty)))
-                return m * (1 - empty) - spread_of >= k + 1
-
-            lo, hi = k, k + 1
-            while hi <= 64 * (least + k) and not fills(hi):
+                for n, need in ends:
+                    empty = math.exp(-n / m)
+                    if m * (1 - empty) - math.sqrt(max(0.0, m * empty * (1 - (1 + n / m) * empty))) < need:
+                        return False
+                return True
+
+            lo, hi = 0, 1
+            while hi <= most and not fills(hi):
                 lo, hi = hi, 2 * hi
-            while hi - lo > 1 and hi <= 64 * (least + k):
+            while hi - lo > 1 and hi <= most:
                 mid = (lo + hi) // 2
                 lo, hi = (lo, mid) if fills(mid) else (mid, hi)
-            self.plans[c] = hi if fills(hi) else 0
+            self.plans[c] = hi if hi <= most else 0
         return self.plans[c]
 
-    def classes(self, n: int) -> list[int]:
-        """Classes under which a set of ``n`` n-grams is met: as the smaller and as the larger of a pair."""
+    def classes(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, its fragments, fragments to meet under) of a set of ``n`` n-grams, as the smaller and the larger of a pair."""
         if n not in self.met:
             own, least = self.size_class(n), self.size_class(max(1, -(-n * self.share // 100)))
-            self.met[n] = sorted({c for c in range(least, own + 1) if self.differ(c)})
+            self.met[n] = [(c, self.fragments(c), self.differ(n, c) + 1) for c in range(least, own + 1) if self.differ(n, c)]
         return self.met[n]
 
 
@@ -125,8 +128,7 @@ def signatures(s: np.ndarray, cuts: Cuts, family: int = 0) -> np.ndarray:
     """Hashes under which a set can be met: linked sets that differ share one, in every family of cuts."""
     out, orders = [], {}
     with np.errstate(over="ignore"):
-        for c in cuts.classes(len(s)):
-            m, k = cuts.fragments(c), cuts.differ(c)
+        for c, m, need in cuts.classes(len(s)):
             for t in range(family * TRIES, (family + 1) * TRIES) if m else ():
                 if t not in orders:
                     x = s if t == 0 else np.sort(kernels.mix(s + _U(0x9E3779B97F4A7C15) * _U(t)))
@@ -135,11 +137,12 @@ def signatures(s: np.ndarray, cuts: Cuts, family: int = 0) -> np.ndarray:
                 at = _fragment_of(x, m)
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 base = kernels.mix(np.array([c, t], np.uint64) + _U(0x9E37))
-                out.append(kernels.mix(np.add.reduceat(spun, first) + kernels.mix(base[0] + (base[1] ^ at[first]))))
-                if len(first) > k:
+                total = np.add.reduceat(spun, first)[:need]
+                out.append(kernels.mix(total + kernels.mix(base[0] + (base[1] ^ at[first[:need]]))))
+                if len(first) >= need:
                     break
             else:
-                out.append(kernels.mix(s + kernels.mix(np.array([c], np.uint64) + _U(0x51))))
+                out.append(kernels.mix(s[:need] + kernels.mix(np.array([c], np.uint64) + _U(0x51))))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 

@@ -109,7 +109,7 @@ def test_fragments_of_every_size_class(share):
     cuts = jaccard.Cuts(share)
     for c in range(cuts.size_class(20_000) + 1):
         m = cuts.fragments(c)
-        assert m == 0 or cuts.differ(c) < m <= 128 * (cuts.lower[c] + cuts.differ(c))
+        assert m == 0 or cuts.differ(cuts.upper(c)) < m <= 64 * (cuts.lower[c] + cuts.upper(c))
 
 
 def test_strangers_that_share_a_phrase_do_not_meet():
@@ -119,6 +119,14 @@ def test_strangers_that_share_a_phrase_do_not_meet():
     assert len(np.unique(sigs)) == len(sigs)
 
 
+def test_signatures_are_few():
+    rng = np.random.default_rng(9)
+    for share, most in ((80, 0.45), (90, 0.2)):
+        s = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in range(200, 2000, 37)]
+        cuts = jaccard.Cuts(share)
+        assert sum(len(jaccard.signatures(x, cuts)) for x in s) <= most * sum(map(len, s))
+
+
 def test_common_phrase_with_few_copies(spark, monkeypatch):
     """Short texts around one phrase: buckets of the phrase are split, and no copy among them is lost."""
     monkeypatch.setattr(jaccard, "BUCKET_PAIRS", 20)
