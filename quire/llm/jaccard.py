@@ -45,6 +45,9 @@ _U = np.uint64
 #: N-grams of a counting fragment at most, about; fragments that every set is cut into at least.
 COUNT_FRAGMENT, LEAST_FRAGMENTS = 1024, 4
 
+#: N-grams or signatures of a batch that a task gives out, about.
+OUT_GRAMS = 1 << 18
+
 #: 64-bit words of the bitmap of shared signatures (16 bytes a word are sent to every task, whatever the input).
 BITMAP_WORDS = 1 << 19
 
@@ -54,8 +57,9 @@ LEAST_SKETCH = 16
 #: Cuts that a family tries before it meets a set by each of its n-grams (which also finds every linked pair).
 TRIES = 32
 
-#: Pairs of a bucket that are compared at once; larger ones are split by up to so many further families of cuts.
-BUCKET_PAIRS, FAMILIES = 1 << 14, 3
+#: Members outside the hub's component that a bucket is compared with at once; buckets with more are split by up to so many
+#: further families of cuts.
+BUCKET_OUT, FAMILIES = 1 << 11, 3
 
 
 class Cuts:
@@ -174,27 +178,29 @@ def _sets(b: pa.RecordBatch, column: int, n: int) -> Iterator[np.ndarray]:
 def _signed(docs: DataFrame, n: int, share: int) -> DataFrame:
     """doc_id, h, size of every row; sketch and signatures where a task meets a set for the first time."""
 
+    def packed(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        h, sizes, sketches, sigs = zip(*rows, strict=True)
+        lists = []
+        for x in (sigs, sketches):
+            off = pa.array(np.concatenate([[0], np.cumsum([0 if y is None else len(y) for y in x])]).astype(np.int32))
+            lists.append(pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *(y for y in x if y is not None)]))))
+        return pa.RecordBatch.from_arrays([ids, pa.array(h, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x is not None for x in sigs], pa.bool_()), *lists], names=["doc_id", "h", "size", "first", "sigs", "sketch"])
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, met = Cuts(share), set()
         for b in batches:
-            ids, sizes, sketches, sigs = [], [], [], []
+            rows, size, at = [], 0, 0
             for s in _sets(b, 1, n):
                 h = node_id(s) if len(s) else None
                 new = h is not None and h not in met
-                if new:
-                    met.add(h)
-                ids.append(h)
-                sizes.append(len(s))
-                sketches.append(sketch(s) if new else np.zeros(0, np.int64))
-                sigs.append(signatures(s, cuts).view(np.int64) if new else None)
-            lengths = np.array([0 if x is None else len(x) for x in sigs], np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *(x for x in sigs if x is not None)])
-            off = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x is not None for x in sigs], pa.bool_()), pa.ListArray.from_arrays(off, pa.array(flat)), words],
-                names=["doc_id", "h", "size", "first", "sigs", "sketch"],
-            )
+                met.add(h)
+                rows.append((h, len(s), sketch(s) if new else None, signatures(s, cuts).view(np.int64) if new else None))
+                size += len(rows[-1][3]) if new else 0
+                if size > OUT_GRAMS:
+                    yield packed(b.column(0).slice(at, len(rows)), rows)
+                    rows, size, at = [], 0, at + len(rows)
+            if rows:
+                yield packed(b.column(0).slice(at, len(rows)), rows)
 
     return docs.mapInArrow(sign, "doc_id long, h long, size long, first boolean, sigs array<long>, sketch array<long>")
 
@@ -214,23 +220,27 @@ def _fragments_column(size):
 def _cut_sets(docs: DataFrame, known: DataFrame, n: int, share: int) -> DataFrame:
     """h, of, f, grams: the sets of ``known`` cut into ``of`` fragments, for every ``of`` that a pair of theirs can need."""
 
+    def packed(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        h, of, number, grams = zip(*rows, strict=True)
+        off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in grams])]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(of, pa.int32()), pa.array(number, pa.int32()), pa.ListArray.from_arrays(off, pa.array(np.concatenate(grams)))], names=["h", "of", "f", "grams"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = set()
+        met, rows, size = set(), [], 0
         for b in batches:
-            h, of, number, grams = [], [], [], []
             for s in _sets(b, 0, n):
                 if not len(s) or (k := node_id(s)) in met:
                     continue
                 met.add(k)
                 for m in {_fragments_of(len(s)), _fragments_of(-(-len(s) * share // 100))}:
                     edges = np.searchsorted(_fragment_of(s, m), np.arange(m + 1)).tolist()
-                    for f in range(m):
-                        h.append(k)
-                        of.append(m)
-                        number.append(f)
-                        grams.append(s[edges[f] : edges[f + 1]].view(np.int64))
-            off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in grams])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(of, pa.int32()), pa.array(number, pa.int32()), pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))], names=["h", "of", "f", "grams"])
+                    rows += [(k, m, f, s[edges[f] : edges[f + 1]].view(np.int64)) for f in range(m)]
+                    size += len(s)
+                if size > OUT_GRAMS:
+                    yield packed(rows)
+                    rows, size = [], 0
+        if rows:
+            yield packed(rows)
 
     # filtered where they are made if the ids are few enough to send to every task, else after a shuffle
     sets = docs.select("text").mapInArrow(cut, "h long, of int, f int, grams array<long>").join(small(known.select("h")), "h", "left_semi")
@@ -285,13 +295,15 @@ def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str)
     for done in (signed, hubs, likely):
         scratch.drop(done)
     scratch.release(docs.sparkSession)
-    sets = _cut_sets(docs, known, n, share)
     member = known.select("h", F.col("size").alias("size_h"), F.col("k").alias("k_h"))
     hub = known.select(F.col("h").alias("hub"), F.col("size").alias("size_hub"), F.col("k").alias("k_hub"))
     sided = scratch.materialize(stars.join(member, "h"), "jaccard-sided")
     near = spread(sided, hub, ["hub"]).where(_may_link(share, F.col("size_h"), F.col("size_hub"), "k_h", "k_hub"))
     near = scratch.materialize(near.select(F.col("h").alias("a"), F.col("hub").alias("b"), F.col("size_h").alias("size_a"), F.col("size_hub").alias("size_b"), "shared"), "jaccard-near")
     scratch.drop(sided)
+    # the sets of all pairs that sketches leave possible, written once
+    cut = scratch.materialize(near.select(F.col("a").alias("h")).unionByName(near.select(F.col("b").alias("h"))).distinct(), "jaccard-cut-ids")
+    sets = _cut_sets(docs, cut, n, share)
     # first every member with the hub it shares most with, then with those hubs that are not in its component yet
     best = near.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     links = _links(sets, near.join(best, ["a", "b"], "left_semi").drop("shared"), share)
@@ -304,11 +316,14 @@ def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str)
     if left.take(1):
         links = links.unionByName(_links(sets, left, share))
         roots = scratch.materialize(components(links), "jaccard-roots")
-    cross = scratch.materialize(_cross(stars, known, sets, roots, share), "jaccard-cross")
+    cross = scratch.materialize(_cross(docs, stars, known, roots, n, share), "jaccard-cross")
     if cross.take(1):
+        more = cross.select(F.col("a").alias("h")).unionByName(cross.select(F.col("b").alias("h"))).distinct().join(cut, "h", "left_anti")
+        more = scratch.materialize(more, "jaccard-cut-ids")
+        if more.take(1):
+            sets = sets.unionByName(_cut_sets(docs, more, n, share))
         links = links.unionByName(_links(sets, cross, share))
         roots = scratch.materialize(components(links), "jaccard-roots")
-    scratch.drop(sets)
     # the smallest id of each set first, then of each component, then of each row whose set is not alone
     of_set = rows.where("h is not null").groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s"), F.count(F.lit(1)).alias("_rows"))
     of_set = scratch.materialize(of_set.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("_rows > 1 or root is not null").select("h", F.coalesce("root", "h").alias("c"), "s"), "jaccard-of-set")
@@ -319,7 +334,7 @@ def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str)
     return out.select("doc_id", "h", "size", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("least"), F.when(alone, F.col("h")).otherwise(F.col("least_h")).alias("least_h"))
 
 
-def _cross(stars: DataFrame, known: DataFrame, sets: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+def _cross(docs: DataFrame, stars: DataFrame, known: DataFrame, roots: DataFrame, n: int, share: int) -> DataFrame:
     """Pairs of one hub's members in different components, of which at least one is not in the hub's.
 
     Linked sets share a signature, so both are members of its hub (or are it); pairs with the hub itself are known. A hub
@@ -328,32 +343,32 @@ def _cross(stars: DataFrame, known: DataFrame, sets: DataFrame, roots: DataFrame
     """
     rooted = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "size", "k", F.coalesce("root", "h").alias("c"))
     of_hub = rooted.select(F.col("h").alias("hub"), F.col("c").alias("c_hub"))
-    stated = scratch.materialize(stars.select("h", "hub").join(rooted.select("h", "c"), "h"), "jaccard-members")
-    stated = spread(stated, of_hub, ["hub"]).select(F.col("hub").alias("g"), "h", "c", (F.col("c") != F.col("c_hub")).alias("out"))
-    groups, found = scratch.materialize(stated, "jaccard-stated"), None
+    stated = scratch.materialize(stars.select("h", "hub").join(rooted, "h"), "jaccard-members")
+    stated = spread(stated, of_hub, ["hub"]).select(F.col("hub").alias("g"), "h", "size", "k", "c", (F.col("c") != F.col("c_hub")).alias("out"))
+    groups, found, sets = scratch.materialize(stated, "jaccard-stated"), None, None
     for family in range(1, FAMILIES + 2):
-        sizes = groups.groupBy("g").agg((F.count(F.lit(1)) * F.count_if("out")).alias("n")).where("n > 0")
-        groups = scratch.materialize(spread(groups, sizes, ["g"]), "jaccard-groups")
-        large = F.lit(False) if family > FAMILIES else F.col("n") > BUCKET_PAIRS
-        pairs = _member_pairs(groups.where(~large))
+        outs = groups.groupBy("g").agg(F.count_if("out").alias("outs"), F.count(F.lit(1)).alias("n")).where("outs > 0 and n > 1").select("g", "outs")
+        groups = scratch.materialize(spread(groups, scratch.materialize(outs, "jaccard-outs"), ["g"]), "jaccard-groups")
+        large = F.lit(False) if family > FAMILIES else F.col("outs") > BUCKET_OUT
+        pairs = _member_pairs(groups.where(~large).drop("outs"), share)
         found = pairs if found is None else found.unionByName(pairs)
-        hot = groups.where(large)
+        hot = groups.where(large).drop("outs")
         if not hot.take(1):
             break
+        if sets is None:
+            sets = _cut_sets(docs, scratch.materialize(hot.select("h").distinct(), "jaccard-hot-ids"), n, share)
         groups = scratch.materialize(_split(hot, known, sets, share, family), "jaccard-split")
-    sided = known.select("h", "size", "k")
-    found = scratch.materialize(found.distinct(), "jaccard-found")
-    found = found.join(sided.select(F.col("h").alias("a"), F.col("size").alias("size_a"), F.col("k").alias("k_a")), "a")
-    found = spread(scratch.materialize(found, "jaccard-found"), sided.select(F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("k").alias("k_b")), ["b"])
-    return found.where(_may_link(share, F.col("size_a"), F.col("size_b"), "k_a", "k_b")).select("a", "b", "size_a", "size_b")
+    return found.distinct()
 
 
-def _member_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b) of every two members of a group in different components of which one is marked ``out``."""
-    x = groups.where("out").select("g", F.col("h").alias("x"), F.col("c").alias("c_x"))
-    y = groups.select("g", F.col("h").alias("y"), F.col("c").alias("c_y"), F.col("out").alias("out_y"))
-    pairs = x.join(y, "g").where((F.col("c_x") != F.col("c_y")) & (~F.col("out_y") | (F.col("x") < F.col("y"))))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _member_pairs(groups: DataFrame, share: int) -> DataFrame:
+    """(a, b, size_a, size_b) of every two members of a group in different components that may link and of which one is marked ``out``."""
+    x = scratch.materialize(groups.where("out").select("g", *(F.col(v).alias(f"{v}_x") for v in ("h", "size", "k", "c"))), "jaccard-out")
+    y = groups.select("g", "out", *(F.col(v).alias(f"{v}_y") for v in ("h", "size", "k", "c")))
+    once = (F.col("c_x") != F.col("c_y")) & (~F.col("out") | (F.col("h_x") < F.col("h_y")))
+    pairs = spread(x, y, ["g"]).where(once & _may_link(share, F.col("size_x"), F.col("size_y"), "k_x", "k_y"))
+    first = F.col("h_x") < F.col("h_y")
+    return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(first, F.col("size_x")).otherwise(F.col("size_y")).alias("size_a"), F.when(first, F.col("size_y")).otherwise(F.col("size_x")).alias("size_b"))
 
 
 def _split(groups: DataFrame, known: DataFrame, sets: DataFrame, share: int, family: int) -> DataFrame:
@@ -372,8 +387,8 @@ def _split(groups: DataFrame, known: DataFrame, sets: DataFrame, share: int, fam
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (h, sig)], names=["h", "sig"])
 
     signed = scratch.materialize(whole.mapInArrow(sign, "h long, sig long"), "jaccard-family")
-    parts = spread(scratch.materialize(groups.select("h", "g", "c", "out"), "jaccard-hot"), signed, ["h"]).select(F.xxhash64("g", "sig").alias("g"), "h", "c", "out")
-    return parts.distinct()
+    parts = spread(scratch.materialize(groups, "jaccard-hot"), signed, ["h"]).select(F.xxhash64("g", "sig").alias("g"), "h", "size", "k", "c", "out")
+    return parts.dropDuplicates(["g", "h"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -129,7 +129,7 @@ def test_signatures_are_few():
 
 def test_common_phrase_with_few_copies(spark, monkeypatch):
     """Short texts around one phrase: buckets of the phrase are split, and no copy among them is lost."""
-    monkeypatch.setattr(jaccard, "BUCKET_PAIRS", 20)
+    monkeypatch.setattr(jaccard, "BUCKET_OUT", 5)
     r = random.Random(4)
     phrase = "all rights are reserved by the owner of this small text".split()
     texts = []
