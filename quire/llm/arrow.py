@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,10 +15,32 @@ from pyspark.sql import types as T
 
 from quire import scratch
 
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Rows up to which a checked side may be broadcast (about 24 bytes a row); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
+@functools.cache
+def _trim():
+    """The C library's call that gives freed memory back, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def lean(rows: Rows) -> Rows:
+    """``rows``, after whose end a worker, which later tasks go on using, gives back the memory it no longer needs."""
+
+    @functools.wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return run
+
+
 def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch in the order of ``schema``."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
@@ -90,7 +114,7 @@ def running_total(df: DataFrame, order: list, value: str, group: str | None = No
             first = False
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), part, np.int32)), pa.array(total)], names=[*b.schema.names, "_part", "_local"])
 
-    rows = scratch.materialize(ranged.mapInArrow(local, out_schema), name)
+    rows = scratch.materialize(ranged.mapInArrow(lean(local), out_schema), name)
     by = [group] if group else []
     sums = rows.groupBy("_part", *by).agg(F.sum(value).alias("_sum"))
     w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,6 +124,3 @@ def running_total(df: DataFrame, order: list, value: str, group: str | None = No
     if group:
         on &= rows[group].eqNullSafe(offsets[group])
     return rows.join(offsets, on, "left").select(*[rows[c] for c in df.columns], (rows["_local"] + F.coalesce(offsets["_offset"], F.lit(0))).alias("running"))
-
-
-Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

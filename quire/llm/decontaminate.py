@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm import kernels
+from quire.llm.arrow import lean
 
 #: Words of a window, substitutions allowed in it, words picked by a mask, words of the shortest item that counts.
 WINDOW, SUBSTITUTIONS, WEIGHT, SHORTEST = 13, 3, 5, 4
@@ -210,7 +211,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
 
-        part = narrow.mapInArrow(run, SCHEMA)
+        part = narrow.mapInArrow(lean(run), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
@@ -227,5 +228,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 keep[[t for t, *_ in _found(shared.value, b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

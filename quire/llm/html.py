@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.arrow import lean
+
 from quire.llm.crf import LinearChain
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long"
@@ -365,4 +367,4 @@ def extract(pages: DataFrame, model: MainText | None = None, id_col: str = "page
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n).cast(pa.int64()), b.column(1).slice(lo, n).cast(pa.string()), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
                 lo = hi
 
-    return pages.select(pages[id_col], pages[url_col], pages[html_col]).mapInArrow(run, SCHEMA)
+    return pages.select(pages[id_col], pages[url_col], pages[html_col]).mapInArrow(lean(run), SCHEMA)

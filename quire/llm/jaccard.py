@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from quire import scratch
 from quire.llm import kernels
-from quire.llm.arrow import small, spread
+from quire.llm.arrow import lean, small, spread
 from quire.llm.components import components
 
 _U = np.uint64
@@ -202,7 +202,7 @@ def _signed(docs: DataFrame, n: int, share: int) -> DataFrame:
             if rows:
                 yield packed(b.column(0).slice(at, len(rows)), rows)
 
-    return docs.mapInArrow(sign, "doc_id long, h long, size long, first boolean, sigs array<long>, sketch array<long>")
+    return docs.mapInArrow(lean(sign), "doc_id long, h long, size long, first boolean, sigs array<long>, sketch array<long>")
 
 
 def _fragments_of(size: int) -> int:
@@ -243,7 +243,7 @@ def _cut_sets(docs: DataFrame, known: DataFrame, n: int, share: int) -> DataFram
             yield packed(rows)
 
     # filtered where they are made if the ids are few enough to send to every task, else after a shuffle
-    sets = docs.select("text").mapInArrow(cut, "h long, of int, f int, grams array<long>").join(small(known.select("h")), "h", "left_semi")
+    sets = docs.select("text").mapInArrow(lean(cut), "h long, of int, f int, grams array<long>").join(small(known.select("h")), "h", "left_semi")
     # a set met by several tasks is there once only
     return scratch.materialize(sets.dropDuplicates(["h", "of", "f"]), "jaccard-sets")
 
@@ -386,7 +386,7 @@ def _split(groups: DataFrame, known: DataFrame, sets: DataFrame, share: int, fam
                 sig.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (h, sig)], names=["h", "sig"])
 
-    signed = scratch.materialize(whole.mapInArrow(sign, "h long, sig long"), "jaccard-family")
+    signed = scratch.materialize(whole.mapInArrow(lean(sign), "h long, sig long"), "jaccard-family")
     parts = spread(scratch.materialize(groups, "jaccard-hot"), signed, ["h"]).select(F.xxhash64("g", "sig").alias("g"), "h", "size", "k", "c", "out")
     return parts.dropDuplicates(["g", "h"])
 
@@ -418,7 +418,7 @@ def one_of_each(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc
             node = pa.array([node_id(s) if len(s) else None for s in _sets(b, at, n)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, "_node"])
 
-    marked = again.mapInArrow(mark, schema)
+    marked = again.mapInArrow(lean(mark), schema)
     wordless = marked.where("_node is null").drop("_node")
     stays = found.where("h is not null").select(F.col("least").alias("_id"), F.col("least_h").alias("_h")).distinct()
     chosen = marked.join(stays, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_h")), "left_semi")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time; bounds the temporaries of the word kernels (about 40 bytes a byte).
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)

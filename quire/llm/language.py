@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quire.llm import kernels
+from quire.llm.arrow import lean
 from quire.llm.folds import SAMPLE_EACH, sample
 
 #: Bytes of an n-gram, positions of the filter (a power of two), hash functions, times an n-gram must occur in the sample.
@@ -148,7 +149,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
             best, score, total = _predict(shared.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(score), pa.array(total)], names=["doc_id", "lang_pred", "score", "n_grams"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(predict, SCHEMA)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lean(predict), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, filters: LanguageFilters, least: float, text_col: str = "text") -> DataFrame:
@@ -164,4 +165,4 @@ def keep_identified(docs: DataFrame, filters: LanguageFilters, least: float, tex
             best, score, total = _predict(shared.value, b.column(at))
             yield b.filter(pa.array((best < len(shared.value.names)) & ((score >= least) | (total < EVIDENCE))))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quire import scratch
 from quire.llm import kernels
-from quire.llm.arrow import running_total, small
+from quire.llm.arrow import lean, running_total, small
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -39,7 +39,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             n = np.concatenate([np.zeros(0, np.int64), *(kernels.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hashes=False)[1] for i, j in kernels.slices(offsets))])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n.astype(np.int64))], names=["doc_id", "source", "sig", "size"])
 
-    return base.mapInArrow(count, out)
+    return base.mapInArrow(lean(count), out)
 
 
 def targets(sizes: DataFrame, epochs: int, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

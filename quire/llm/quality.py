@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
+from quire.llm.arrow import lean
 from quire.llm.crf import LinearChain
 from quire.llm.folds import SAMPLE_EACH, sample
 
@@ -187,4 +188,4 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
             score, n, bad = ([np.concatenate([g[k] for g in got]) for k in range(3)]) if got else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(score), pa.array(n.astype(np.int64)), pa.array(bad)], names=["doc_id", "score", "n_lines", "n_bad_lines"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(predict, SCHEMA)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lean(predict), SCHEMA)

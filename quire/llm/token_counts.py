@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.arrow import lean
 from quire.llm.bpe import encoder
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long"
@@ -33,4 +34,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"],
             )
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(count, SCHEMA)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lean(count), SCHEMA)

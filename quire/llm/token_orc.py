@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import partition_id, small
+from quire.llm.arrow import lean, partition_id, small
 from quire.llm.bpe import encoder
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
                 lo = hi
 
     options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_ROWS, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "orc.create.index": "true", "compression": "zstd"}
-    ranged.mapInArrow(encode, SCHEMA).write.options(**options).orc(path)
+    ranged.mapInArrow(lean(encode), SCHEMA).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
@@ -77,4 +77,4 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
     before = F.sum("_sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = small(parts.select("part", F.coalesce(before, F.lit(0)).alias("_before")))
-    return rows.mapInArrow(crc, DIGEST).join(parts, "part").select("doc_id", (F.col("local_start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32", "part")
+    return rows.mapInArrow(lean(crc), DIGEST).join(parts, "part").select("doc_id", (F.col("local_start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32", "part")

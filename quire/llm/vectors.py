@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import scratch
-from quire.llm.arrow import small, spread
+from quire.llm.arrow import lean, small, spread
 
 #: Rows the partitions are learned from, at most about; rows a cell should have, parts of the network at most; rows and
 #: queries of a block; cells that each further place of a cell's name makes of one, about; cells a query visits at most.
@@ -196,7 +196,7 @@ def packed(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             keep = np.flatnonzero(good)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array([x[off[i] : off[i + 1]].tobytes() for i in keep.tolist()], pa.binary())], names=["vec_id", "v"])
 
-    return rows.select(rows[id_col], rows[vector_col].cast("array<double>")).mapInArrow(pack, "vec_id long, v binary")
+    return rows.select(rows[id_col], rows[vector_col].cast("array<double>")).mapInArrow(lean(pack), "vec_id long, v binary")
 
 
 def fit(rows: DataFrame, n_rows: int, sample: int = SAMPLE) -> Router | None:
@@ -270,7 +270,7 @@ def _deal(rows: DataFrame, router: Router, probes: int, schema: str) -> DataFram
             row, rank = np.nonzero(best >= 0)
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns), pa.array(best[row, rank].astype(np.int64))], names=[*b.schema.names, "part"])
 
-    return rows.mapInArrow(deal, f"{schema}, part long")
+    return rows.mapInArrow(lean(deal), f"{schema}, part long")
 
 
 def _probe(index: DataFrame, routed: DataFrame, k: int) -> DataFrame:
@@ -322,5 +322,5 @@ def _probe(index: DataFrame, routed: DataFrame, k: int) -> DataFrame:
         if best:
             yield result()
 
-    near = met.mapInArrow(rank, "h string, vec_id long, score double")
+    near = met.mapInArrow(lean(rank), "h string, vec_id long, score double")
     return near.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy("score", "vec_id"))).where(F.col("_r") <= k + 1).drop("_r")
