@@ -295,35 +295,15 @@ def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str)
     for done in (signed, hubs, likely):
         scratch.drop(done)
     scratch.release(docs.sparkSession)
-    member = known.select("h", F.col("size").alias("size_h"), F.col("k").alias("k_h"))
-    hub = known.select(F.col("h").alias("hub"), F.col("size").alias("size_hub"), F.col("k").alias("k_hub"))
-    sided = scratch.materialize(stars.join(member, "h"), "jaccard-sided")
-    near = spread(sided, hub, ["hub"]).where(_may_link(share, F.col("size_h"), F.col("size_hub"), "k_h", "k_hub"))
-    near = scratch.materialize(near.select(F.col("h").alias("a"), F.col("hub").alias("b"), F.col("size_h").alias("size_a"), F.col("size_hub").alias("size_b"), "shared"), "jaccard-near")
-    scratch.drop(sided)
-    # the sets of all pairs that sketches leave possible, written once
-    cut = scratch.materialize(near.select(F.col("a").alias("h")).unionByName(near.select(F.col("b").alias("h"))).distinct(), "jaccard-cut-ids")
-    sets = _cut_sets(docs, cut, n, share)
+    # a set's hubs in one row: no more of them than it has signatures
+    held = scratch.materialize(stars.groupBy("h").agg(F.collect_list(F.struct("shared", "hub")).alias("hubs")), "jaccard-held")
+    scratch.drop(stars)
+    work = _Counting(docs, known, n, share)
     # first every member with the hub it shares most with, then with those hubs that are not in its component yet
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = _links(sets, near.join(best, ["a", "b"], "left_semi").drop("shared"), share)
-    roots = scratch.materialize(components(links), "jaccard-roots")
-    root_a, root_b = (roots.select(F.col("node").alias(v), F.col("root").alias(f"root_{v}")) for v in ("a", "b"))
-    left = scratch.materialize(near.join(best, ["a", "b"], "left_anti").join(root_a, "a", "left"), "jaccard-other")
-    left = spread(left, root_b, ["b"], "left")
-    left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "size_a", "size_b")
-    left = scratch.materialize(left, "jaccard-left")
-    if left.take(1):
-        links = links.unionByName(_links(sets, left, share))
-        roots = scratch.materialize(components(links), "jaccard-roots")
-    cross = scratch.materialize(_cross(docs, stars, known, roots, n, share), "jaccard-cross")
-    if cross.take(1):
-        more = cross.select(F.col("a").alias("h")).unionByName(cross.select(F.col("b").alias("h"))).distinct().join(cut, "h", "left_anti")
-        more = scratch.materialize(more, "jaccard-cut-ids")
-        if more.take(1):
-            sets = sets.unionByName(_cut_sets(docs, more, n, share))
-        links = links.unionByName(_links(sets, cross, share))
-        roots = scratch.materialize(components(links), "jaccard-roots")
+    work.compare(held.select(F.col("h").alias("a"), F.array_max("hubs")["hub"].alias("b")))
+    work.compare(_apart(held, work.roots).select(F.col("h").alias("a"), F.col("hub").alias("b")))
+    work.count(_cross(docs, held, known, work.roots, n, share))
+    roots = work.roots
     # the smallest id of each set first, then of each component, then of each row whose set is not alone
     of_set = rows.where("h is not null").groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s"), F.count(F.lit(1)).alias("_rows"))
     of_set = scratch.materialize(of_set.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("_rows > 1 or root is not null").select("h", F.coalesce("root", "h").alias("c"), "s"), "jaccard-of-set")
@@ -334,17 +314,62 @@ def _classified(docs: DataFrame, n: int, share: int, id_col: str, text_col: str)
     return out.select("doc_id", "h", "size", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("least"), F.when(alone, F.col("h")).otherwise(F.col("least_h")).alias("least_h"))
 
 
-def _cross(docs: DataFrame, stars: DataFrame, known: DataFrame, roots: DataFrame, n: int, share: int) -> DataFrame:
+class _Counting:
+    """Links found so far and their components; sets are cut once, when a pair first needs them."""
+
+    def __init__(self, docs: DataFrame, known: DataFrame, n: int, share: int):
+        self.docs, self.known, self.n, self.share = docs, known, n, share
+        self.sets = self.cut = self.links = None
+        self.roots = docs.sparkSession.createDataFrame([], "node long, root long")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Count the pairs (a, b) that sizes and sketches leave possible."""
+        a, b = (self.known.select(F.col("h").alias(v), F.col("size").alias(f"size_{v}"), F.col("k").alias(f"k_{v}")) for v in ("a", "b"))
+        sided = scratch.materialize(pairs.join(a, "a"), "jaccard-sided")
+        self.count(spread(sided, b, ["b"]).where(_may_link(self.share, F.col("size_a"), F.col("size_b"), "k_a", "k_b")).select("a", "b", "size_a", "size_b"))
+        scratch.drop(sided)
+
+    def count(self, pairs: DataFrame) -> None:
+        """Count the overlaps of pairs (a, b, size_a, size_b), and bring links and components up to date."""
+        pairs = scratch.materialize(pairs, "jaccard-pairs")
+        if not pairs.take(1):
+            return
+        ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+        ids = scratch.materialize(ids if self.cut is None else ids.join(self.cut, "h", "left_anti"), "jaccard-cut-ids")
+        if ids.take(1):
+            cut = _cut_sets(self.docs, ids, self.n, self.share)
+            self.sets, self.cut = (cut, ids) if self.cut is None else (self.sets.unionByName(cut), self.cut.unionByName(ids))
+        links = _links(self.sets, pairs, self.share)
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.roots = scratch.materialize(components(self.links), "jaccard-roots")
+
+
+def _owned(held: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, c, hubs) with each set's component, and the distinct (c, hub, c_hub) of different components."""
+    owned = scratch.materialize(held.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("c"), "hubs"), "jaccard-owned")
+    met = scratch.materialize(owned.select("c", F.explode("hubs.hub").alias("hub")).distinct(), "jaccard-met")
+    apart = spread(met, roots.withColumnRenamed("node", "hub"), ["hub"], "left").select("c", "hub", F.coalesce("root", "hub").alias("c_hub"))
+    return owned, scratch.materialize(apart.where("c <> c_hub"), "jaccard-apart")
+
+
+def _apart(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, hub) of every set and hub of its in different components."""
+    owned, apart = _owned(held, roots)
+    return owned.select("h", "c", F.explode("hubs.hub").alias("hub")).join(apart, ["c", "hub"], "left_semi").select("h", "hub")
+
+
+def _cross(docs: DataFrame, held: DataFrame, known: DataFrame, roots: DataFrame, n: int, share: int) -> DataFrame:
     """Pairs of one hub's members in different components, of which at least one is not in the hub's.
 
     Linked sets share a signature, so both are members of its hub (or are it); pairs with the hub itself are known. A hub
-    with too many such pairs is split: linked sets share a signature in every family of cuts, so only those of its
+    with too many such members is split: linked sets share a signature in every family of cuts, so only those of its
     members that do stay together. What no family can split is compared all the same.
     """
-    rooted = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "size", "k", F.coalesce("root", "h").alias("c"))
-    of_hub = rooted.select(F.col("h").alias("hub"), F.col("c").alias("c_hub"))
-    stated = scratch.materialize(stars.select("h", "hub").join(rooted, "h"), "jaccard-members")
-    stated = spread(stated, of_hub, ["hub"]).select(F.col("hub").alias("g"), "h", "size", "k", "c", (F.col("c") != F.col("c_hub")).alias("out"))
+    owned, apart = _owned(held, roots)
+    hubs = scratch.materialize(apart.select("hub", "c_hub").distinct(), "jaccard-open-hubs")
+    members = scratch.materialize(owned.select("h", "c", F.explode("hubs.hub").alias("hub")).join(hubs.select("hub"), "hub", "left_semi"), "jaccard-members")
+    stated = scratch.materialize(spread(members, hubs, ["hub"]).select(F.col("hub").alias("g"), "h", "c", (F.col("c") != F.col("c_hub")).alias("out")), "jaccard-tied")
+    stated = spread(stated, known.select("h", "size", "k"), ["h"])
     groups, found, sets = scratch.materialize(stated, "jaccard-stated"), None, None
     for family in range(1, FAMILIES + 2):
         outs = groups.groupBy("g").agg(F.count_if("out").alias("outs"), F.count(F.lit(1)).alias("n")).where("outs > 0 and n > 1").select("g", "outs")
