@@ -27,8 +27,24 @@ BLOCKING = ["占位符污染", "章节合并", "空洞章节", "模板化内容"
 TOP_FIELDS = ["metadata", "time_background", "critical_analysis", "chapters", "core_concepts", "key_insights", "key_cases", "key_quotes"]
 METADATA_FIELDS = ["title", "author", "author_intro", "discipline"]
 TIME_FIELDS = ["macro_background", "micro_background", "core_contradiction"]
+LEARNING_STAGES = ["beginner", "intermediate", "advanced", "practice"]
 MIN_CHAPTERS, MIN_CONCEPTS, MIN_QUOTES, MIN_INSIGHTS, MIN_CASES, MIN_CONTENT, MIN_DEFINITION = 5, 3, 1, 2, 1, 50, 30
 
+# Keywords of messages about an exhausted quota, compared in lower case.
+QUOTA = ["daily_limit_exceeded", "rate limit", "quota", "limit exceeded", "too many requests", "usage limit", "credit", "billing", "insufficient_quota", "免费额度", "额度耗尽"]
+
+# What cleaning a text rewrites, in this order.
+CLEANING = [
+    (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""),
+    (r"\r\n|\r", "\n"),
+    (r"\n{3,}", "\n\n"),
+    (r"[^\n]*·(?U:\s)*第(?U:\s)*(?U:\d)+(?U:\s)*页[^\n]*\n", ""),
+    (r"(?i)[^\n]*chapter(?U:\s)+(?U:\d)+[^\n]*\n", ""),
+    (r"ISBN[-\s]?\d[\d\sX-]{9,}", ""),
+    (r"(?i)Copyright © \d{4}[^\n]*", ""),
+    (r"https?://(?:[a-zA-Z0-9$-_@.&+!*\\(),]|%[0-9a-fA-F]{2})+", ""),
+]
+
 # Words that the tokenizer leaves out.
 STOPWORDS = ["the", "and", "of", "to", "in", "for", "on", "with", "by", "a", "an"]
 

@@ -51,17 +51,7 @@ def script_language(x: Column | str) -> Column:
 
 def clean(x: Column | str) -> Column:
     """Control characters, running heads, chapter lines, ISBNs, copyright notes and URLs removed; blank lines folded."""
-    steps = [
-        ("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", ""),
-        ("\\r\\n|\\r", "\n"),
-        ("\\n{3,}", "\n\n"),
-        ("[^\\n]*·(?U:\\s)*第(?U:\\s)*(?U:\\d)+(?U:\\s)*页[^\\n]*\\n", ""),
-        ("(?i)[^\\n]*chapter(?U:\\s)+(?U:\\d)+[^\\n]*\\n", ""),
-        ("ISBN[-(?U:\\s)]?".replace("(?U:\\s)", "\\s") + "\\d[\\d\\sX-]{9,}", ""),
-        ("(?i)Copyright © \\d{4}[^\\n]*", ""),
-        ("https?://(?:[a-zA-Z0-9$-_@.&+!*\\\\(),]|%[0-9a-fA-F]{2})+", ""),
-    ]
-    return strip(reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.coalesce(_c(x), F.lit(""))))
+    return strip(reduce(lambda c, s: F.regexp_replace(c, *s), rules.CLEANING, F.coalesce(_c(x), F.lit(""))))
 
 
 def tokens(x: Column | str) -> Column:
@@ -138,7 +128,7 @@ def chapter_placeholder(number: Column, title: Column, argument: Column) -> Colu
 
 def is_quota_error(message: Column | str) -> Column:
     """A message of an exhausted quota or a rate limit."""
-    return F.coalesce(_c(message), F.lit("")).rlike("(?i)429|quota|rate.?limit|too many requests|exceeded|insufficient|billing|余额|配额|限流")
+    return F.lower(F.coalesce(_c(message), F.lit(""))).rlike(quoted(rules.QUOTA))
 
 
 def retry_after(message: Column | str, attempt: Column | int = 0, base: float = 5.0, most: int = 300) -> Column:
@@ -292,7 +282,7 @@ def close_braces(x: Column | str) -> Column:
     """As many closing braces added as are missing by count."""
     x = F.coalesce(_c(x), F.lit(""))
     lacking = F.regexp_count(x, F.lit("\\{")) - F.regexp_count(x, F.lit("\\}"))
-    return F.concat(x, F.expr("''") if lacking is None else F.repeat(F.lit("}"), F.greatest(lacking, F.lit(0))))
+    return F.concat(x, F.repeat(F.lit("}"), F.greatest(lacking, F.lit(0))))
 
 
 def has_forbidden(x: Column | str, words: list[str]) -> Column:

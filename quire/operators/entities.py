@@ -88,7 +88,7 @@ def best_mentions(mentions: DataFrame) -> DataFrame:
 def merge_entities(entities: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """(name, type, description, source_count, merged_from) of entities (ordinal, name, type, description) by normal name.
 
-    Descriptions are joined by newlines in order; the type is the most frequent, ties to the smaller, none being 未知.
+    An entity alone under its normal name keeps its own. Descriptions are joined by newlines in order; the type is the most frequent, ties to the smaller, none being 未知.
     """
     named = entities.withColumn("key", normal_name("name", aliases)).withColumn("kind", F.coalesce("type", F.lit("未知")))
     votes = named.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -100,7 +100,8 @@ def merge_entities(entities: DataFrame, aliases: dict[str, str] | None = None) -
         F.size("p").alias("source_count"),
         F.array_distinct(F.transform("p", lambda x: x["name"])).alias("merged_from"),
     )
-    return merged.join(kind, "key").select(F.col("key").alias("name"), "type", "description", "source_count", "merged_from")
+    alone = F.col("source_count") == 1
+    return merged.join(kind, "key").select(F.when(alone, F.col("merged_from")[0]).otherwise(F.col("key")).alias("name"), "type", "description", "source_count", "merged_from")
 
 
 def _near_pairs(items: DataFrame, threshold: float) -> DataFrame:
@@ -192,7 +193,7 @@ def aligned(spans: DataFrame, accept: float = 0.75) -> DataFrame:
         window = text[best[1] : best[1] + width]
         i, j = max(window.find(span[0]), 0), window.rfind(span[-1])
         i, j = best[1] + i, best[1] + (j + 1 if j >= i else len(window))
-        return i, j, float(best[0]), "lesser" if j - i < 0.9 * m else "greater" if j - i > 1.1 * m else "fuzzy"
+        return i, j, float(best[0]), "lesser" if j - i < m else "greater" if j - i > m else "fuzzy"
 
     keep = spans.columns
     at, text_at = keep.index("span"), keep.index("text")

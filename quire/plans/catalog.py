@@ -28,7 +28,8 @@ def register(name: str, sql: str | None = None):
 
 
 def _registered() -> None:
-    importlib.import_module("quire.plans.library")
+    for module in ("library", "operations"):
+        importlib.import_module(f"quire.plans.{module}")
 
 
 def queries() -> dict[str, Query]:

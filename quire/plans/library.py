@@ -341,7 +341,8 @@ def brand_mind_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_brand", sinks.mind_map(F.col("p_brand"), [("parts", F.col("names"), 20)]).alias("map"))
 
 
-@register("chapter_gaps", "WITH h AS (SELECT DISTINCT conv_id, turn AS n FROM conversations WHERE turn % 3 <> 1), g AS (SELECT conv_id, n, lead(n) OVER (PARTITION BY conv_id ORDER BY n) AS x FROM h) SELECT conv_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS missing FROM (SELECT conv_id, unnest(range(n + 1, x)) AS m FROM g WHERE x > n + 1) GROUP BY 1")
+@register("chapter_gaps", "WITH h AS (SELECT DISTINCT conv_id, turn AS n FROM conversations), g AS (SELECT conv_id, n, lead(n) OVER (PARTITION BY conv_id ORDER BY n) AS x FROM h) SELECT conv_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS missing FROM (SELECT conv_id, unnest(range(n + 1, x)) AS m FROM g WHERE x > n + 1) GROUP BY 1")
 def chapter_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = load(spark, sf_dir, "conversations").where("turn % 3 <> 1")
+    """Turn numbers that are missing between a conversation's turns, all of them, over the whole table."""
+    turns = load(spark, sf_dir, "conversations")
     return quality.chapter_gaps(turns, "conv_id", "turn", None).select("conv_id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
