@@ -15,8 +15,10 @@ import sys
 
 import numpy as np
 
+from quire.llm.arrow import CACHES
+
 #: Pre-tokens of a cache's younger half. Full, it becomes the older half, whose entries last if they are asked for again.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 #: The pre-token pattern of byte-level BPE, over characters for which \w and \d agree with \p{L} and \p{N}.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -284,3 +286,6 @@ class PrefixCounts:
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     return Encoder(path)
+
+
+CACHES.append(encoder.cache_clear)

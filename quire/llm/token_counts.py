@@ -34,4 +34,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"],
             )
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lean(count), SCHEMA)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lean(count, caches=True), SCHEMA)

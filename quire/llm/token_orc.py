@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
                 lo = hi
 
     options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_ROWS, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "orc.create.index": "true", "compression": "zstd"}
-    ranged.mapInArrow(lean(encode), SCHEMA).write.options(**options).orc(path)
+    ranged.mapInArrow(lean(encode, caches=True), SCHEMA).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
