@@ -58,12 +58,12 @@ def _byte_alphabet() -> list[str]:
 class _Memo(dict):
     """A dictionary that makes what it lacks, and forgets what has not been asked for in two fillings."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.entries, self.older = make, entries, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()
         value = self.older.get(key)
@@ -76,7 +76,7 @@ class _Memo(dict):
 class Encoder:
     """One vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         import os
 
         if sys.byteorder != "little" or array.array("I").itemsize != 4:
@@ -92,9 +92,9 @@ class Encoder:
         # the longest special string that starts first, as the library finds them
         self._special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self._shape = _Shape(lambda text: self.library.pre_tokenizer.pre_tokenize_str(text))
-        self._ids = _Memo(self._encode_piece)
-        self._sums = _Memo(lambda piece: self._fill(piece)[-1])
-        self._tables = _Memo(self._fill)
+        self._ids = _Memo(self._encode_piece, entries)
+        self._sums = _Memo(lambda piece: self._fill(piece)[-1], entries)
+        self._tables = _Memo(self._fill, entries)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._alphabet = _byte_alphabet()
         self._vocab = self.library.get_vocab(with_added_tokens=False)
@@ -283,9 +283,9 @@ class PrefixCounts:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
-    return Encoder(path)
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
+    """This worker's encoder for a vocabulary file, with caches of twice ``entries`` pre-tokens (about 300 bytes each)."""
+    return Encoder(path, entries)
 
 
 CACHES.append(encoder.cache_clear)

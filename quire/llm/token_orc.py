@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import lean, partition_id, small
-from quire.llm.bpe import encoder
+from quire.llm.bpe import CACHE_ENTRIES, encoder
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 DIGEST = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -28,12 +28,12 @@ DIGEST = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 16 << 20, 1000, 0.01
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every whole text, append ``end_id`` and write the ORC folder ``path``."""
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHE_ENTRIES) -> None:
+    """Encode every whole text, append ``end_id`` and write the ORC folder ``path``; ``cached`` trades memory of a worker for time."""
     ranged = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = encoder(vocabulary), partition_id(), 0
+        enc, part, at = encoder(vocabulary, cached), partition_id(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             lo = 0
