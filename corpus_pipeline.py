@@ -27,6 +27,8 @@ SHINGLE, SIMILARITY = 5, 80
 #: Times a document may be taken by the mix.
 EPOCHS = 3
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
+#: Pre-tokens of a worker's cache: fewer than where encoding is all that an executor does.
+CACHED = 60_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null text is the end id alone; null ids come first; repeated ids keep a row each, ordered by text.
     """
     path = scratch.new_path(spark, "pipeline-tokens")
-    token_orc.write_tokens(docs, path, public_tokenizers.path(VOCABULARY), END_ID)
+    token_orc.write_tokens(docs, path, public_tokenizers.path(VOCABULARY), END_ID, cached=CACHED)
     return token_orc.digests(spark, path).drop("part")
 
 
@@ -93,4 +95,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         before, docs = docs, scratch.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
         scratch.drop(before)  # nothing reads a stage's table once its successor is written
+        scratch.release(spark)  # nor what its joins have broadcast
     return STAGES[-1][1](spark, docs, sf_dir)
