@@ -14,7 +14,8 @@ the fragments. Three steps:
   fragment by fragment, partial overlaps counted apart and summed.
 
 Equal sets are one node. Buckets of a fragment hash are not expanded into pairs: members are compared to one hub each,
-and then only members of different components are compared, so a group of n near copies costs about n comparisons.
+and then only members of different components are compared, block by block, so a group of n near copies costs about n
+comparisons.
 Large buckets of members that do not link are split by the hashes of other families of cuts first, under each of which a
 linked pair must meet again. Hot keys of every join are spread over tasks.
 
@@ -59,7 +60,10 @@ TRIES = 32
 
 #: Members outside the hub's component that a bucket is compared with at once; buckets with more are split by up to so many
 #: further families of cuts.
-BUCKET_OUT, FAMILIES = 1 << 11, 3
+BUCKET_OUT, FAMILIES = 1 << 14, 3
+
+#: Sketch words of a block of members, about; blocks are compared two by two, in pieces of so many sketch words.
+BLOCK_WORDS, PIECE_WORDS = 1 << 15, 1 << 19
 
 
 class Cuts:
@@ -372,12 +376,13 @@ def _cross(docs: DataFrame, held: DataFrame, known: DataFrame, roots: DataFrame,
     stated = spread(stated, known.select("h", "size", "k"), ["h"])
     groups, found, sets = scratch.materialize(stated, "jaccard-stated"), None, None
     for family in range(1, FAMILIES + 2):
-        outs = groups.groupBy("g").agg(F.count_if("out").alias("outs"), F.count(F.lit(1)).alias("n")).where("outs > 0 and n > 1").select("g", "outs")
+        words = F.size("k").cast("long")
+        outs = groups.groupBy("g").agg(F.count_if("out").alias("outs"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("out"), words)).alias("out_words"), F.sum(F.when(~F.col("out"), words)).alias("in_words")).where("outs > 0 and n > 1").drop("n")
         groups = scratch.materialize(spread(groups, scratch.materialize(outs, "jaccard-outs"), ["g"]), "jaccard-groups")
         large = F.lit(False) if family > FAMILIES else F.col("outs") > BUCKET_OUT
-        pairs = _member_pairs(groups.where(~large).drop("outs"), share)
+        pairs = scratch.materialize(_member_pairs(groups.where(~large), share), "jaccard-member-pairs")
         found = pairs if found is None else found.unionByName(pairs)
-        hot = groups.where(large).drop("outs")
+        hot = groups.where(large).select("g", "h", "size", "k", "c", "out")
         if not hot.take(1):
             break
         if sets is None:
@@ -387,13 +392,70 @@ def _cross(docs: DataFrame, held: DataFrame, known: DataFrame, roots: DataFrame,
 
 
 def _member_pairs(groups: DataFrame, share: int) -> DataFrame:
-    """(a, b, size_a, size_b) of every two members of a group in different components that may link and of which one is marked ``out``."""
-    x = scratch.materialize(groups.where("out").select("g", *(F.col(v).alias(f"{v}_x") for v in ("h", "size", "k", "c"))), "jaccard-out")
-    y = groups.select("g", "out", *(F.col(v).alias(f"{v}_y") for v in ("h", "size", "k", "c")))
-    once = (F.col("c_x") != F.col("c_y")) & (~F.col("out") | (F.col("h_x") < F.col("h_y")))
-    pairs = spread(x, y, ["g"]).where(once & _may_link(share, F.col("size_x"), F.col("size_y"), "k_x", "k_y"))
-    first = F.col("h_x") < F.col("h_y")
-    return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(first, F.col("size_x")).otherwise(F.col("size_y")).alias("size_a"), F.when(first, F.col("size_y")).otherwise(F.col("size_x")).alias("size_b"))
+    """(a, b, size_a, size_b) of every two members of a group in different components that may link and of which one is marked ``out``.
+
+    Members are gathered into blocks of bounded size, those marked ``out`` apart; each of their blocks meets the group's
+    blocks, and only pairs that sizes and sketches leave possible become rows.
+    """
+    blocks = F.ceil(F.when(F.col("out"), F.col("out_words")).otherwise(F.col("in_words")) / BLOCK_WORDS)
+    gathered = groups.groupBy("g", "out", F.pmod(F.xxhash64("h"), blocks).alias("block")).agg(F.collect_list(F.struct("h", "size", "c", "k")).alias("members"))
+    y = scratch.materialize(gathered, "jaccard-blocks")
+    x = y.where("out").select("g", F.col("block").alias("block_x"), F.col("members").alias("x"))
+    met = spread(y, x, ["g"]).where(~F.col("out") | (F.col("block_x") <= F.col("block")))
+    return met.select("x", F.col("members").alias("y"), (F.col("out") & (F.col("block_x") == F.col("block"))).alias("same")).mapInArrow(lean(_possible_pairs(share)), "a long, b long, size_a long, size_b long")
+
+
+def _possible_pairs(share: int):
+    """Rows (x, y, same), two blocks of members, to their possible pairs; ``same`` says that the two are one block."""
+
+    def members(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        m = column[i].values
+        h, size, c = (np.asarray(m.field(v)) for v in ("h", "size", "c"))
+        k = m.field("k")
+        ends = np.asarray(k.offsets)
+        words, first, values = ends[1:] - ends[:-1], ends[:-1], np.asarray(k.values).view(np.uint64)
+        by_length = []
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            by_length.append((at, values[first[at][:, None] + np.arange(w)]))
+        return h, size, c, by_length
+
+    def folded(k: np.ndarray, words: int) -> np.ndarray:
+        while k.shape[1] > words:
+            k = k[:, : k.shape[1] // 2] ^ k[:, k.shape[1] // 2 :]
+        return k
+
+    def possible(x, y, same: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        (hx, sx, cx, kx), (hy, sy, cy, ky) = x, y
+        for at_x, all_x in kx:
+            for at_y, all_y in ky:
+                words = min(all_x.shape[1], all_y.shape[1])
+                a, b = folded(all_x, words), folded(all_y, words)
+                rows, step = max(1, PIECE_WORDS // max(1, len(at_y))), max(1, PIECE_WORDS // words)
+                for begin in range(0, len(at_x), rows):
+                    own = at_x[begin : begin + rows, None]
+                    least, most = np.minimum(sx[own], sy[at_y]), np.maximum(sx[own], sy[at_y])
+                    mask = (cx[own] != cy[at_y]) & (least * 100 >= most * share)
+                    if same:
+                        mask &= own < at_y
+                    ii, jj = np.nonzero(mask)
+                    for p in range(0, len(ii), step):
+                        i, j = ii[p : p + step] + begin, jj[p : p + step]
+                        bits = np.bitwise_count(a[i] ^ b[j]).sum(1, dtype=np.int64)
+                        i, j = at_x[i], at_y[j]
+                        ok = bits * (100 + share) <= (sx[i] + sy[j]) * (100 - share)
+                        i, j = i[ok], j[ok]
+                        first = hx[i] < hy[j]
+                        if len(i):
+                            yield np.minimum(hx[i], hy[j]), np.maximum(hx[i], hy[j]), np.where(first, sx[i], sy[j]), np.where(first, sy[j], sx[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, same in enumerate(b.column(2).to_pylist()):
+                for pairs in possible(members(b.column(0), i), members(b.column(1), i), same):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in pairs], names=["a", "b", "size_a", "size_b"])
+
+    return run
 
 
 def _split(groups: DataFrame, known: DataFrame, sets: DataFrame, share: int, family: int) -> DataFrame:
@@ -412,6 +474,9 @@ def _split(groups: DataFrame, known: DataFrame, sets: DataFrame, share: int, fam
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (h, sig)], names=["h", "sig"])
 
     signed = scratch.materialize(whole.mapInArrow(lean(sign), "h long, sig long"), "jaccard-family")
+    # a signature that no other set has keeps nobody together: gone before the members are joined to theirs
+    shared = signed.groupBy("sig").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low < top").select("sig")
+    signed = scratch.materialize(spread(signed, shared, ["sig"]).select("h", "sig"), "jaccard-shared")
     parts = spread(scratch.materialize(groups, "jaccard-hot"), signed, ["h"]).select(F.xxhash64("g", "sig").alias("g"), "h", "size", "k", "c", "out")
     return parts.dropDuplicates(["g", "h"])
 

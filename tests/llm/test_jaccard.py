@@ -127,9 +127,11 @@ def test_signatures_are_few():
         assert sum(len(jaccard.signatures(x, cuts)) for x in s) <= most * sum(map(len, s))
 
 
-def test_common_phrase_with_few_copies(spark, monkeypatch):
-    """Short texts around one phrase: buckets of the phrase are split, and no copy among them is lost."""
-    monkeypatch.setattr(jaccard, "BUCKET_OUT", 5)
+@pytest.mark.parametrize(("most", "words"), [(5, 1 << 15), (5, 40), (1 << 14, 40), (1 << 14, 500)])
+def test_common_phrase_with_few_copies(spark, monkeypatch, most, words):
+    """Short texts around one phrase: buckets of the phrase are split or compared in blocks, and no copy among them is lost."""
+    monkeypatch.setattr(jaccard, "BUCKET_OUT", most)
+    monkeypatch.setattr(jaccard, "BLOCK_WORDS", words)
     r = random.Random(4)
     phrase = "all rights are reserved by the owner of this small text".split()
     texts = []
