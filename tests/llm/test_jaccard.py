@@ -127,7 +127,7 @@ def test_signatures_are_few():
         assert sum(len(jaccard.signatures(x, cuts)) for x in s) <= most * sum(map(len, s))
 
 
-@pytest.mark.parametrize(("most", "words"), [(5, 1 << 15), (5, 40), (1 << 14, 40), (1 << 14, 500)])
+@pytest.mark.parametrize(("most", "words"), [(5, 40), (1 << 14, 40)])
 def test_common_phrase_with_few_copies(spark, monkeypatch, most, words):
     """Short texts around one phrase: buckets of the phrase are split or compared in blocks, and no copy among them is lost."""
     monkeypatch.setattr(jaccard, "BUCKET_OUT", most)
