@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import scratch
-from quire.llm import decontaminate, html, jaccard, language, mixing, quality, secrets, token_counts, token_orc, vectors
+from quire.llm import alignment, decontaminate, html, intervals, jaccard, language, mixing, pieces, quality, secrets, token_counts, token_orc, vectors
 from quire.llm.folds import held_out
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +90,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
+@query
+def op12_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+@query
+def op13_session_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.session_relations(*(_read(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks")))
+
+
+ORACLE_SQL["op13_session_overlaps"] = intervals.SESSION_RELATIONS_SQL
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
