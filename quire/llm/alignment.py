@@ -1,10 +1,17 @@
 """Alignment of two tokenizers' tokens over whole texts, by segments that are tokenised once.
 
 Texts are cut before runs of white space, where neither vocabulary has an entry that reaches across (checked in both), so
-tokens and aligned groups never leave a segment. Documents are gathered into blocks of a bounded number of segments; a block
-names each of its different segments once. The different segments of all blocks are tokenised and aligned once each, their
-alignments are joined back to the blocks, and each block composes its documents. What must be known of all documents, in
-how many a pair of ids is linked, is summed up from blocks before documents are composed.
+tokens and aligned groups never leave a segment.
+
+1. Documents are gathered into blocks of a bounded number of segments, and a block names each of its different segments once.
+2. A block's segments are dealt by a hash of their text to buckets. A bucket tokenises and aligns each text once, whatever
+   number of blocks has it, and sends each block the alignments of its segments.
+3. A block composes its documents, and says in how many of them each pair of ids is linked.
+4. Blocks get back the sums over all documents for their own pairs, and add them up for each document.
+
+What goes between blocks and buckets is packed, one row for a block and bucket, so rows do not grow with segments. Buckets
+grow in number with the characters of the corpus, so that the texts of one fit into a task; rows of a bucket are read one
+after the other. Each step is written before the next begins.
 
 Defined cases: a text that is null, empty, or not kept byte for byte by both tokenizers has no tokens, and counts in no
 pair; repeated rows are documents of their own; null ids are ids like any other; an empty table gives an empty result;
@@ -16,10 +23,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,68 +38,128 @@ from quire.llm.arrow import CACHES, lean, partition_id
 from quire.llm.bpe import encoder
 from quire.llm.pieces import SPACE, pieces
 
-#: Segments, repeats counted, at which a block is closed: 4 bytes each, and its different segments, are one task's at a time.
-BLOCK = 500_000
+#: Segments, repeats counted, at which a block is closed (4 bytes each), and characters of the corpus for each bucket.
+BLOCK, BUCKET_CHARS, LEAST_BUCKETS = 500_000, 4_000_000, 64
 #: White space before which texts may be cut, where the vocabularies allow it. Fixed values.
 SPACES = " \t\n\v\f\r"
-#: Entries of the caches of the byte-level encoder: each segment is asked for once only.
-ENTRIES = 50_000
 
-ROWS = "block long, doc_id long, uses binary, segment int, text string"
-ALIGNED = "text string, kept boolean, n_a int, n_b int, n_groups int, n_links int, groups string, pairs array<long>, times array<int>"
 COMPOSED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+SUMS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def _pack(*parts: np.ndarray | bytes) -> bytes:
+    """Several arrays as one compressed string of bytes."""
+    raw = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in parts]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw))
+
+
+def _unpack(packed: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays of :func:`_pack`, of the kinds given."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    ends = np.cumsum(np.frombuffer(raw, np.int64, len(kinds))).tolist()
+    at = 8 * len(kinds)
+    return [np.frombuffer(memoryview(raw)[at + lo : at + hi], kind) for kind, lo, hi in zip(kinds, [0, *ends], ends, strict=False)]
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+
+
+def _texts(lengths: np.ndarray, data: np.ndarray) -> list[str]:
+    raw, ends = data.tobytes(), _offsets(lengths).tolist()
+    return [raw[lo:hi].decode() for lo, hi in zip(ends, ends[1:], strict=False)]
+
+
+class _Numbers(dict):
+    """Numbers keys in the order they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        found = self[key] = len(self)
+        return found
 
 
 class Aligner:
     """Both vocabularies: ``a`` of the tokenizers library (byte-level), ``b`` of sentencepiece."""
 
     def __init__(self, a: str, b: str):
-        self.a, self.b = encoder(a, ENTRIES), pieces(b)
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a, self.b = encoder(a), pieces(b)
+        self._library_a, self._library_b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
+        self._library_a.encode_special_tokens = True  # their strings are plain text
         back = {c: i for i, c in enumerate(self.a._alphabet)}
-        self.a_bytes = {i: bytes(map(back.__getitem__, t)) for t, i in self.a._vocab.items() if all(c in back for c in t)}
-        texts = [x.decode(errors="replace") for x in self.a_bytes.values()] + [t.replace(SPACE, " ") for t in self.b.ids]
+        shown = {i: t for t, i in self._library_a.get_vocab(with_added_tokens=True).items()}
+        tokens = [shown.get(i, "") for i in range(max(shown) + 1)]
+        self.a_bytes = [bytes(map(back.__getitem__, t)) if all(c in back for c in t) else b"" for t in tokens]
+        self._size_a, self._size_b = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b.bytes))
+        #: Decimal ids with what follows them in the text of groups.
+        self._shown = [np.array([str(i) + c for i in range(max(len(self.a_bytes), len(self.b.bytes)))], object) for c in ",|;\n"]
+        texts = [x.decode(errors="replace") for x in self.a_bytes] + [t.replace(SPACE, " ") for t in self.b.ids]
         # characters that some entry has after one that is no white space
         reached = {y for t in texts for x, y in zip(t, t[1:], strict=False) if not x.isspace()}
-        cuts = "".join(c for c in SPACES if c not in reached)
-        self.cut = re.compile(rf"(?<=\S)(?=[{re.escape(cuts)}])") if cuts else None
+        cuts = re.escape("".join(c for c in SPACES if c not in reached))
+        #: White space and what follows it; white space before which nothing may be cut goes on with the segment.
+        self._segment = re.compile(rf"\s*\S+(?:[^\S{cuts}]\s*\S*)*|\s+")
+        self._one = self.b.ids[SPACE]
 
     def segments(self, text: str) -> list[str]:
         """Parts of a text; no token of either vocabulary, and no pre-token, reaches from one into the next."""
-        return self.cut.split(text) if self.cut else [text]
-
-    def encode_a(self, segment: str) -> list[int]:
-        """Ids by the byte-level vocabulary, special strings being plain text."""
-        return [i for piece in self.a.pieces(segment) for i in np.frombuffer(self.a._ids[piece], "<u4").tolist()]
-
-    def encode_b(self, segment: str) -> list[int]:
-        return [i for part in self.b.parts(segment.replace(" ", SPACE)) for i in self.b.part_ids(part)]
-
-    def align(self, segment: str) -> tuple[list[int], list[int], list[tuple[list[int], list[int]]], dict[tuple[int, int], int]] | None:
-        """(ids of a, ids of b, groups, occurrences of linked pairs), or None if one of them does not keep the bytes."""
-        raw = segment.encode()
-        ids_a, ids_b = self.encode_a(segment), self.encode_b(segment)
-        parts_a, parts_b = [self.a_bytes[i] for i in ids_a], [self.b.bytes[i] for i in ids_b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        groups, links, i, j, end_a, end_b = [], {}, 0, 0, 0, 0
-        while i < len(ids_a):
-            first_a, first_b = i, j
-            end_a += len(parts_a[i])
-            end_b += len(parts_b[j])
-            while True:
-                pair = ids_a[i], ids_b[j]
-                links[pair] = links.get(pair, 0) + 1
-                if end_a == end_b:
-                    break
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(parts_a[i])
-                else:
-                    j += 1
-                    end_b += len(parts_b[j])
-            i, j = i + 1, j + 1
-            groups.append((ids_a[first_a:i], ids_b[first_b:j]))
-        return ids_a, ids_b, groups, links
+        return self._segment.findall(text)
+
+    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of segments by both vocabularies."""
+        ids_a = [x.ids for x in self._library_a.encode_batch_fast(segments, add_special_tokens=False)]
+        # the library puts a space before each text
+        spaced = [k for k, t in enumerate(segments) if t[0] == " "]
+        ids_b: list = [None] * len(segments)
+        for k, found in zip(spaced, self._library_b.encode([segments[k][1:] for k in spaced], num_threads=1), strict=True):
+            ids_b[k] = found or [self._one]
+        for k, t in enumerate(segments):
+            if ids_b[k] is None:
+                ids_b[k] = [i for part in self.b.parts(t.replace(" ", SPACE)) for i in self.b.part_ids(part)]
+        return ids_a, ids_b
+
+    def kept(self, segments: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Whether both vocabularies keep a segment's bytes."""
+        return [b"".join(map(self.a_bytes.__getitem__, x)) == (raw := t.encode()) == b"".join(map(self.b.bytes.__getitem__, y)) and raw != b"" for t, x, y in zip(segments, ids_a, ids_b, strict=True)]
+
+    def align(self, segments: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """Of each segment: (n_a, n_b, n_groups, n_links) as 32-bit integers, links as 64-bit integers (the id of a above), and
+        the text of its groups with a line end; (-1, 0, 0, 0) and nothing where a tokenizer does not keep it."""
+        ids_a, ids_b = self.encode(segments)
+        kept = self.kept(segments, ids_a, ids_b)
+        some = [k for k, ok in enumerate(kept) if ok]
+        out = [(np.array([-1, 0, 0, 0], "<i4").tobytes(), b"", b"\n")] * len(segments)
+        if not some:
+            return out
+        n_a, n_b = (np.array([len(ids[k]) for k in some], np.int64) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(ids[k] for k in some), np.int64) for ids in (ids_a, ids_b))
+        # both lists of tokens cover the same bytes, segment by segment
+        size_a, size_b = self._size_a[a], self._size_b[b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        first = np.searchsorted(end_b, end_a - size_a, "right")
+        n = np.searchsorted(end_b, end_a, "left") - first + 1
+        links = np.repeat(a, n) << 32 | b[np.repeat(first - _offsets(n)[:-1], n) + np.arange(n.sum())]
+        ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
+        closes = np.zeros(len(b), bool)
+        closes[_offsets(n_b)[1:] - 1] = True
+        words = np.empty(len(a) + len(b), object)
+        place_a, place_b = np.arange(len(a)) + _offsets(in_b)[group_a], np.arange(len(b)) + _offsets(in_a)[1:][group_b]
+        for place, ids, sign in ((place_a, a, np.where(last_a, 1, 0)), (place_b, b, np.where(closes, 3, np.where(last_b, 2, 0)))):
+            for k, table in enumerate(self._shown):
+                words[place[sign == k]] = table[ids[sign == k]]
+        shown = "".join(words.tolist()).encode().splitlines(keepends=True)
+        per_a, per_b = np.repeat(np.arange(len(some)), n_a), np.repeat(np.arange(len(some)), n_b)
+        n_links = np.bincount(per_a, n, len(some)).astype(np.int64)
+        heads = np.stack([n_a, n_b, np.bincount(per_b, last_b, len(some)).astype(np.int64), n_links], 1).astype("<i4").tobytes()
+        raw, at = links.astype("<i8").tobytes(), (8 * _offsets(n_links)).tolist()
+        for i, k in enumerate(some):
+            out[k] = heads[16 * i : 16 * i + 16], raw[at[i] : at[i + 1]], shown[i]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -100,120 +170,123 @@ def aligner(a: str, b: str) -> Aligner:
 CACHES.append(aligner.cache_clear)
 
 
-def blocks(docs: DataFrame, a: str, b: str, id_col: str, text_col: str, bound: int) -> DataFrame:
-    """Rows of blocks: (block, doc_id, uses) for each document, uses being its segments' numbers as 32-bit integers, and (block, segment, text)."""
+def blocks(docs: DataFrame, a: str, b: str, id_col: str, text_col: str, bound: int, buckets: int) -> DataFrame:
+    """Rows of blocks: one without bucket, with the documents' ids, numbers of segments, and segments by their numbers in the block; and one for each bucket, with its segments' numbers and texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al, number, ids, uses, known, held = aligner(a, b), partition_id() << 32, [], [], {}, 0
+        al, number, ids, uses, known, held = aligner(a, b), partition_id() << 32, [], [], _Numbers(), 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            names = ["block", "doc_id", "uses", "segment", "text"]
-            for lo in range(0, len(ids), 2000):
-                part = uses[lo : lo + 2000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(ids[lo : lo + n], pa.int64()), pa.array(part, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
-            texts = list(known)
-            for lo in range(0, len(texts), 20_000):
-                part = texts[lo : lo + 20_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(lo, lo + n), pa.int32()), pa.array(part, pa.string())], names=names)
+            sizes = np.array([len(x) for x in uses], np.int64)
+            whole = _pack(np.array([i is None for i in ids], "u1"), np.array([i or 0 for i in ids], "<i8"), sizes, np.concatenate(uses) if uses else np.zeros(0, "<i4"))
+            dealt: dict[int, list[bytes]] = {}
+            for k, text in enumerate(known):
+                raw = text.encode()
+                dealt.setdefault(zlib.crc32(raw) % buckets, []).append((k, raw))
+            rows = [(None, whole)]
+            for bucket, found in dealt.items():
+                rows.append((bucket, _pack(np.array([k for k, _ in found], "<i4"), np.array([len(x) for _, x in found], "<i4"), b"".join(x for _, x in found))))
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "packed"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                found = [known.setdefault(s, len(known)) for s in al.segments(" " + text)] if text else []
+                found = al.segments(" " + text) if text else []
                 ids.append(doc_id)
-                uses.append(np.array(found, "<i4").tobytes())
+                uses.append(np.fromiter(map(known.__getitem__, found), "<i4", len(found)))
                 held += len(found) + 1
                 if held >= bound:
                     yield from close()
-                    number, ids, uses, known, held = number + 1, [], [], {}, 0
+                    number, ids, uses, known, held = number + 1, [], [], _Numbers(), 0
         if ids:
             yield from close()
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(lean(cut, caches=True), ROWS)
+    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(lean(cut, caches=True), "block long, bucket int, packed binary")
 
 
-def aligned(texts: DataFrame, a: str, b: str) -> DataFrame:
-    """Each segment of the column ``text`` with its alignment; pairs are packed into a long, the id of ``a`` above."""
+def aligned(dealt: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows (bucket, home, packed texts) become (home, packed alignments); each text of a bucket is aligned once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al = aligner(a, b)
+        al, bucket, known = aligner(a, b), None, {}
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                found = al.align(text)
-                if found is None:
-                    rows.append((text, False, 0, 0, 0, 0, "", [], []))
-                    continue
-                ids_a, ids_b, groups, links = found
-                shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-                rows.append((text, True, len(ids_a), len(ids_b), len(groups), sum(links.values()), shown, [x << 32 | y for x, y in links], list(links.values())))
-            kinds = [pa.string(), pa.bool_(), *[pa.int32()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            names = ["text", "kept", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
-            columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return texts.mapInArrow(lean(run, caches=True), ALIGNED)
-
-
-def _uses(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(segment of each use, document of each use) of a block's documents in order."""
-    found = docs.column("uses").to_pylist()
-    lengths = np.array([len(x) // 4 for x in found], np.int64)
-    return np.frombuffer(b"".join(found), "<i4"), np.repeat(np.arange(len(found)), lengths)
-
-
-def _kept(uses: np.ndarray, doc: np.ndarray, ok: np.ndarray, n: int) -> np.ndarray:
-    """Whether each document has tokens: some segments, all kept by both vocabularies."""
-    return (np.bincount(doc, minlength=n) > 0) & (np.bincount(doc, ~ok[uses], n) == 0)
-
-
-def _by_segment(segments: pa.Table, name: str) -> list | np.ndarray:
-    """A column of the block's segments, in the order of their numbers."""
-    order = np.argsort(segments.column("segment").to_numpy())
-    return segments.column(name).take(pa.array(order))
-
-
-def _linked(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """(pair, docs): in how many of the block's documents each pair of ids is linked."""
-    if not docs.num_rows or not segments.num_rows:
-        return pa.table({"pair": pa.array([], pa.int64()), "docs": pa.array([], pa.int64())})
-    uses, doc = _uses(docs)
-    ok = _by_segment(segments, "kept").to_numpy()
-    lists = _by_segment(segments, "pairs").combine_chunks()
-    pairs, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    sizes = np.asarray(lists.value_lengths())
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    kept = _kept(uses, doc, ok, docs.num_rows)[doc]
-    each = np.unique(doc[kept].astype(np.int64) * len(ok) + uses[kept])  # each segment once a document
-    doc, uses = each // len(ok), each % len(ok)
-    n = sizes[uses]
-    at = np.repeat(starts[uses] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-    found = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + code[at]) % max(1, len(pairs))
-    count = np.bincount(found, minlength=len(pairs))
-    some = count > 0
-    return pa.table({"pair": pa.array(pairs[some], pa.int64()), "docs": pa.array(count[some], pa.int64())})
-
-
-def _composed(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """The block's documents with their sums and the digest of their groups."""
-    n, ids = docs.num_rows, docs.column("doc_id").combine_chunks()
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    sums, shas = {c: np.zeros(n, np.int64) for c in names}, [""] * n
-    if n and segments.num_rows:
-        uses, doc = _uses(docs)
-        ok = _by_segment(segments, "kept").to_numpy()
-        kept = _kept(uses, doc, ok, n)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
-        for c in names:
-            total = np.concatenate([[0], np.cumsum(_by_segment(segments, c).to_numpy().astype(np.int64)[uses])])
-            sums[c] = np.where(kept, total[ends[1:]] - total[ends[:-1]], 0)
-        shown = _by_segment(segments, "groups").to_pylist()
-        for k in np.flatnonzero(kept).tolist():
-            text = ";".join([shown[i] for i in uses[ends[k] : ends[k + 1]].tolist()])
-            shas[k] = hashlib.sha256(text.encode()).hexdigest()
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), **{c: pa.array(sums[c], pa.int64()) for c in names}, "groups_sha256": pa.array(shas, pa.string())})
+            for lo in range(0, batch.num_rows, 64):
+                part, rows, fresh = batch.slice(lo, 64), [], {}
+                here = part.column(0).to_pylist()
+                for at, packed in zip(here, part.column(2).to_pylist(), strict=True):
+                    numbers, lengths, data = _unpack(packed, "<i4", "<i4", "u1")
+                    rows.append((at, numbers, _texts(lengths, data)))
+                for at in dict.fromkeys(here):  # rows come sorted by bucket
+                    if at != bucket:
+                        bucket, known = at, {}
+                    fresh = list(dict.fromkeys(t for x, _, texts in rows if x == at for t in texts if t not in known))
+                    for k in range(0, len(fresh), 20_000):
+                        known.update(zip(fresh[k : k + 20_000], al.align(fresh[k : k + 20_000]), strict=True))
+                    own = [(numbers, [known[t] for t in texts]) for x, numbers, texts in rows if x == at]
+                    packed = [_pack(numbers, *(b"".join([x[i] for x in found]) for i in range(3))) for numbers, found in own]
+                    homes = [h for h, x in zip(part.column(1).to_pylist(), here, strict=True) if x == at]
+                    yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(packed, pa.binary())], names=["home", "packed"])
+
+    ordered = dealt.select("bucket", "home", "packed").repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(lean(run, caches=True), "home long, packed binary")
+
+
+def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One block: its rows (pair, docs), and a row with what documents hold, for :func:`_summed`."""
+    block = left.column("block")[0].as_py()
+    nulls, ids, sizes, uses = _unpack(left.column("packed")[0].as_py(), "u1", "<i8", "<i8", "<i4")
+    rows = [_unpack(x, "<i4", "<i4", "<i8", "u1") for x in right.column("packed").to_pylist()]
+    numbers = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in rows)]).astype(np.int64)
+    order = np.argsort(numbers)
+    heads = np.concatenate([np.zeros((0, 4), np.int64), *(x[1].reshape(-1, 4) for x in rows)]).astype(np.int64)
+    starts, heads = _offsets(heads[:, 3])[:-1][order], heads[order]
+    pairs, code = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[2] for x in rows)]), return_inverse=True)
+    shown = [y for x in rows for y in x[3].tobytes()[:-1].split(b"\n")]
+    shown = [shown[k] for k in order.tolist()]
+
+    doc = np.repeat(np.arange(len(ids)), sizes)
+    lost = heads[:, 0] < 0
+    kept = (sizes > 0) & (np.bincount(doc, lost[uses], len(ids)) == 0)
+    ends = _offsets(sizes)
+    sums = []
+    for k in range(4):
+        total = _offsets(heads[:, k][uses])
+        sums.append(np.where(kept, total[ends[1:]] - total[ends[:-1]], 0))
+    digests = []
+    for k in range(len(ids)):
+        digests.append(hashlib.sha256(b";".join([shown[i] for i in uses[ends[k] : ends[k + 1]].tolist()])).digest() if kept[k] else b"")
+
+    # links of each document, every segment once
+    each = np.unique(doc[kept[doc]].astype(np.int64) * max(1, len(lost)) + uses[kept[doc]])
+    at, segment = each // max(1, len(lost)), each % max(1, len(lost))
+    n = heads[segment, 3]
+    found = np.repeat(at, n) * max(1, len(pairs)) + code[np.repeat(starts[segment] - _offsets(n)[:-1], n) + np.arange(n.sum())]
+    count = np.bincount(np.unique(found) % max(1, len(pairs)), minlength=len(pairs))
+    some = np.flatnonzero(count)
+    dense = np.full(len(pairs), -1, np.int64)  # pairs that only documents without tokens have are left out
+    dense[some] = np.arange(len(some))
+    links = np.repeat(starts - _offsets(heads[:, 3])[:-1], heads[:, 3]) + np.arange(heads[:, 3].sum())
+    state = _pack(nulls, ids, sizes, uses, kept.astype("u1"), *sums, heads[:, 3].astype("<i4"), dense[code[links]].astype("<i4"), b"".join(digests))
+    m = len(some)
+    return pa.table({"block": pa.array([block] * (m + 1), pa.int64()), "pair": pa.array([None, *pairs[some].tolist()], pa.int64()), "docs": pa.array([None, *count[some].tolist()], pa.int64()), "packed": pa.array([state, *[None] * m], pa.binary())})
+
+
+def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One block's documents: with the sums over links of how many documents of the corpus have their pair."""
+    nulls, ids, sizes, uses, kept, *sums, n, codes, digests = _unpack(left.column("packed")[0].as_py(), "u1", "<i8", "<i8", "<i4", "u1", *["<i8"] * 4, "<i4", "<i4", "u1")
+    order = np.argsort(right.column("pair").to_numpy())  # as numbered
+    docs, best = (np.append(right.column(c).to_numpy()[order].astype(np.int64), 0) for c in ("docs", "best"))
+    at, ends, more = _offsets(n), _offsets(sizes), []
+    for value in (best, docs):
+        total = _offsets(value[codes])
+        total = _offsets((total[at[1:]] - total[at[:-1]])[uses])
+        more.append(np.where(kept > 0, total[ends[1:]] - total[ends[:-1]], 0))
+    raw, where, shas = digests.tobytes(), 0, []
+    for ok in kept.tolist():
+        shas.append(raw[where : where + 32].hex() if ok else "")
+        where += 32 * ok
+    columns = dict(zip([*SUMS, "n_best", "count_sum"], [*sums, *more], strict=True))
+    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=nulls > 0), **{c: pa.array(v, pa.int64()) for c, v in columns.items()}, "groups_sha256": pa.array(shas, pa.string())})
 
 
 def _in_task(make):
@@ -227,21 +300,24 @@ def _in_task(make):
     return run
 
 
-def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chars: int = BUCKET_CHARS) -> DataFrame:
     """Per document: tokens, groups, links, links that are their id's most usual, sum of links' counts, digest of the groups."""
-    rows = scratch.materialize(blocks(docs, a, b, id_col, text_col, block), "align-blocks")
-    whole = rows.where(F.col("segment").isNull()).select("block", "doc_id", "uses")
-    named = rows.where(F.col("segment").isNotNull()).select(F.col("block").alias("home"), "segment", "text")
-    each = scratch.materialize(aligned(named.select("text").distinct(), a, b), "align-segments")
-
-    part = named.join(each.select("text", "kept", "pairs").hint("merge"), "text").drop("text")
-    counts = whole.groupBy("block").cogroup(part.groupBy("home")).applyInArrow(_in_task(_linked), "pair long, docs long")
-    counts = scratch.materialize(counts.groupBy("pair").agg(F.sum("docs").alias("docs")), "align-pairs")
+    spark = docs.sparkSession
+    buckets = max(LEAST_BUCKETS, (docs.agg(F.sum(F.length(docs[text_col]))).first()[0] or 0) // chars)
+    rows = scratch.materialize(blocks(docs, a, b, id_col, text_col, block, buckets), "align-blocks")
+    whole = rows.where(F.col("bucket").isNull()).select("block", "packed")
+    dealt = rows.where(F.col("bucket").isNotNull()).select(F.col("block").alias("home"), "bucket", "packed")
+    parts = aligned(dealt, a, b)
+    composed = whole.groupBy("block").cogroup(parts.groupBy("home")).applyInArrow(_in_task(_composed), "block long, pair long, docs long, packed binary")
+    composed = scratch.materialize(composed, "align-composed")
+    scratch.release(spark)
+    scratch.drop(rows)
+
+    linked = composed.where(F.col("pair").isNotNull()).select(F.col("block").alias("home"), "pair", "docs")
+    counts = linked.groupBy("pair").agg(F.sum("docs").alias("docs"))
     # an id of a has no more partners than b has entries
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
-    judged = counts.select("pair", "docs", (F.col("docs") == most).alias("best"))
-    links = each.select("text", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("text", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    sums = links.join(judged, "pair").groupBy("text").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
-    full = each.drop("pairs", "times").join(sums.hint("merge"), "text", "left").fillna(0, ["n_best", "count_sum"])
-    part = named.join(full.hint("merge"), "text").drop("text")
-    return whole.groupBy("block").cogroup(part.groupBy("home")).applyInArrow(_in_task(_composed), COMPOSED)
+    counts = scratch.materialize(counts.select("pair", "docs", (F.col("docs") == most).cast("int").alias("best")), "align-pairs")
+    known = linked.drop("docs").join(counts.hint("merge"), "pair")
+    states = composed.where(F.col("pair").isNull()).select("block", "packed")
+    return states.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_in_task(_summed), COMPOSED)
