@@ -39,7 +39,7 @@ from quire.llm.bpe import encoder
 from quire.llm.pieces import SPACE, pieces
 
 #: Segments, repeats counted, at which a block is closed (4 bytes each), and characters of the corpus for each bucket.
-BLOCK, BUCKET_CHARS, LEAST_BUCKETS = 500_000, 4_000_000, 64
+BLOCK, BUCKET_CHARS, LEAST_BUCKETS = 500_000, 8_000_000, 64
 #: White space before which texts may be cut, where the vocabularies allow it. Fixed values.
 SPACES = " \t\n\v\f\r"
 
@@ -70,6 +70,36 @@ def _texts(lengths: np.ndarray, data: np.ndarray) -> list[str]:
     return [raw[lo:hi].decode() for lo, hi in zip(ends, ends[1:], strict=False)]
 
 
+def _kind(ids: int) -> str:
+    """Integers that hold as many ids."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+@functools.lru_cache(maxsize=1)
+def _decimals(ids: int) -> list[np.ndarray]:
+    """Decimal ids with what may follow them in the text of groups."""
+    return [np.array([str(i) + c for i in range(ids)], object) for c in ",|;\n"]
+
+
+def group_texts(steps: np.ndarray, a: np.ndarray, b: np.ndarray, links: np.ndarray) -> list[bytes]:
+    """`a1,a2|b1;a3|b2,b3` of each segment; ``links`` are the segments' numbers of links, none of them 0."""
+    if not len(links):
+        return []
+    group = np.cumsum(steps == 0) - 1
+    group_a, group_b = group[steps != 2], group[steps != 1]
+    last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
+    closes = np.zeros(len(b), bool)
+    closes[np.cumsum(steps != 1)[np.cumsum(links) - 1] - 1] = True
+    words = np.empty(len(a) + len(b), object)
+    place_a = np.arange(len(a)) + _offsets(np.bincount(group_b))[group_a]
+    place_b = np.arange(len(b)) + _offsets(np.bincount(group_a))[1:][group_b]
+    tables = _decimals(int(max(a.max(), b.max())) // 8192 * 8192 + 8192)
+    for place, ids, sign in ((place_a, a, np.where(last_a, 1, 0)), (place_b, b, np.where(closes, 3, np.where(last_b, 2, 0)))):
+        for k, table in enumerate(tables):
+            words[place[sign == k]] = table[ids[sign == k]]
+    return "".join(words.tolist()).encode().splitlines()
+
+
 class _Numbers(dict):
     """Numbers keys in the order they are first asked for."""
 
@@ -93,8 +123,7 @@ class Aligner:
         tokens = [shown.get(i, "") for i in range(max(shown) + 1)]
         self.a_bytes = [bytes(map(back.__getitem__, t)) if all(c in back for c in t) else b"" for t in tokens]
         self._size_a, self._size_b = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b.bytes))
-        #: Decimal ids with what follows them in the text of groups.
-        self._shown = [np.array([str(i) + c for i in range(max(len(self.a_bytes), len(self.b.bytes)))], object) for c in ",|;\n"]
+        self.kind = _kind(max(len(self.a_bytes), len(self.b.bytes)))
         texts = [x.decode(errors="replace") for x in self.a_bytes] + [t.replace(SPACE, " ") for t in self.b.ids]
         # characters that some entry has after one that is no white space
         reached = {y for t in texts for x, y in zip(t, t[1:], strict=False) if not x.isspace()}
@@ -124,41 +153,31 @@ class Aligner:
         """Whether both vocabularies keep a segment's bytes."""
         return [b"".join(map(self.a_bytes.__getitem__, x)) == (raw := t.encode()) == b"".join(map(self.b.bytes.__getitem__, y)) and raw != b"" for t, x, y in zip(segments, ids_a, ids_b, strict=True)]
 
-    def align(self, segments: list[str]) -> list[tuple[bytes, bytes, bytes]]:
-        """Of each segment: (n_a, n_b, n_groups, n_links) as 32-bit integers, links as 64-bit integers (the id of a above), and
-        the text of its groups with a line end; (-1, 0, 0, 0) and nothing where a tokenizer does not keep it."""
+    def align(self, segments: list[str]) -> list[tuple[int, bytes, bytes, bytes]]:
+        """Of each segment: links, what is new in each link as bytes (0: a group, 1: the token of a, 2: that of b), and the ids
+        of a and of b as integers of :func:`_kind`; no links where a tokenizer does not keep the segment."""
         ids_a, ids_b = self.encode(segments)
-        kept = self.kept(segments, ids_a, ids_b)
-        some = [k for k, ok in enumerate(kept) if ok]
-        out = [(np.array([-1, 0, 0, 0], "<i4").tobytes(), b"", b"\n")] * len(segments)
+        some = [k for k, ok in enumerate(self.kept(segments, ids_a, ids_b)) if ok]
+        out = [(0, b"", b"", b"")] * len(segments)
         if not some:
             return out
-        n_a, n_b = (np.array([len(ids[k]) for k in some], np.int64) for ids in (ids_a, ids_b))
+        n_a, n_b = (_offsets(np.array([len(ids[k]) for k in some], np.int64)) for ids in (ids_a, ids_b))
         a, b = (np.fromiter(chain.from_iterable(ids[k] for k in some), np.int64) for ids in (ids_a, ids_b))
         # both lists of tokens cover the same bytes, segment by segment
-        size_a, size_b = self._size_a[a], self._size_b[b]
-        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        size_a = self._size_a[a]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(self._size_b[b])
         first = np.searchsorted(end_b, end_a - size_a, "right")
         n = np.searchsorted(end_b, end_a, "left") - first + 1
-        links = np.repeat(a, n) << 32 | b[np.repeat(first - _offsets(n)[:-1], n) + np.arange(n.sum())]
-        ends = np.intersect1d(end_a, end_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
-        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
-        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
-        closes = np.zeros(len(b), bool)
-        closes[_offsets(n_b)[1:] - 1] = True
-        words = np.empty(len(a) + len(b), object)
-        place_a, place_b = np.arange(len(a)) + _offsets(in_b)[group_a], np.arange(len(b)) + _offsets(in_a)[1:][group_b]
-        for place, ids, sign in ((place_a, a, np.where(last_a, 1, 0)), (place_b, b, np.where(closes, 3, np.where(last_b, 2, 0)))):
-            for k, table in enumerate(self._shown):
-                words[place[sign == k]] = table[ids[sign == k]]
-        shown = "".join(words.tolist()).encode().splitlines(keepends=True)
-        per_a, per_b = np.repeat(np.arange(len(some)), n_a), np.repeat(np.arange(len(some)), n_b)
-        n_links = np.bincount(per_a, n, len(some)).astype(np.int64)
-        heads = np.stack([n_a, n_b, np.bincount(per_b, last_b, len(some)).astype(np.int64), n_links], 1).astype("<i4").tobytes()
-        raw, at = links.astype("<i8").tobytes(), (8 * _offsets(n_links)).tolist()
+        at_a = np.repeat(np.arange(len(a)), n)
+        at_b = np.repeat(first - _offsets(n)[:-1], n) + np.arange(n.sum())
+        new_a, new_b = np.append(True, at_a[1:] != at_a[:-1]), np.append(True, at_b[1:] != at_b[:-1])
+        steps = np.where(new_a & new_b, 0, np.where(new_a, 1, 2)).astype("u1").tobytes()
+        links = _offsets(n)[n_a].tolist()
+        wide = np.dtype(self.kind).itemsize
+        raw_a, raw_b = a.astype(self.kind).tobytes(), b.astype(self.kind).tobytes()
+        n_a, n_b = (wide * n_a).tolist(), (wide * n_b).tolist()
         for i, k in enumerate(some):
-            out[k] = heads[16 * i : 16 * i + 16], raw[at[i] : at[i + 1]], shown[i]
+            out[k] = links[i + 1] - links[i], steps[links[i] : links[i + 1]], raw_a[n_a[i] : n_a[i + 1]], raw_b[n_b[i] : n_b[i + 1]]
         return out
 
 
@@ -185,7 +204,7 @@ def blocks(docs: DataFrame, a: str, b: str, id_col: str, text_col: str, bound: i
                 dealt.setdefault(zlib.crc32(raw) % buckets, []).append((k, raw))
             rows = [(None, whole)]
             for bucket, found in dealt.items():
-                rows.append((bucket, _pack(np.array([k for k, _ in found], "<i4"), np.array([len(x) for _, x in found], "<i4"), b"".join(x for _, x in found))))
+                rows.append((bucket, _pack(np.diff(np.array([k for k, _ in found], "<i4"), prepend=np.int32(0)), np.array([len(x) for _, x in found], "<i4"), b"".join(x for _, x in found))))
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "packed"])
 
         for batch in batches:
@@ -214,16 +233,16 @@ def aligned(dealt: DataFrame, a: str, b: str) -> DataFrame:
                 part, rows, fresh = batch.slice(lo, 64), [], {}
                 here = part.column(0).to_pylist()
                 for at, packed in zip(here, part.column(2).to_pylist(), strict=True):
-                    numbers, lengths, data = _unpack(packed, "<i4", "<i4", "u1")
-                    rows.append((at, numbers, _texts(lengths, data)))
+                    gaps, lengths, data = _unpack(packed, "<i4", "<i4", "u1")
+                    rows.append((at, gaps, _texts(lengths, data)))
                 for at in dict.fromkeys(here):  # rows come sorted by bucket
                     if at != bucket:
                         bucket, known = at, {}
                     fresh = list(dict.fromkeys(t for x, _, texts in rows if x == at for t in texts if t not in known))
                     for k in range(0, len(fresh), 20_000):
                         known.update(zip(fresh[k : k + 20_000], al.align(fresh[k : k + 20_000]), strict=True))
-                    own = [(numbers, [known[t] for t in texts]) for x, numbers, texts in rows if x == at]
-                    packed = [_pack(numbers, *(b"".join([x[i] for x in found]) for i in range(3))) for numbers, found in own]
+                    own = [(gaps, [known[t] for t in texts]) for x, gaps, texts in rows if x == at]
+                    packed = [_pack(gaps, np.array([x[0] for x in found], "<i4"), *(b"".join([x[i] for x in found]) for i in (1, 2, 3))) for gaps, found in own]
                     homes = [h for h, x in zip(part.column(1).to_pylist(), here, strict=True) if x == at]
                     yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(packed, pa.binary())], names=["home", "packed"])
 
@@ -231,21 +250,24 @@ def aligned(dealt: DataFrame, a: str, b: str) -> DataFrame:
     return ordered.mapInArrow(lean(run, caches=True), "home long, packed binary")
 
 
-def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
+def _composed(left: pa.Table, right: pa.Table, kind: str) -> pa.Table:
     """One block: its rows (pair, docs), and a row with what documents hold, for :func:`_summed`."""
     block = left.column("block")[0].as_py()
     nulls, ids, sizes, uses = _unpack(left.column("packed")[0].as_py(), "u1", "<i8", "<i8", "<i4")
-    rows = [_unpack(x, "<i4", "<i4", "<i8", "u1") for x in right.column("packed").to_pylist()]
-    numbers = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in rows)]).astype(np.int64)
-    order = np.argsort(numbers)
-    heads = np.concatenate([np.zeros((0, 4), np.int64), *(x[1].reshape(-1, 4) for x in rows)]).astype(np.int64)
-    starts, heads = _offsets(heads[:, 3])[:-1][order], heads[order]
-    pairs, code = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[2] for x in rows)]), return_inverse=True)
-    shown = [y for x in rows for y in x[3].tobytes()[:-1].split(b"\n")]
-    shown = [shown[k] for k in order.tolist()]
+    rows = [_unpack(x, "<i4", "<i4", "u1", kind, kind) for x in right.column("packed").to_pylist()]
+    joined = lambda k: np.concatenate([np.zeros(0, np.int64), *(x[k] for x in rows)]).astype(np.int64)
+    numbers = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(x[0]) for x in rows)]).astype(np.int64)
+    links, steps, a, b = (joined(k) for k in (1, 2, 3, 4))
+    order, segment = np.argsort(numbers), np.repeat(np.arange(len(links)), links)
+    pairs, code = np.unique(a[np.cumsum(steps != 2) - 1] << 32 | b[np.cumsum(steps != 1) - 1], return_inverse=True)
+    heads = np.stack([np.bincount(segment, x, len(links)).astype(np.int64) for x in (steps != 2, steps != 1, steps == 0)] + [links], 1)
+    starts, heads = _offsets(links)[:-1][order], heads[order]
+    shown = np.full(len(links), b"", object)
+    shown[links > 0] = group_texts(steps, a, b, links[links > 0])
+    shown = shown[order].tolist()
 
     doc = np.repeat(np.arange(len(ids)), sizes)
-    lost = heads[:, 0] < 0
+    lost = heads[:, 3] == 0
     kept = (sizes > 0) & (np.bincount(doc, lost[uses], len(ids)) == 0)
     ends = _offsets(sizes)
     sums = []
@@ -289,11 +311,11 @@ def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=nulls > 0), **{c: pa.array(v, pa.int64()) for c, v in columns.items()}, "groups_sha256": pa.array(shas, pa.string())})
 
 
-def _in_task(make):
+def _in_task(make, *more):
     """``make`` as Spark takes it: a function of two tables, with nothing left in the worker's memory pool."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = make(left, right)
+        out = make(left, right, *more)
         pa.default_memory_pool().release_unused()
         return out
 
@@ -307,8 +329,8 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
     rows = scratch.materialize(blocks(docs, a, b, id_col, text_col, block, buckets), "align-blocks")
     whole = rows.where(F.col("bucket").isNull()).select("block", "packed")
     dealt = rows.where(F.col("bucket").isNotNull()).select(F.col("block").alias("home"), "bucket", "packed")
-    parts = aligned(dealt, a, b)
-    composed = whole.groupBy("block").cogroup(parts.groupBy("home")).applyInArrow(_in_task(_composed), "block long, pair long, docs long, packed binary")
+    parts, kind = aligned(dealt, a, b), aligner(a, b).kind
+    composed = whole.groupBy("block").cogroup(parts.groupBy("home")).applyInArrow(_in_task(_composed, kind), "block long, pair long, docs long, packed binary")
     composed = scratch.materialize(composed, "align-composed")
     scratch.release(spark)
     scratch.drop(rows)
