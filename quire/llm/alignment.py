@@ -50,7 +50,7 @@ SUMS = ("n_a", "n_b", "n_groups", "n_links")
 def _pack(*parts: np.ndarray | bytes) -> bytes:
     """Several arrays as one compressed string of bytes."""
     raw = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in parts]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw))
 
 
 def _unpack(packed: bytes, *kinds: str) -> list[np.ndarray]:
@@ -251,7 +251,7 @@ def aligned(dealt: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _composed(left: pa.Table, right: pa.Table, kind: str) -> pa.Table:
-    """One block: its rows (pair, docs), and a row with what documents hold, for :func:`_summed`."""
+    """One block: its rows (pair, docs), and a row with what its documents have, for :func:`_summed`."""
     block = left.column("block")[0].as_py()
     nulls, ids, sizes, uses = _unpack(left.column("packed")[0].as_py(), "u1", "<i8", "<i8", "<i4")
     rows = [_unpack(x, "<i4", "<i4", "u1", kind, kind) for x in right.column("packed").to_pylist()]
@@ -288,14 +288,16 @@ def _composed(left: pa.Table, right: pa.Table, kind: str) -> pa.Table:
     dense = np.full(len(pairs), -1, np.int64)  # pairs that only documents without tokens have are left out
     dense[some] = np.arange(len(some))
     links = np.repeat(starts - _offsets(heads[:, 3])[:-1], heads[:, 3]) + np.arange(heads[:, 3].sum())
-    state = _pack(nulls, ids, sizes, uses, kept.astype("u1"), *sums, heads[:, 3].astype("<i4"), dense[code[links]].astype("<i4"), b"".join(digests))
+    state = _pack(kept.astype("u1"), *sums, heads[:, 3].astype("<i4"), dense[code[links]].astype("<i4"), b"".join(digests))
     m = len(some)
     return pa.table({"block": pa.array([block] * (m + 1), pa.int64()), "pair": pa.array([None, *pairs[some].tolist()], pa.int64()), "docs": pa.array([None, *count[some].tolist()], pa.int64()), "packed": pa.array([state, *[None] * m], pa.binary())})
 
 
 def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
     """One block's documents: with the sums over links of how many documents of the corpus have their pair."""
-    nulls, ids, sizes, uses, kept, *sums, n, codes, digests = _unpack(left.column("packed")[0].as_py(), "u1", "<i8", "<i8", "<i4", "u1", *["<i8"] * 4, "<i4", "<i4", "u1")
+    packed = dict(zip(left.column("composed").to_pylist(), left.column("packed").to_pylist(), strict=True))
+    nulls, ids, sizes, uses = _unpack(packed[False], "u1", "<i8", "<i8", "<i4")
+    kept, *sums, n, codes, digests = _unpack(packed[True], "u1", *["<i8"] * 4, "<i4", "<i4", "u1")
     order = np.argsort(right.column("pair").to_numpy())  # as numbered
     docs, best = (np.append(right.column(c).to_numpy()[order].astype(np.int64), 0) for c in ("docs", "best"))
     at, ends, more = _offsets(n), _offsets(sizes), []
@@ -333,7 +335,6 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
     composed = whole.groupBy("block").cogroup(parts.groupBy("home")).applyInArrow(_in_task(_composed, kind), "block long, pair long, docs long, packed binary")
     composed = scratch.materialize(composed, "align-composed")
     scratch.release(spark)
-    scratch.drop(rows)
 
     linked = composed.where(F.col("pair").isNotNull()).select(F.col("block").alias("home"), "pair", "docs")
     counts = linked.groupBy("pair").agg(F.sum("docs").alias("docs"))
@@ -341,5 +342,5 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     counts = scratch.materialize(counts.select("pair", "docs", (F.col("docs") == most).cast("int").alias("best")), "align-pairs")
     known = linked.drop("docs").join(counts.hint("merge"), "pair")
-    states = composed.where(F.col("pair").isNull()).select("block", "packed")
-    return states.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_in_task(_summed), COMPOSED)
+    states = composed.where(F.col("pair").isNull()).select("block", "packed", F.lit(True).alias("composed"))
+    return whole.withColumn("composed", F.lit(False)).union(states).groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_in_task(_summed), COMPOSED)
