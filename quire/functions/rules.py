@@ -33,18 +33,21 @@ MIN_CHAPTERS, MIN_CONCEPTS, MIN_QUOTES, MIN_INSIGHTS, MIN_CASES, MIN_CONTENT, MI
 # Keywords of messages about an exhausted quota, compared in lower case.
 QUOTA = ["daily_limit_exceeded", "rate limit", "quota", "limit exceeded", "too many requests", "usage limit", "credit", "billing", "insufficient_quota", "免费额度", "额度耗尽"]
 
-# What cleaning a text rewrites, in this order.
+# What cleaning a text rewrites, in this order. What takes in the start of a line is tried there only.
 CLEANING = [
     (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""),
     (r"\r\n|\r", "\n"),
     (r"\n{3,}", "\n\n"),
-    (r"[^\n]*·(?U:\s)*第(?U:\s)*(?U:\d)+(?U:\s)*页[^\n]*\n", ""),
-    (r"(?i)[^\n]*chapter(?U:\s)+(?U:\d)+[^\n]*\n", ""),
+    (r"(?md)^[^\n]*·(?U:\s)*第(?U:\s)*(?U:\d)+(?U:\s)*页[^\n]*\n", ""),
+    (r"(?imd)^[^\n]*chapter(?U:\s)+(?U:\d)+[^\n]*\n", ""),
     (r"ISBN[-\s]?\d[\d\sX-]{9,}", ""),
     (r"(?i)Copyright © \d{4}[^\n]*", ""),
     (r"https?://(?:[a-zA-Z0-9$-_@.&+!*\\(),]|%[0-9a-fA-F]{2})+", ""),
 ]
 
+# Headings at which an overlapping chunk may end, the last that is found going first.
+CHUNK_HEADINGS = [r"(?i)\n#{1,3}(?U:\s)+", r"(?i)\n第 [一二三四五六七八九十\p{Nd}]+[章节]", r"(?i)\nChapter(?U:\s)+(?U:\d)+", r"(?i)\nPART(?U:\s)+[IVX\p{Nd}]+"]
+
 # Words that the tokenizer leaves out.
 STOPWORDS = ["the", "and", "of", "to", "in", "for", "on", "with", "by", "a", "an"]
 

@@ -102,7 +102,7 @@ def _missing(books: DataFrame, column: str, fields: list[str]) -> Column:
 
 
 def gaps(numbers: Column, most: int = 10) -> Column:
-    """The first ``most`` numbers missing between the sorted numbers of an array."""
+    """The first ``most`` (ten, as the rules' messages list them) numbers missing between the sorted numbers of an array."""
     n = F.array_sort(numbers)
     between = F.zip_with(F.slice(n, F.lit(1), F.greatest(F.size(n) - 1, F.lit(0))), F.slice(n, F.lit(2), F.greatest(F.size(n) - 1, F.lit(0))), lambda a, b: F.when(b > a + 1, F.sequence(a + 1, F.least(b - 1, a + most))).otherwise(F.array().cast("array<int>")))
     return F.slice(F.flatten(between), 1, most)
@@ -120,8 +120,12 @@ def statistics(books: DataFrame) -> dict[str, Column]:
         return lambda x: ~reduce(lambda p, q: p & q, (X.has_substance(items.text(x, f), n) for f, n in lengths.items()))
 
     def vague(x: Column) -> Column:
-        parts = _leaves(concepts.type, x)
-        return F.exists(F.filter(reduce(F.concat, parts), lambda s: s.isNotNull()), X.has_placeholder) if parts else F.lit(False)
+        """Whether a direct text of a concept is empty, or has a placeholder or a template phrase."""
+        kind, bad = concepts.type, lambda v: v.isNotNull() & ((v == "") | X.has_placeholder(v) | X.is_template(v))
+        if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+            return F.exists(F.map_values(x), bad)
+        direct = [x.getField(f.name) for f in kind.fields if isinstance(f.dataType, T.StringType)] if isinstance(kind, T.StructType) else []
+        return reduce(lambda p, q: p | q, (F.coalesce(bad(v), F.lit(False)) for v in direct), F.lit(False))
 
     number = lambda x: chapters.text(x, "chapter_number")
     numbers = F.filter(F.transform(chapters.items, lambda x: F.nullif(F.regexp_extract(number(x), "[0-9]+", 0), F.lit("")).try_cast("int")), lambda n: n.isNotNull()) if chapters.type is not None else F.array().cast("array<int>")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import scratch
 from quire.functions import rules
 
 _POOL = ("priority", "stability", "response_time")
@@ -142,7 +143,9 @@ def verdict_totals(assessed: DataFrame) -> DataFrame:
 
 def repair_list(assessed: DataFrame, key: str) -> DataFrame:
     """(key, score, priority) of books that did not pass or score under 80, the most urgent first, better scores first among them."""
+    # the verdicts are worked out once: a filter and a sort over them would each copy the whole tree of rules
+    verdicts = scratch.materialize(assessed.select(key, "score", "passed"), "verdicts")
     s = F.col("score")
     urgent = F.when(s < 50, 0).when(s < 70, 1).otherwise(2)
-    rows = assessed.where(~F.col("passed") | (s < 80)).select(key, "score", F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), urgent + 1).alias("priority"), urgent.alias("_u"))
+    rows = verdicts.where(~F.col("passed") | (s < 80)).select(key, "score", F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), urgent + 1).alias("priority"), urgent.alias("_u"))
     return rows.orderBy("_u", F.desc("score"), key).drop("_u")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire import scratch
 from quire.functions import rules
 
 _ALIASES = {alias: name for name, aliases in rules.FIELD_ALIASES.items() for alias in aliases}
@@ -120,8 +121,15 @@ def coalesced(base: DataFrame, key: str, sources: list[DataFrame], fields: list[
 
 
 def fix_items(assessed: DataFrame, key: str) -> DataFrame:
-    """(key, priority, item): what to repair of assessed books, the most urgent first."""
+    """(key, priority, item): what to repair of assessed books, the most urgent first, then by book and in the rules' order."""
     s = F.col("stats")
-    items = [("CRITICAL", s["merged_chapters"] > 0, "merged_chapters"), ("CRITICAL", s["placeholder_chapters"] > 0, "placeholder_chapters"), ("CRITICAL", s["missing_fields"] > 0, "missing_fields"), ("HIGH", s["empty_ratio"] > 0.3, "empty_chapters"), ("HIGH", s["placeholder_leaves"] > 0, "placeholders"), ("HIGH", s["concepts"] < rules.MIN_CONCEPTS, "concepts"), ("MEDIUM", s["quotes"] < rules.MIN_QUOTES, "quotes"), ("MEDIUM", s["logic_ratio"] < 0.5, "logic_format")]
-    cells = F.filter(F.array(*(F.when(c, F.struct(F.lit(p).alias("priority"), F.lit(i).alias("item"))) for p, c, i in items)), lambda x: x.isNotNull())
-    return assessed.select(key, F.inline(cells))
+    items = [
+        ("CRITICAL", s["merged_chapters"] > 0, "merged_chapters"), ("CRITICAL", s["placeholder_chapters"] > 0, "placeholder_chapters"), ("CRITICAL", s["missing_fields"] > 0, "missing_fields"),
+        ("HIGH", s["empty_chapters"] > 0.3 * s["chapters"], "empty_chapters"), ("HIGH", s["placeholder_leaves"] > 0, "placeholders"), ("HIGH", s["concepts"] < rules.MIN_CONCEPTS, "concepts"),
+        ("MEDIUM", s["quotes"] < rules.MIN_QUOTES, "quotes"), ("MEDIUM", s["logic_ratio"] < 0.5, "logic_format"),
+    ]
+    cells = F.filter(F.array(*(F.when(c, F.struct(F.lit(p).alias("priority"), F.lit(i).alias("item"), F.lit(k).alias("_place"))) for k, (p, c, i) in enumerate(items))), lambda x: x.isNotNull())
+    # the rules are worked out once, not again for the sort
+    found = scratch.materialize(assessed.select(key, F.inline(cells)), "fix-items")
+    urgent = F.array_position(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM"))), F.col("priority"))
+    return found.orderBy(urgent, key, "_place").drop("_place")

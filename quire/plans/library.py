@@ -71,7 +71,18 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", i.alias("i")).select("doc_id", F.col("i").cast("long").alias("chunk"), F.substring("text", F.col("i") * 1000 + 1, F.lit(1000)).alias("content"))
 
 
-@register("clean_text")
+def _clean_sql() -> str:
+    """The cleaning patterns in DuckDB's dialect, one inside the other, then the strip."""
+    unicode_space = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    out = "coalesce(text, '')"
+    for pattern, new in rules.CLEANING:
+        pattern = pattern.replace(r"(?U:\s)", unicode_space).replace(r"(?U:\d)", r"\p{Nd}").replace("(?md)", "(?m)").replace("(?imd)", "(?im)").replace(r"[-\s]", r"[-\t-\r ]").replace(r"[\d\s", r"[\d\t-\r ")
+        out = f"regexp_replace({out}, '{pattern}', {'chr(10)' if new == chr(10) else 'chr(10) || chr(10)' if new else repr('')}, 'g')"
+    strip = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    return f"SELECT doc_id, regexp_replace({out}, '^{strip}|{strip}$', '', 'g') AS text FROM documents"
+
+
+@register("clean_text", _clean_sql())
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", X.clean("text").alias("text"))
 

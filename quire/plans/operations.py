@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import rules
 from quire.functions import text as X
-from quire.operators import quality, selection
+from quire.operators import quality, selection, structured
 from quire.plans.catalog import register
 from quire.session import load
 
@@ -156,7 +156,7 @@ def _book_sql() -> str:
     leaf = lambda w: f"sum(CAST({_hits(w, 'title')} AS INT) + CAST({_hits(w, 'num')} AS INT) + CAST({_hits(w, 'logic')} AS INT) + {weight} * CAST({_hits(w, 'x')} AS INT) + CASE WHEN role = 'user' OR role = 'assistant' THEN CASE role WHEN 'user' THEN 1 ELSE 2 END * CAST({_hits(w, 'role')} AS INT) ELSE 0 END)"
     counts = f"""SELECT conv_id, count(*) AS ch, count_if({merged.format(x='num')}) + count_if({merged.format(x='title')}) AS merged, count_if({hollow}) AS hollow,
  bool_or(NOT regexp_matches(num, '^[0-9]{{2}}$')) AS bad_number, bool_or(logic = '-') AS no_logic, count_if(length(x) + length(logic) < 50) AS empty, bool_or({_hits(rules.TEMPLATES, 'title')}) AS template_title,
- count_if(role = 'user') AS co, count_if(role = 'user' AND length(x) < 30) AS shallow, count_if(role = 'user' AND ({_hits(rules.PLACEHOLDERS, 'x')} OR {_hits(rules.PLACEHOLDERS, 'role')})) AS vague,
+ count_if(role = 'user') AS co, count_if(role = 'user' AND length(x) < 30) AS shallow, count_if(role = 'user' AND (x = '' OR {_hits(rules.PLACEHOLDERS + rules.TEMPLATES, 'x')} OR {_hits(rules.PLACEHOLDERS + rules.TEMPLATES, 'role')})) AS vague,
  count_if(role = 'assistant') AS ins, count_if(role = 'assistant' AND {_hits(rules.TEMPLATES, 'x')}) AS template_ins, count_if(role = 'system') AS qu, count_if(role = 'system' AND length(x) < 10) AS short_qu,
  count_if(logic = '{_LOGIC}') * 1.0 / count(*) AS ratio, {leaf(rules.PLACEHOLDERS)} AS holes, {leaf(rules.TEMPLATES)} AS phrases FROM t GROUP BY conv_id"""
     gap = "SELECT DISTINCT conv_id FROM (SELECT conv_id, n, lead(n) OVER (PARTITION BY conv_id ORDER BY n) AS m FROM (SELECT conv_id, CAST(regexp_extract(num, '[0-9]+') AS INT) AS n FROM t)) WHERE m > n + 1"
@@ -184,6 +184,20 @@ def verdict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.col(c).cast("long").alias(c) for c in ("books", "passed", "failed", "high", "medium", "low")))
 
 
+@register(
+    "fix_list",
+    _book_sql().rsplit(", p AS", 1)[0].rsplit(",\n p AS", 1)[0].rsplit(",\n s AS", 1)[0]
+    + """ SELECT conv_id, unnest(list_filter([
+ CASE WHEN merged > 0 THEN struct_pack(priority := 'CRITICAL', item := 'merged_chapters') END, CASE WHEN hollow > 0 THEN struct_pack(priority := 'CRITICAL', item := 'placeholder_chapters') END,
+ CASE WHEN NOT critical THEN struct_pack(priority := 'CRITICAL', item := 'missing_fields') END, CASE WHEN empty > 0.3 * ch THEN struct_pack(priority := 'HIGH', item := 'empty_chapters') END,
+ CASE WHEN marks > 0 THEN struct_pack(priority := 'HIGH', item := 'placeholders') END, CASE WHEN co < 3 THEN struct_pack(priority := 'HIGH', item := 'concepts') END,
+ CASE WHEN qu < 1 THEN struct_pack(priority := 'MEDIUM', item := 'quotes') END, CASE WHEN ratio < 0.5 THEN struct_pack(priority := 'MEDIUM', item := 'logic_format') END], lambda x: x IS NOT NULL), recursive := true) FROM b""",
+)
+def fix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to repair of each book."""
+    return structured.fix_items(quality.assess(_books(spark, sf_dir)), "conv_id").select("conv_id", "priority", "item")
+
+
 @register("repair_list", f"WITH v AS ({_book_sql()}) SELECT conv_id, score, CASE WHEN score < 50 THEN 'HIGH' WHEN score < 70 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM v WHERE NOT passed OR score < 80")
 def repair_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.repair_list(quality.assess(_books(spark, sf_dir)), "conv_id")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import json
 import re
+import time
 import zipfile
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import rules
@@ -198,7 +200,7 @@ def plain_score(b, expected=0):
     lost += 15 * (len(co) < 3)
     shallow = sum(len(get(x, "definition")) < 30 or len(get(x, "deep_meaning")) < 30 for x in co)
     lost, warned = (lost + 10, warned) if shallow > 0.3 * len(co) else (lost, warned + (shallow > 0))
-    lost += 5 * sum(any(marked(t, rules.PLACEHOLDERS) for t in texts(x)) for x in co)
+    lost += 5 * sum(any(isinstance(t, str) and (not t or marked(t, rules.PLACEHOLDERS + rules.TEMPLATES)) for t in x.values()) for x in co)
     lost += 10 * (len(qu) < 1) + 10 * (len(ins) < 2) + 10 * (len(ca) < 1)
     warned += any(len(get(x, "text")) < 10 for x in qu) + sum(marked(get(x, "description"), rules.TEMPLATES) for x in ins)
     holes, phrases = (sum(marked(t, w) for t in texts(b)) for w in (rules.PLACEHOLDERS, rules.TEMPLATES))
@@ -248,6 +250,34 @@ def test_quality_scores(spark):
         assert {k for k, found in by.items() if issue in found} == where, issue
 
 
+def test_concepts_that_say_nothing(spark):
+    """Penalties worked out by hand: an empty text, a template phrase and a placeholder each cost a concept 5 points, once."""
+    text = "struct<name:string,definition:string,deep_meaning:string,underlying_logic:string,more:array<string>>"
+    good = {"name": "n", "definition": "d" * 30, "deep_meaning": "m" * 30, "underlying_logic": "l", "more": ["待补充", ""]}
+    rows = [good, good | {"underlying_logic": ""}, good | {"definition": "书中探讨了" + "d" * 30}, good | {"deep_meaning": "待补充" + "m" * 30, "name": ""}, good | {"underlying_logic": None}, {}]
+    lines = spark.createDataFrame([(i, json.dumps([r])) for i, r in enumerate(rows)], "i int, j string")
+    out = quality.assess(lines.select("i", F.from_json("j", f"array<{text}>").alias("core_concepts"))).orderBy("i").select("stats.placeholder_concepts").collect()
+    assert [r[0] for r in out] == [0, 1, 1, 1, 0, 0]
+    maps = spark.sql("SELECT array(map('name', 'n', 'definition', ''), map('name', 'TBD'), map('name', 'n')) AS core_concepts")
+    assert quality.assess(maps).select("stats.placeholder_concepts").first()[0] == 2
+
+
+def test_fix_items_are_ordered(spark):
+    books = [(i, json.dumps(book(**x), ensure_ascii=False)) for i, x in enumerate([{}, {"key_quotes": []}, {"core_concepts": []}, changed("chapters", 0, chapter_number="11-22")])]
+    schema = "chapters array<struct<chapter_number:string,title:string,core_argument:string,underlying_logic:string>>, core_concepts array<struct<name:string,definition:string,deep_meaning:string>>, key_quotes array<struct<text:string>>"
+    rows = spark.createDataFrame(books, "i int, j string").select("i", F.from_json("j", schema).alias("b")).select("i", "b.*")
+    got = [tuple(r) for r in structured.fix_items(quality.assess(rows), "i").collect() if r["item"] != "missing_fields"]
+    assert got == [(3, "CRITICAL", "merged_chapters"), (2, "HIGH", "concepts"), (1, "MEDIUM", "quotes")]
+
+
+@pytest.mark.parametrize("line", ["x" * 100_000, "·" * 50_000, "chapter " * 12_000 + "x", "第" * 50_000])
+def test_cleaning_reads_long_lines_once(spark, line):
+    started = time.time()
+    text = f"{line}\nkept\nab · 第 3 页 cd\nIn Chapter 7 x\nlast chapter"
+    assert spark.createDataFrame([(text,)], "t string").select(X.clean("t")).first()[0] == f"{line}\nkept\nlast chapter"
+    assert time.time() - started < 20
+
+
 def test_related_books_that_are_not_texts(spark):
     rows = spark.sql("SELECT named_struct('title', 't', 'related_books', array(named_struct('title', 'x'), null)) AS metadata, array(named_struct('chapter_number', '01', 'related_books', array('plain'))) AS chapters")
     assert quality.assess(rows).select("stats.related_dicts").first()[0] == 1  # a null is no entry
