@@ -24,6 +24,8 @@ from quire.llm import decontaminate, jaccard, language, mixing, token_orc
 LANGUAGE_SCORE = 0.3
 #: Words of a shingle and hundredths of Jaccard similarity from which documents are near copies.
 SHINGLE, SIMILARITY = 5, 80
+#: Words of the shortest benchmark item that is evidence against a document; fewer are ordinary phrases.
+EVIDENCE = 4
 #: Times a document may be taken by the mix.
 EPOCHS = 3
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
@@ -50,11 +52,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap with a benchmark item.
+    """Drops documents that overlap with a benchmark item of at least ``EVIDENCE`` words.
 
     Null and empty texts and items overlap with nothing; repeated rows and items, null ids and ties change nothing.
     """
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=EVIDENCE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ overlap counts if some window has enough equal words. The masks are chosen so th
 substitutions as allowed is hit by one of them.
 
 Defined cases: null or empty texts and items overlap with nothing; items shorter than the window must occur whole, with as
-many substitutions as ``allowed`` says for their length (none under 8 words); items under ``SHORTEST`` words are ordinary
-phrases, no evidence, and overlap with nothing; repeated
+many substitutions as ``allowed`` says for their length (none under 8 words), however short they are; a caller to whom a few
+words are ordinary phrases and no evidence may leave out items under ``shortest`` words; repeated
 documents each get their rows, repeated item ids count as one item; null document ids keep their rows; empty tables give
 an empty result; other columns are not read by ``overlaps`` and kept by ``clean``.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from quire.llm import kernels
 from quire.llm.arrow import lean
 
-#: Words of a window, substitutions allowed in it, words picked by a mask, words of the shortest item that counts.
-WINDOW, SUBSTITUTIONS, WEIGHT, SHORTEST = 13, 3, 5, 4
+#: Words of a window, substitutions allowed in it, words picked by a mask.
+WINDOW, SUBSTITUTIONS, WEIGHT = 13, 3, 5
 
 #: Hits, and words along their diagonals, that are looked at together: bounds the memory of texts that repeat a phrase.
 HITS = 1 << 21
@@ -79,7 +79,7 @@ def _masked(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Passages:
     """A block of benchmark items with their masked hashes."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, substitutions: int = SUBSTITUTIONS, weight: int = WEIGHT):
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, substitutions: int = SUBSTITUTIONS, weight: int = WEIGHT, shortest: int = 1):
         self.window, self.need = window, window - substitutions
         self.ids = [i for i, _ in items]
         data, offsets = kernels.strings(pa.array([t for _, t in items], pa.large_string()))
@@ -89,7 +89,7 @@ class Passages:
         self.item_of = np.repeat(np.arange(len(items)), counts)
         # (item length or None for all from the window on, mask)
         self.masks = [(None, m) for m in masks(window, substitutions, weight)]
-        for n in sorted({int(c) for c in counts if SHORTEST <= c < window}):
+        for n in sorted({int(c) for c in counts if max(1, shortest) <= c < window}):
             self.masks += [(n, m) for m in (masks(n, allowed(n), weight) if allowed(n) else [tuple(range(n))])]
         self.tables = []
         for n, mask in self.masks:
@@ -173,17 +173,17 @@ class Passages:
                 best[t, i] = found
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[Passages]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, shortest: int) -> Iterator[Passages]:
     """Items in blocks of bounded size; the driver holds one block at a time."""
     items, size = [], 0
     for r in benchmark.select(benchmark[id_col], benchmark[text_col]).where(benchmark[text_col].isNotNull()).toLocalIterator():
         items.append((r[0], r[1]))
         size += r[1].count(" ") + 1
         if size >= block_words:
-            yield Passages(items)
+            yield Passages(items, shortest=shortest)
             items, size = [], 0
     if items:
-        yield Passages(items)
+        yield Passages(items, shortest=shortest)
 
 
 def _found(passages: Passages, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -193,11 +193,11 @@ def _found(passages: Passages, column: pa.Array) -> Iterator[tuple[int, int, int
             yield t + i, *rest
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
     """One row for each document and item that overlap: where the best overlap is, its words, and how many are equal."""
     spark = docs.sparkSession
     narrow, out = docs.select(docs[id_col], docs[text_col]), None
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+    for block in _blocks(benchmark, item_col, item_text_col, block_words, shortest):
         shared = spark.sparkContext.broadcast(block)  # at most ``block_words`` words and one item
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -216,10 +216,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
     """The rows of ``docs``, all their columns, that overlap with no item."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+    for block in _blocks(benchmark, item_col, item_text_col, block_words, shortest):
         shared = spark.sparkContext.broadcast(block)  # at most ``block_words`` words and one item
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,9 @@ from quire.llm import kernels
 from tests.llm import edge
 
 
-def brute(text, item):
+def brute(text, item, shortest=1):
     a, b = (text or "").lower().split(), (item or "").lower().split()
-    if len(b) < d.SHORTEST:
+    if len(b) < shortest:
         return False
     n = min(d.WINDOW, len(b))
     need = d.WINDOW - d.SUBSTITUTIONS if n == d.WINDOW else n - d.allowed(n)
@@ -44,7 +44,7 @@ def test_a_passage_repeated_thousands_of_times(monkeypatch):
 def sample(seed):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(30)]
-    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([3, 4, 6, 8, 10, 12, 13, 14, 20, 40])))) for k in range(20)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 4, 6, 8, 10, 12, 13, 14, 20, 40])))) for k in range(20)]
     docs = []
     for k in range(150):
         w = [r.choice(words) for _ in range(r.randint(0, 40))]
@@ -61,7 +61,10 @@ def test_overlaps_are_those_of_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in d.overlaps(df, bench).collect()} == want
     blocks = d.overlaps(df, bench, block_words=50).collect()  # a benchmark beyond one block
     assert {(r.doc_id, r.item_id) for r in blocks} == want
-    assert {r.doc_id for r in d.clean(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    assert any(len(dict(items)[k].split()) < 4 for _, k in want)
+    for shortest in (1, 4):
+        bad = {i for i, t in docs for _, x in items if brute(t, x, shortest)}
+        assert {r.doc_id for r in d.clean(df, bench, shortest=shortest).collect()} == {i for i, _ in docs} - bad
 
 
 def test_awkward_rows(spark):
