@@ -352,8 +352,15 @@ def brand_mind_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_brand", sinks.mind_map(F.col("p_brand"), [("parts", F.col("names"), 20)]).alias("map"))
 
 
-@register("chapter_gaps", "WITH h AS (SELECT DISTINCT conv_id, turn AS n FROM conversations), g AS (SELECT conv_id, n, lead(n) OVER (PARTITION BY conv_id ORDER BY n) AS x FROM h) SELECT conv_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS missing FROM (SELECT conv_id, unnest(range(n + 1, x)) AS m FROM g WHERE x > n + 1) GROUP BY 1")
+@register("chapter_gaps", "WITH h AS (SELECT DISTINCT l_orderkey, l_partkey % 40 AS n FROM lineitem), g AS (SELECT l_orderkey, n, lead(n) OVER (PARTITION BY l_orderkey ORDER BY n) AS x FROM h) SELECT l_orderkey, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS missing FROM (SELECT l_orderkey, unnest(range(n + 1, x)) AS m FROM g WHERE x > n + 1) GROUP BY 1")
 def chapter_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn numbers that are missing between a conversation's turns, all of them, over the whole table."""
-    turns = load(spark, sf_dir, "conversations")
-    return quality.chapter_gaps(turns, "conv_id", "turn", None).select("conv_id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+    """Orders taken as books whose lines are chapters numbered by their part: numbers missing in between, all of them."""
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 40).alias("n"))
+    return quality.chapter_gaps(lines, "l_orderkey", "n", None).select("l_orderkey", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+
+
+@register("turn_gaps", "WITH h AS (SELECT DISTINCT conv_id, turn AS n FROM conversations WHERE role = 'user' OR turn = 0), g AS (SELECT conv_id, n, lead(n) OVER (PARTITION BY conv_id ORDER BY n) AS x FROM h), m AS (SELECT conv_id, unnest(range(n + 1, x)) AS m FROM g WHERE x > n + 1), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY m) AS r FROM m) SELECT conv_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS missing FROM r WHERE r <= 10 GROUP BY 1")
+def turn_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten turns of a conversation, between its first and its last user's turn, that are not the user's."""
+    turns = load(spark, sf_dir, "conversations").where("role = 'user' OR turn = 0")
+    return quality.chapter_gaps(turns, "conv_id", "turn").select("conv_id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))

@@ -74,11 +74,11 @@ def size_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", selection.size_strategy(size, "chunk_strategy").alias("chunk_strategy"), selection.size_strategy(size, "chunk_size").alias("chunk_size"))
 
 
-@register("unprocessed_parts", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@register("unprocessed_parts", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 47) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def unprocessed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts never returned and never sold in the largest quantity."""
+    """Parts never returned in large quantities and never sold in the largest."""
     li, p = load(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey"), load(spark, sf_dir, "part").select("p_partkey")
-    return selection.unprocessed(p, li.where("l_returnflag = 'R'"), li.where("l_quantity > 49"), "p_partkey")
+    return selection.unprocessed(p, li.where("l_returnflag = 'R' AND l_quantity > 47"), li.where("l_quantity > 49"), "p_partkey")
 
 
 @register(
