@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import scratch
 from quire.functions import rules
 from quire.functions import text as X
 from quire.operators import entities, graph, quality, retrieval, series, structured
@@ -212,7 +213,8 @@ _EDGES = "e AS (SELECT DISTINCT a.l_partkey AS u, b.l_partkey AS v FROM lineitem
 
 def _bought_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem")
-    return graph.undirected(lines.select("l_orderkey", F.col("l_partkey").alias("u")).join(lines.select("l_orderkey", F.col("l_partkey").alias("v")), "l_orderkey").where("u < v"))
+    pairs = graph.undirected(lines.select("l_orderkey", F.col("l_partkey").alias("u")).join(lines.select("l_orderkey", F.col("l_partkey").alias("v")), "l_orderkey").where("u < v"))
+    return scratch.materialize(pairs, "bought-together")  # the operators read edges several times
 
 
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +270,13 @@ def near_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("part_communities")
 def part_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Louvain communities of the parts bought together."""
+    return graph.louvain(_bought_together(spark, sf_dir))
+
+
+@register("part_labels")
+def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of label propagation over the parts bought together."""
     return graph.label_communities(_bought_together(spark, sf_dir))
 
 
