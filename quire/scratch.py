@@ -58,7 +58,11 @@ def drop(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver collect now, so that shuffle files of finished jobs go before the next large step, not some time."""
+    """Let the driver collect now, so that shuffle files of finished jobs go before the next large step, not some time.
+
+    The last query's plan is held until another one ends, so a trivial one is run first.
+    """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
