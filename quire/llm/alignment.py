@@ -324,16 +324,23 @@ def _in_task(make, *more):
     return run
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("bucket").isNull()).select("block", "packed")
+
+
+def _first_pass(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """What :func:`_composed` says of all blocks, written. No frame of its plan outlives the call, so that its shuffle files may go."""
+    dealt = rows.where(F.col("bucket").isNotNull()).select(F.col("block").alias("home"), "bucket", "packed")
+    together = _whole(rows).groupBy("block").cogroup(aligned(dealt, a, b).groupBy("home"))
+    return scratch.materialize(together.applyInArrow(_in_task(_composed, aligner(a, b).kind), "block long, pair long, docs long, packed binary"), "align-composed")
+
+
 def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chars: int = BUCKET_CHARS) -> DataFrame:
     """Per document: tokens, groups, links, links that are their id's most usual, sum of links' counts, digest of the groups."""
     spark = docs.sparkSession
     buckets = max(LEAST_BUCKETS, (docs.agg(F.sum(F.length(docs[text_col]))).first()[0] or 0) // chars)
     rows = scratch.materialize(blocks(docs, a, b, id_col, text_col, block, buckets), "align-blocks")
-    whole = rows.where(F.col("bucket").isNull()).select("block", "packed")
-    dealt = rows.where(F.col("bucket").isNotNull()).select(F.col("block").alias("home"), "bucket", "packed")
-    parts, kind = aligned(dealt, a, b), aligner(a, b).kind
-    composed = whole.groupBy("block").cogroup(parts.groupBy("home")).applyInArrow(_in_task(_composed, kind), "block long, pair long, docs long, packed binary")
-    composed = scratch.materialize(composed, "align-composed")
+    composed = _first_pass(spark.read.schema(rows.schema).parquet(rows._quire_path), a, b)
     scratch.release(spark)
 
     linked = composed.where(F.col("pair").isNotNull()).select(F.col("block").alias("home"), "pair", "docs")
@@ -343,4 +350,4 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
     counts = scratch.materialize(counts.select("pair", "docs", (F.col("docs") == most).cast("int").alias("best")), "align-pairs")
     known = linked.drop("docs").join(counts.hint("merge"), "pair")
     states = composed.where(F.col("pair").isNull()).select("block", "packed", F.lit(True).alias("composed"))
-    return whole.withColumn("composed", F.lit(False)).union(states).groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_in_task(_summed), COMPOSED)
+    return _whole(rows).withColumn("composed", F.lit(False)).union(states).groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_in_task(_summed), COMPOSED)
