@@ -127,3 +127,7 @@ TITLE_BONUS, GRAPH_WEIGHT = 2.0, 1.5
 
 # Histogram bounds of request times, in seconds.
 API_BUCKETS = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0]
+
+# Texts of a model's output that stand for nothing, and those that an axiom forbids.
+OUTPUT_PLACEHOLDERS = ["待补充", "待分析", "待填写", "待完善", "待完成", "TBD", "TODO", "FIXME", "N/A", "暂无", "需要补充", "需要分析", "略", "无", "（待补充）", "（待分析）", "（略）"]
+AXIOM_PLACEHOLDERS = ["待补充", "TBD", "TODO", "N/A", "NULL"]
