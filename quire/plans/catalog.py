@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _registered() -> None:
-    for module in ("library", "operations", "texts", "outputs"):
+    for module in ("library", "operations", "texts", "outputs", "links"):
         importlib.import_module(f"quire.plans.{module}")
 
 
