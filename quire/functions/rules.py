@@ -131,3 +131,8 @@ API_BUCKETS = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0]
 # Texts of a model's output that stand for nothing, and those that an axiom forbids.
 OUTPUT_PLACEHOLDERS = ["待补充", "待分析", "待填写", "待完善", "待完成", "TBD", "TODO", "FIXME", "N/A", "暂无", "需要补充", "需要分析", "略", "无", "（待补充）", "（待分析）", "（略）"]
 AXIOM_PLACEHOLDERS = ["待补充", "TBD", "TODO", "N/A", "NULL"]
+
+# What a book's Markdown must have, and what it must not.
+MARKDOWN_SECTIONS = ["时代背景", "章节结构总览", "核心概念", "关键洞见", "关键案例", "金句萃取", "批判性解读", "伦理边界", "学习路径", "关联书籍网络"]
+MARKDOWN_FIELDS = ["title", "author", "discipline", "tags"]
+MARKDOWN_PLACEHOLDERS = ["待补充", "待分析", "待填写", "待生成", "TBD", "TODO", "N/A", "NULL", "暂无", "（此处内容由 LLM 生成）", "（内容由模型生成）", "无法确定", "书中未提供", "完整内容未提供", "（完整内容未提供）"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import rules
-from quire.operators import chunking, memory
+from quire.operators import chunking, markdown, memory
 from quire.plans.catalog import register
 from quire.session import load
 
@@ -103,3 +103,46 @@ def memory_by_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = load(spark, sf_dir, "clicks").select(F.col("click_id").alias("item_id"), F.col("props").alias("metadata"), F.col("ts").alias("at"))
     wanted = load(spark, sf_dir, "vendors").select(F.lit("k").alias("key"), F.col("vendor_id").cast("string").alias("value"))
     return memory.by_metadata(clicks, wanted)
+
+
+_MARKS = {"A-C": "## 核心概念", "D-F": "## 章节结构总览", "G": "```", "H-K": "| 3-5 |", "L-M": "| 7 |", "N-P": "- TODO [[b]] 待补充", "Q-S": "### 学习路径"}
+_MARKED_SQL = f"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '^[A-M]') THEN '---' || chr(10) || 'title: TBD' || chr(10) || 'tags' || chr(10) || '---' || chr(10) ELSE '' END || {_headed_sql(_MARKS)} AS x FROM documents"
+_PLACES_SQL = f"""d AS ({_MARKED_SQL}), l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS content, unnest(range(1, len(string_split(x, chr(10))) + 1)) AS n FROM d WHERE x <> ''),
+ f AS (SELECT *, CASE WHEN bool_or(n = 1 AND content = '---') OVER (PARTITION BY doc_id) THEN min(CASE WHEN n > 2 AND starts_with(content, '---') THEN n END) OVER (PARTITION BY doc_id) END AS close FROM l),
+ z AS (SELECT *, sum(CASE WHEN starts_with(content, '```') AND n > coalesce(close, 0) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM f),
+ s AS (SELECT doc_id, n, content, CASE WHEN n <= coalesce(close, 0) THEN 'front' WHEN fences % 2 = 1 OR starts_with(content, '```') THEN 'code' ELSE 'body' END AS zone FROM z),
+ t AS (SELECT *, last_value(CASE WHEN zone = 'body' AND starts_with(content, '## ') THEN trim(content[4:]) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section, regexp_extract(content, '^\\s*\\|\\s*(\\d+[-\\d]*)\\s*\\|', 1) AS cell FROM s),
+ k AS (SELECT unnest({list(rules.MARKDOWN_PLACEHOLDERS)}) AS word),
+ w AS (SELECT doc_id, n AS line, zone, section, 'placeholder' AS finding, word AS detail, CAST(len(string_split(content, word)) - 1 AS INTEGER) AS times FROM t JOIN k ON contains(content, word)
+  UNION ALL SELECT doc_id, n, zone, section, 'merged_chapter', cell, 1 FROM t WHERE zone = 'body' AND contains(section, '章节结构') AND regexp_matches(cell, '^\\d+-\\d+'))"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the Markdown of a book, with front matter, sections, tables, code and placeholders by first letters."""
+    front = F.when(F.coalesce("text", F.lit("")).rlike("^[A-M]"), F.lit("---\ntitle: TBD\ntags\n---\n")).otherwise("")
+    return load(spark, sf_dir, "documents").select("doc_id", F.concat(front, _headed(_MARKS)).alias("text"))
+
+
+@register("markdown_findings", f"WITH {_PLACES_SQL} SELECT doc_id, CAST(line AS INTEGER) AS line, zone, md5(section) AS section, finding, detail, times AS n FROM w")
+def markdown_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders and merged chapters in every document's Markdown, with their lines, zones and sections."""
+    found = markdown.line_findings(markdown.lines(_marked(spark, sf_dir), "doc_id"), "doc_id")
+    return found.withColumn("section", F.md5(F.col("section").cast("binary")))
+
+
+def _report_sql() -> str:
+    fields = ", ".join(f"CASE WHEN NOT coalesce(bool_or(zone = 'front' AND contains(content, '{f}')), false) THEN '{f}' END" for f in rules.MARKDOWN_FIELDS)
+    sections = ", ".join(f"CASE WHEN NOT coalesce(bool_or(regexp_matches(content, '## .*{s}')), false) THEN '{s}' END" for s in rules.MARKDOWN_SECTIONS)
+    return f"""WITH {_PLACES_SQL}, m AS (SELECT d.doc_id, list_filter([CASE WHEN NOT coalesce(bool_or(zone = 'front'), false) THEN 'front matter' END, {fields}, {sections}], lambda v: v IS NOT NULL) AS missing,
+  count(*) FILTER (zone = 'body' AND contains(section, '章节结构') AND cell <> '') AS chapters FROM d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY 1),
+ p AS (SELECT doc_id, sum(times) FILTER (finding = 'placeholder') AS placeholders, array_to_string(list(line || ': ' || detail ORDER BY line, detail) FILTER (finding = 'placeholder')[1:5], ', ') AS first, string_agg(detail, ',' ORDER BY line) FILTER (finding = 'merged_chapter') AS merged FROM w GROUP BY 1)
+ SELECT d.doc_id, len(missing) = 0 AND merged IS NULL AS valid, array_to_string(missing, ',') AS missing, CAST(coalesce(placeholders, 0) AS BIGINT) AS placeholders, coalesce(first, '') AS first, CAST(chapters AS BIGINT) AS chapters, md5(coalesce(merged, '')) AS merged,
+  CAST(len(regexp_extract_all(x, '\\[\\[[^\\n]*?\\]\\]')) AS INTEGER) AS book_links, CAST(length(x) AS INTEGER) AS total_chars, CAST(len(string_split(x, chr(10))) - 1 AS INTEGER) AS total_lines FROM d JOIN m USING (doc_id) LEFT JOIN p USING (doc_id)"""
+
+
+@register("markdown_reports", _report_sql())
+def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document's Markdown lacks and what it counts."""
+    r = markdown.reports(_marked(spark, sf_dir), "doc_id")
+    merged = F.md5(F.array_join("merged", ",").cast("binary"))
+    return r.select("doc_id", "valid", F.array_join("missing", ",").alias("missing"), "placeholders", F.array_join("first", ", ").alias("first"), "chapters", merged.alias("merged"), "book_links", "total_chars", "total_lines")
