@@ -9,6 +9,7 @@ import re
 import pytest
 
 from quire.operators import chunking, memory
+from tests.cost import shuffled
 
 PATTERNS = [r"\n#{1,3}\s+", r"\n第 [一二三四五六七八九十\d]+[章节]", r"\nChapter\s+\d+", r"\nPART\s+[IVX\d]+"]
 
@@ -104,6 +105,12 @@ def test_memory_search(spark):
     assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
 
 
+def test_memory_search_shuffles_what_is_asked_for(spark):
+    items = spark.range(400).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(1, 100), i -> concat('w', i * 7 + id % 5)), 'found', 'it') AS text")
+    searches = spark.createDataFrame([(s, ["found it", "fou*"]) for s in range(20)], "search_id int, phrases array<string>")
+    assert shuffled(spark, lambda: memory.search(items, searches).collect()) < 40_000  # a prefix does not send all 40,800 words
+
+
 def test_memory_by_metadata(spark):
     rows = [(1, '{"a": "x", "b": 1}', 5), (2, '{"a": "x"}', 7), (3, "{broken", 9), (4, None, 9), (5, '{"a": "y"}', None), (6, '{"a": "x"}', 7)]
     items, wanted = spark.createDataFrame(rows, "item_id int, metadata string, at int"), spark.createDataFrame([("a", "x"), ("b", "1"), ("a", "x"), ("a", "z")], "key string, value string")
