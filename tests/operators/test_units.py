@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import re
 import time
 import zipfile
@@ -19,6 +20,7 @@ from quire.operators import entities, graph, quality, series, structured
 from quire.plans import catalog
 from quire.sources import books, sinks
 from quire.streaming import metrics
+from tests.cost import shuffled
 
 
 def values(df, *order):
@@ -54,6 +56,19 @@ def test_triangles_and_bridge(spark):
     assert abs(whole) < 1e-12
 
 
+def test_reach_counts(spark):
+    r = random.Random(8)
+    pairs = [(r.randrange(40), r.randrange(40)) for _ in range(70)] + [(100 + s, 200) for s in range(300)] + [(200, 1000 + c) for c in range(300)]
+    e = graph.undirected(spark.createDataFrame(pairs, "u long, v long"))
+    seeds = spark.createDataFrame([(n,) for n in [*range(30), *range(100, 400), 5000]], "node long")
+    among = spark.createDataFrame([(n,) for n in [*range(15, 40), 100, *range(1000, 1300), 6000]], "node long")
+    far = graph.within_hops(seeds, e, 2).where("hop = 2").join(among, "node", "left_semi").groupBy("seed").count()
+    assert values(graph.reach_counts(seeds, e, among), "seed") == values(far, "seed")
+    # 300 seeds at one hub are not paired with its 300 other neighbours
+    assert shuffled(spark, lambda: graph.reach_counts(seeds, e, among).collect()) < 30_000 < shuffled(spark, lambda: graph.within_hops(seeds, e, 2).count())
+    assert graph.reach_counts(seeds.limit(0), e, among).collect() == []
+
+
 def test_empty_graph(spark):
     e = graph.undirected(spark.createDataFrame([], "u long, v long"))
     assert graph.label_communities(e).count() == 0 and graph.seed_communities(e).count() == 0
