@@ -1,13 +1,19 @@
 """Linking mentions of known entities in texts, and merging graphs whose nodes go by several names.
 
-A name can occur in a text only if the name's first characters do, so texts meet names by an equi-join on those, and only the
-pairs that it finds are searched. No name or text is sent to every task but where Spark itself measures a table as small.
+A name can occur in a text only where the name's first characters do, so places of texts meet names by an equi-join on those, and
+only the places that it finds are compared. No name or text is sent to every task but where Spark itself measures a table as small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import scratch
 
@@ -15,19 +21,47 @@ from quire import scratch
 GRAM = 5
 
 
-def _folded(x: Column) -> Column:
-    """A text so that letters equal without regard to case are equal; keeps the number of characters for what it is compared with."""
-    return F.translate(F.lower(F.upper(F.translate(x, "İı", "ii"))), "ς", "σ")
+#: Slots that the first characters of names are hashed to; a text's places whose slot has no name go at once.
+SLOTS = 1 << 18
+
+#: Multiplier of the rolling hash.
+_M = np.uint32(2654435761)
+
+
+def _fold_table() -> dict[int, int]:
+    """Code points that have another one in the place of all those equal to them without regard to case."""
+    out = {}
+    for c in map(chr, range(0x110000)):
+        up = c.upper()
+        up = up if len(up) == 1 else c
+        low = up.lower()
+        low = low if len(low) == 1 else "i" if up == "İ" else up
+        if low != c:
+            out[ord(c)] = ord(low)
+    return out
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct runs of ``n`` characters of a text."""
-    def runs(chars: Column) -> Column:
-        return F.transform(chars, lambda c, i: F.concat(c, *(F.get(chars, i + k) for k in range(1, n))))
+@functools.cache
+def _folds() -> dict[int, int]:
+    return _fold_table()
 
-    # the characters are a value of their own: taken anew for each place, they would cost the square of a text
-    found = F.get(F.transform(F.array(F.split(text, "")), lambda chars: runs(chars)), 0)
-    return F.array_distinct(F.filter(found, lambda g: g.isNotNull() & (g != "")))
+
+def _fold(text: str) -> str:
+    """A text so that letters equal without regard to case are equal; every character stays one character."""
+    return text.lower() if text.isascii() else text.translate(_folds())
+
+
+def _slots(text: str, n: int) -> np.ndarray:
+    """The slot of each run of ``n`` characters of a folded text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    runs = len(codes) - n + 1
+    if runs < 1:
+        return np.zeros(0, np.uint32)
+    h = np.full(runs, n, np.uint32)
+    for j in range(n):
+        h = h * _M + codes[j : j + runs]
+        h ^= h >> np.uint32(15)
+    return (h * _M) >> np.uint32(14)
 
 
 def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -36,26 +70,58 @@ def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     Occurrences of one name do not overlap: the leftmost is taken, then the next one after its end. Those of different
     names may. Places count characters, the end is exclusive. Defined cases: null and empty texts have no mentions, null
     and empty names have none, a name given several times counts once, repeated documents are rows of their own.
+
+    A place of a text becomes a row only if the characters there hash to a slot in which a name begins, with as many
+    characters as the longest such name has. These rows meet the names by the first characters and are compared whole.
     """
-    known = scratch.materialize(names.where("name is not null and name <> ''").select("name").distinct().withColumn("k", _folded("name")).withColumn("n", F.least(F.length("k"), F.lit(GRAM))), "names")
-    keys = known.select(F.substring("k", F.lit(1), F.col("n")).alias("gram"), "name")
-    sizes = [r.n for r in known.select("n").distinct().orderBy("n").collect()]  # at most GRAM of them
-    rows = docs.where("doc_id is not null and text <> ''").select("doc_id", "text")
-    texts = scratch.materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    if not sizes:
-        return texts.select("doc_id", F.col("text").alias("name"), F.col("text").alias("mention"), F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
-    grams = F.concat(*(_grams(F.col("_f"), n) for n in sizes))
-    met = texts.select("_row", _folded("text").alias("_f")).select("_row", F.explode(grams).alias("gram"))
-    pairs = scratch.materialize(met.join(keys, "gram").select("_row", "name"), "met")
-    literal = F.concat(F.lit("(?iu)\\Q"), F.replace("name", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    found = texts.join(pairs, "_row").select("doc_id", "name", "text", literal.alias("p"))
-    found = found.where(F.regexp_like("text", F.col("p"))).select("doc_id", "name", F.split("text", F.col("p"), -1).alias("gaps"), F.regexp_extract_all("text", F.col("p"), F.lit(0)).alias("hits"))
-    # a mention starts after the gaps and the mentions before it
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    lengths = F.zip_with("gaps", "hits", lambda g, h: F.struct(F.length(g).alias("g"), F.coalesce(F.length(h), F.lit(0)).alias("h")))
-    starts = F.aggregate(lengths, begin, lambda s, x: F.struct((s["at"] + x["g"] + x["h"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts")), lambda s: s["starts"])
-    spans = F.zip_with("hits", F.slice(starts, F.lit(1), F.size("hits")), lambda h, s: F.struct(h.alias("mention"), s.alias("start"), (s + F.length(h)).alias("end")))
-    return found.select("doc_id", "name", F.inline(spans))
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_fold(x) for x in b.column(0).to_pylist()]
+            grams = [k[:GRAM] for k in keys]
+            slots = [int(_slots(g, len(g))[0]) for g in grams]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(grams, pa.string()), pa.array(slots, pa.int32()), pa.array([len(g) for g in grams], pa.int32()), pa.array([len(k) for k in keys], pa.int32())], names=["name", "k", "gram", "slot", "n", "length"])
+
+    known = names.where("name is not null and name <> ''").select("name").distinct()
+    known = scratch.materialize(known.mapInArrow(folded, "name string, k string, gram string, slot int, n int, length int"), "names")
+    # at most SLOTS numbers for each of at most GRAM lengths, however many names there are
+    longest: dict[int, np.ndarray] = {}
+    for r in known.groupBy("n", "slot").agg(F.max("length").alias("length")).collect():
+        longest.setdefault(r.n, np.zeros(SLOTS, np.int32))[r.slot] = r.length
+    doc_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", doc_type), *(T.StructField(c, t) for c, t in (("row", T.LongType()), ("start", T.IntegerType()), ("gram", T.StringType()), ("folded", T.StringType()), ("plain", T.StringType())))])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, size = [], 0
+            for i, text in enumerate(b.column(2).to_pylist()):
+                low = _fold(text)
+                for n, lengths in longest.items():
+                    slots = lengths[_slots(low, n)]
+                    for at in np.flatnonzero(slots).tolist():
+                        found.append((i, at, low[at : at + n], low[at : at + slots[at]], text[at : at + slots[at]]))
+                        size += int(slots[at])
+                    if size > 8_000_000:
+                        yield rows(b, found)
+                        found, size = [], 0
+            if found:
+                yield rows(b, found)
+
+    def rows(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        i, at, gram, low, plain = map(list, zip(*found, strict=True))
+        of = pa.array(i, pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(at, pa.int32()), pa.array(gram, pa.string()), pa.array(low, pa.string()), pa.array(plain, pa.string())], names=schema.names)
+
+    texts = docs.where("doc_id is not null and text <> ''").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    begun = texts.mapInArrow(places, schema)
+    met = begun.join(known.select("gram", "name", "k", "length"), "gram").where(F.substring("folded", F.lit(1), F.col("length")) == F.col("k"))
+    hits = met.select("doc_id", "row", "name", "length", "start", F.substring("plain", F.lit(1), F.col("length")).alias("mention"))
+    listed = hits.groupBy("doc_id", "row", "name", "length").agg(F.array_sort(F.collect_list(F.struct("start", "mention"))).alias("hits"))
+    # a mention counts if it begins after the last one that counts has ended
+    begin = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<start:int,mention:string>>").alias("kept"))
+    step = lambda s, h: F.when(h["start"] >= s["free"], F.struct((h["start"] + F.col("length")).alias("free"), F.concat(s["kept"], F.array(h)).alias("kept"))).otherwise(s)
+    near = F.exists(F.sequence(F.lit(1), F.size("hits") - 1), lambda i: F.get("hits", i)["start"] < F.get("hits", i - 1)["start"] + F.col("length"))
+    kept = F.when((F.size("hits") > 1) & near, F.aggregate("hits", begin, step, lambda s: s["kept"])).otherwise(F.col("hits"))
+    return listed.select("doc_id", "name", "length", F.explode(kept).alias("h")).select("doc_id", "name", "h.mention", "h.start", (F.col("h.start") + F.col("length")).alias("end"))
 
 
 def alias_classes(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 from quire.operators import linking
+from tests.cost import shuffled
 
 WORDS = ["aa", "aaa", "AaA", "ab", "(a.b)", "é", "É", "字词", "字", "Ωσ", "ΣΩΣ", "ς", "straße", "STRASSE", "🙂a", "a\\Eb", "x", " "]
 
@@ -72,3 +73,11 @@ def test_merged(spark):
     assert got == {("a", "z"): (5, 2, ["one", "two"]), ("a", "a"): (1, 1, ["one"]), ("z", "a"): (None, 1, ["one"]), ("far", "q"): (8, 2, ["one"])}
     # nothing is lost: every edge with ends is counted once
     assert sum(v[1] for v in got.values()) == sum(Counter((u, v) for u, v, _, _ in edges if u and v).values())
+
+
+def test_only_places_of_names_become_rows(spark):
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 400), i -> concat(i * 37 + id, 'q')), 'The Name') AS text")
+    names = spark.createDataFrame([("the name",), ("another name",)], "name string")
+    found = []
+    assert shuffled(spark, lambda: found.extend(linking.mentions(docs, names).collect())) < 500  # not every run of characters
+    assert len(found) == 50 and {r.mention for r in found} == {"The Name"}
