@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import random
 import re
 import time
@@ -56,6 +57,23 @@ def test_triangles_and_bridge(spark):
     assert abs(whole) < 1e-12
 
 
+def test_adamic_adar_of_edges_and_other_pairs(spark):
+    r = random.Random(9)
+    links = {tuple(sorted(r.sample(range(60), 2))) for _ in range(400)} | {(0, n) for n in range(1, 60)} | {(1, n) for n in range(500, 700)}
+    near = {}
+    for u, v in links:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    pairs = sorted(links) + [(v, u) for u, v in sorted(links)[::3]] + [(r.randrange(60), r.randrange(60)) for _ in range(100)] + [(3, 9999)]
+    want = {(a, b): sum(1 / math.log(len(near[c])) for c in both) for a, b in pairs if (both := {c for c in near.get(a, set()) & near.get(b, set()) if len(near[c]) > 1})}
+    e = graph.undirected(spark.createDataFrame(sorted(links), "u long, v long"))
+    got = {(x.a, x.b): x.adamic_adar for x in graph.adamic_adar(spark.createDataFrame(pairs, "a long, b long"), e).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    # a lattice without triangles: its edges' common neighbours cost no row for each step over two edges
+    grid = graph.undirected(spark.createDataFrame([(i, 100 + j) for i in range(60) for j in range(60)], "u long, v long"))
+    assert shuffled(spark, lambda: graph.adamic_adar(grid.withColumnsRenamed({"u": "a", "v": "b"}), grid).collect()) < 60_000
+
+
 def test_reach_counts(spark):
     r = random.Random(8)
     pairs = [(r.randrange(40), r.randrange(40)) for _ in range(70)] + [(100 + s, 200) for s in range(300)] + [(200, 1000 + c) for c in range(300)]
