@@ -1,6 +1,7 @@
 """Model output as VARIANT: damaged JSON mended by expressions, and documents of any make brought into one declared shape.
 
-Everything here is a Column expression, so it runs inside the scan's stage: no shuffle, no Python.
+Everything here is a Column expression, so it runs inside the scan's stage: no shuffle, no Python. Values that are used more
+than once are bound by :func:`once`: Spark does not share what is repeated inside lambdas.
 
 Defined cases: null and empty texts, and texts without a JSON object, have no document and the status ``none``; the shape of
 no document is its defaults. A field of JSON null is as good as absent. Repeated rows are rows like any other.
@@ -20,19 +21,37 @@ from quire.functions.text import SPACE, quoted
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
 
 
-def _outside(x: Column, pattern: str) -> Column:
-    """Without the matches of ``pattern`` outside strings; a string that is still open goes to the end."""
-    return F.regexp_replace(x, f"(?s)({_STRING}?+)|{pattern}", "$1")
+#: Comments and bold marks of keys, commas before a closing bracket.
+_PLAIN, _TRAILING = r"//[^\n]*|/\*.*?\*/|\*\*(?=\s*[\"\[{:\d])", r",(?=\s*[}\]])"
+
+
+def _outside(x: Column, pattern: str, there: Column) -> Column:
+    """Without the matches of ``pattern`` outside strings; a string that is still open goes to the end. Strings are looked at only
+    if ``there``, which is true of any bound text ``x`` with a match."""
+    return F.when(there, F.regexp_replace(x, f"(?s)({_STRING}?+)|{pattern}", "$1")).otherwise(x)
+
+
+def _without_marks(x: Column) -> Column:
+    return _outside(x, _PLAIN, x.contains("//") | x.contains("/*") | x.contains("**"))
+
+
+def _without_trailing(x: Column) -> Column:
+    return _outside(x, _TRAILING, x.rlike(_TRAILING))
 
 
 def _unfinished(x: Column) -> Column:
-    """A text cut off somewhere, with its open string and its open brackets closed."""
-    rest = F.regexp_replace(x, f"(?s){_STRING}", "")
-    x = F.when(rest.contains('"'), F.concat(F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)\\$", "$1"), F.lit('"'))).otherwise(x)
-    x = F.regexp_replace(x, r"[\s,]+$", "")
-    brackets = F.regexp_extract_all(F.regexp_replace(rest, r'(?s)".*', ""), F.lit(r"[{}\[\]]"), F.lit(0))
-    closing = F.aggregate(brackets, F.lit(""), lambda s, b: F.when(b == "{", F.concat(F.lit("}"), s)).when(b == "[", F.concat(F.lit("]"), s)).otherwise(F.substring(s, 2, 2**31 - 1)))
-    return F.concat(x, closing)
+    """A text cut off somewhere, with its open string and its open brackets closed; ``x`` is bound."""
+
+    def closed(rest: Column) -> Column:
+        # an end is looked for only where the last characters have it; there may be a line's end after it
+        whole = F.when(F.right(x, F.lit(3)).contains("\\"), F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)\\$", "$1")).otherwise(x)
+        body = F.when(rest.contains('"'), F.concat(whole, F.lit('"'))).otherwise(x)
+        body = once(body, lambda b: F.when(F.right(b, F.lit(3)).rlike(r"[\s,]"), F.regexp_replace(b, r"[\s,]+$", "")).otherwise(b))
+        brackets = F.regexp_extract_all(F.regexp_replace(rest, r'(?s)".*', ""), F.lit(r"[{}\[\]]"), F.lit(0))
+        closing = F.aggregate(brackets, F.lit(""), lambda s, b: F.when(b == "{", F.concat(F.lit("}"), s)).when(b == "[", F.concat(F.lit("]"), s)).otherwise(F.substring(s, 2, 2**31 - 1)))
+        return F.concat(body, closing)
+
+    return once(F.regexp_replace(x, f"(?s){_STRING}", ""), closed)
 
 
 def _object(x: Column) -> Column:
@@ -40,14 +59,14 @@ def _object(x: Column) -> Column:
     return F.try_parse_json(F.when(x.rlike(r"^\s*\{"), x))
 
 
-def _once(value: Column, body) -> Column:
+def once(value: Column, body) -> Column:
     """``body`` of a value that is worked out once, however often it is used."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
 def _attempt(how: str, x: Column) -> Column:
     """(status, document) of a text that is a JSON object, worked out once; else null."""
-    return _once(_object(x), lambda v: F.when(v.isNotNull(), F.struct(F.lit(how).alias("status"), v.alias("document"))))
+    return once(x, lambda t: once(_object(t), lambda v: F.when(v.isNotNull(), F.struct(F.lit(how).alias("status"), v.alias("document")))))
 
 
 def document(x: Column | str) -> Column:
@@ -58,14 +77,22 @@ def document(x: Column | str) -> Column:
     string and brackets closed. ``cut``: the same, without a last member that has no whole value. Each is tried if none before
     gave a document.
     """
-    x = F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
-    plain = r"//[^\n]*|/\*.*?\*/|\*\*(?=\s*[\"\[{:\d])"
-    inner = F.regexp_extract(x, r"(?s)\{.*\}", 0)
-    opened = _outside(F.regexp_replace(F.regexp_extract(x, r"(?s)\{.*", 0), r"\s*```\s*$", ""), plain)
-    cut = F.regexp_replace(opened, r'(?s)(?:,\s*|(?<=\{)\s*)"(?:[^"\\]|\\.){0,200}(?:"\s*:?\s*[^",\[\]{}]*)?$', "")
-    tried = {"parsed": x, "extracted": inner, "mended": _outside(_outside(inner, plain), r",(?=\s*[}\]])"), "closed": _outside(_unfinished(opened), r",(?=\s*[}\]])"), "cut": _outside(_unfinished(cut), r",(?=\s*[}\]])")}
     none = F.struct(F.lit("none").alias("status"), F.lit(None).cast("variant").alias("document"))
-    return F.coalesce(*(_attempt(how, t) for how, t in tried.items()), none)
+
+    def within(x: Column, inner: Column) -> Column:
+        # a text that was tried already is not parsed again
+        mended = once(once(_without_marks(inner), _without_trailing), lambda m: F.when(m != inner, _attempt("mended", m)))
+        return F.coalesce(F.when(inner != x, _attempt("extracted", inner)), mended)
+
+    def begun(opened: Column) -> Column:
+        cut = F.regexp_replace(opened, r'(?s)(?:,\s*|(?<=\{)\s*)"(?:[^"\\]|\\.){0,200}(?:"\s*:?\s*[^",\[\]{}]*)?$', "")
+        return F.coalesce(*(_attempt(how, once(once(t, _unfinished), _without_trailing)) for how, t in (("closed", opened), ("cut", cut))))
+
+    def tried(x: Column) -> Column:
+        opened = once(F.regexp_extract(x, r"(?s)\{.*", 0), lambda o: F.when(o.contains("```"), F.regexp_replace(o, r"\s*```\s*$", "")).otherwise(o))
+        return F.coalesce(_attempt("parsed", x), once(F.regexp_extract(x, r"(?s)\{.*\}", 0), lambda inner: within(x, inner)), once(once(opened, _without_marks), begun), none)
+
+    return once(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), tried)
 
 
 @dataclass(frozen=True)
@@ -125,47 +152,78 @@ def _string(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def _readable(v: Column, instead: Column) -> Column:
+    """The text of a value, ``instead`` of a placeholder; null of JSON null. What kind it is of is asked of texts that read as one only."""
+    return once(_string(v), lambda t: F.when(t.rlike(PLACEHOLDER) & (kind(v) == "STRING"), instead).otherwise(t))
+
+
 def _cleaned(v: Column) -> Column:
-    text = _string(v)
-    return F.when((kind(v) == "STRING") & text.rlike(PLACEHOLDER), F.lit("")).otherwise(text)
+    return _readable(v, F.lit(""))
+
+
+def _list(v: Column) -> Column:
+    """The entries of a list; null of other values."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+#: A text of common characters among which is no white space.
+_UNSPACED = r"^[!-~\xa1-\u167f\u3001-\ud7ff]*+\z"
+
 
+def _split(t: Column, mark: str) -> Column:
+    """The parts of a text between marks, without white space around them and without blank ones."""
+    parts = F.split(t, mark, -1)
+    trimmed = F.transform(parts, lambda p: F.regexp_replace(p, f"^{SPACE}+|{SPACE}+$", ""))
+    return F.array_remove(F.when(t.rlike(_UNSPACED), parts).otherwise(trimmed), "")
+
+
+def _records(items: Column, shape: Records) -> Column:
+    """The entries that are objects or texts, placeholders not among them, in the shape of a record."""
+    kinds, none = f"struct<{','.join(f'`{n}`:variant' for n in shape.fields)}>", F.lit(None).cast("string")
+
+    def record(members: Column, text: Column) -> Column:
+        parts = []
+        for name, inner in shape.fields.items():
+            value = shaped(members[name], inner)
+            parts.append((F.coalesce(text, value) if name in shape.text_as else value).alias(name))
+        return F.struct(*parts)
 
-def _entries(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    def entry(x: Column) -> Column:
+        # an object has members, however few it has of the fields; a text has none
+        def read(o: Column) -> Column:
+            text = F.when(kind(x) == "STRING", _readable(x, none))
+            return F.when(o.isNotNull(), record(o, none)).otherwise(once(text, lambda t: F.when(t.isNotNull(), record(F.lit(None).cast(kinds), t))))
 
+        return once(F.try_variant_get(x, "$", kinds), read)
 
-def _is_placeholder(v: Column) -> Column:
-    return (kind(v) == "STRING") & _string(v).rlike(PLACEHOLDER)
+    return F.filter(F.transform(items, entry), lambda r: r.isNotNull())
 
 
 def shaped(v: Column, shape) -> Column:
     """The value of a VARIANT in a declared shape; of null and of types that do not fit, the shape's defaults."""
     if isinstance(shape, Text):
         if shape.first:
-            v = F.when(kind(v) == "ARRAY", F.get(_entries(v), 0)).otherwise(v)
+            v = F.when(kind(v) == "ARRAY", F.get(_list(v), 0)).otherwise(v)
         return F.coalesce(_cleaned(v), F.lit(shape.default))
     if isinstance(shape, Texts):
-        lone = F.array(_cleaned(v))
-        if shape.split:
-            lone = F.filter(F.transform(F.split(_cleaned(v), quoted([shape.split]), -1), lambda p: F.regexp_replace(p, f"^{SPACE}+|{SPACE}+$", "")), lambda p: p != "")
-        listed = F.transform(F.filter(_entries(v), lambda x: (kind(x) != "VOID") & ~_is_placeholder(x)), _string)
-        return F.when(kind(v) == "STRING", lone).otherwise(listed)
+        lone = once(_cleaned(v), lambda t: _split(t, quoted([shape.split]))) if shape.split else F.array(_cleaned(v))
+        other = F.when(kind(v) == "STRING", lone).otherwise(F.array().cast("array<string>"))
+        listed = F.filter(F.transform(_list(v), lambda x: _readable(x, F.lit(None).cast("string"))), lambda t: t.isNotNull())
+        return F.coalesce(listed, other)
     if isinstance(shape, Mapping):
         named = F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: F.coalesce(_cleaned(x), F.lit("")))
-        return F.when(kind(v) == "STRING", F.create_map(F.lit(shape.text_as), _cleaned(v))).otherwise(F.coalesce(named, F.create_map().cast("map<string,string>")))
+        other = F.when(kind(v) == "STRING", F.create_map(F.lit(shape.text_as), _cleaned(v))).otherwise(F.create_map().cast("map<string,string>"))
+        return F.coalesce(named, other)
     if isinstance(shape, Record):
         parts = []
         for name, inner in shape.fields.items():
-            value = _once(at(v, name), lambda x: shaped(x, inner))
+            value = once(at(v, name), lambda x: shaped(x, inner))
             if name in shape.text_as:
                 value = F.when(kind(v) == "STRING", _cleaned(v)).otherwise(value)
             parts.append(value.alias(name))
         return F.struct(*parts)
-    items = _entries(v)
-    if shape.lone:
-        items = F.when(kind(v).isin("STRING", "OBJECT"), F.array(v)).otherwise(items)
-    kept = F.filter(items, lambda x: kind(x).isin("STRING", "OBJECT") & ~_is_placeholder(x))
-    return F.transform(kept, lambda x: shaped(x, Record(shape.fields, shape.text_as)))
+    alone = [F.when(kind(v).isin("STRING", "OBJECT"), F.array(v))] if shape.lone else []
+    return _records(F.coalesce(_list(v), *alone, F.array().cast("array<variant>")), shape)
 
 
 def _texts(*names: str) -> dict:

@@ -32,8 +32,7 @@ def mended_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _json(x: Column) -> Column:
     """A text as JSON."""
-    quoted = F.to_json(F.array(x))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return normalising.once(F.to_json(F.array(x)), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
 
 
 def _lines() -> Column:
@@ -47,22 +46,24 @@ def _output() -> Column:
         own = F.struct(line.alias("name"), F.lit("略").alias("definition"), F.concat_ws("、", F.split(line, " ")).alias("core_drivers"), line.alias("development_stages"))
         return F.when(line == "", F.lit('"TBD"')).when(line.rlike("^[A-M]"), _json(line)).otherwise(F.to_json(own))
 
-    first = F.get(_lines(), 0)
-    parts = {
-        "metadata": F.concat(F.lit('{"title": ['), _json(first), F.lit(', "x"], "author": null}')),
-        "core_concepts": F.concat(F.lit("["), F.array_join(F.transform(_lines(), concept), ", "), F.lit("]")),
-        "key_insights": F.concat(F.lit('[{"title": "t", "multi_perspectives": '), _json(first), F.lit("}]")),
-        "critical_analysis": F.concat(F.lit('{"ethical_boundaries": '), _json(first), F.lit(', "core_doubts": '), F.to_json(_lines()), F.lit("}")),
-        "learning_path": F.concat(F.lit('{"beginner": '), _json(first), F.lit(', "practice": '), F.to_json(_lines()), F.lit("}")),
-        "key_quotes": F.lit('"none"'),
-    }
-    body = F.concat_ws(", ", *(F.concat(F.lit(f'"{k}": '), v) for k, v in parts.items()))
-    return (
-        F.when(first.rlike("^[A-F]"), F.concat(F.lit("Here it is:\n```json\n{"), body, F.lit("}\n```\nDone.")))
-        .when(first.rlike("^[G-L]"), F.concat(F.lit("{"), body, F.lit(", // end\n}")))
-        .when(first.rlike("^[M-R]"), F.concat(F.lit("{"), body))
-        .otherwise(F.concat(F.lit("{"), body, F.lit("}")))
-    )
+    def text(lines: Column, first: Column, head: Column) -> Column:
+        parts = {
+            "metadata": F.concat(F.lit('{"title": ['), head, F.lit(', "x"], "author": null}')),
+            "core_concepts": F.concat(F.lit("["), F.array_join(F.transform(lines, concept), ", "), F.lit("]")),
+            "key_insights": F.concat(F.lit('[{"title": "t", "multi_perspectives": '), head, F.lit("}]")),
+            "critical_analysis": F.concat(F.lit('{"ethical_boundaries": '), head, F.lit(', "core_doubts": '), F.to_json(lines), F.lit("}")),
+            "learning_path": F.concat(F.lit('{"beginner": '), head, F.lit(', "practice": '), F.to_json(lines), F.lit("}")),
+            "key_quotes": F.lit('"none"'),
+        }
+        body = F.concat_ws(", ", *(F.concat(F.lit(f'"{k}": '), v) for k, v in parts.items()))
+        return (
+            F.when(first.rlike("^[A-F]"), F.concat(F.lit("Here it is:\n```json\n{"), body, F.lit("}\n```\nDone.")))
+            .when(first.rlike("^[G-L]"), F.concat(F.lit("{"), body, F.lit(", // end\n}")))
+            .when(first.rlike("^[M-R]"), F.concat(F.lit("{"), body))
+            .otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+        )
+
+    return normalising.once(_lines(), lambda lines: normalising.once(F.get(lines, 0), lambda first: normalising.once(_json(first), lambda head: text(lines, first, head))))
 
 
 _EMPTY_TEXT = f"(?s)^\\s*(?:(?:{_any(rules.OUTPUT_PLACEHOLDERS)}).{{0,9}}|（(?:{_any(rules.OUTPUT_PLACEHOLDERS)})）)\\s*$"
@@ -82,6 +83,8 @@ def normalised_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs about every document, damaged in several ways, in the shape of a book."""
     found = load(spark, sf_dir, "documents").select("doc_id", normalising.document(_output()).alias("d"))
     books = found.select("doc_id", "d.status", normalising.book(F.col("d.document")).alias("b"))
+    # parts of which several columns are made are columns themselves, so that each is shaped once
+    parts = books.select("doc_id", "status", "b.metadata", "b.core_concepts", "b.key_insights", "b.critical_analysis", "b.learning_path", "b.key_quotes")
 
     def digest(x: Column) -> Column:
         return F.md5(x.cast("binary"))
@@ -89,12 +92,12 @@ def normalised_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def concept(c: Column) -> Column:
         return F.concat_ws("|", c["name"], c["definition"], F.concat_ws("、", c["core_drivers"]), F.concat_ws("、", F.transform(c["development_stages"], lambda s: s["name"])))
 
-    analysis = F.col("b.critical_analysis")
-    return books.select(
-        "doc_id", "status", digest(F.col("b.metadata.title")).alias("title"), F.col("b.metadata.author").alias("author"), F.size("b.core_concepts").alias("n_concepts"),
-        digest(F.array_join(F.transform("b.core_concepts", concept), "\n")).alias("concepts"), digest(F.get("b.key_insights", 0)["multi_perspectives"]["其他视角"]).alias("other_view"),
+    analysis = F.col("critical_analysis")
+    return parts.select(
+        "doc_id", "status", digest(F.col("metadata.title")).alias("title"), F.col("metadata.author").alias("author"), F.size("core_concepts").alias("n_concepts"),
+        digest(F.array_join(F.transform("core_concepts", concept), "\n")).alias("concepts"), digest(F.get("key_insights", 0)["multi_perspectives"]["其他视角"]).alias("other_view"),
         digest(analysis["ethical_boundaries"]["reasonable"]).alias("reasonable"), digest(F.array_join(F.transform(analysis["core_doubts"], lambda q: q["question"]), "\n")).alias("doubts"),
-        digest(F.get("b.learning_path.beginner", 0)).alias("beginner"), F.size("b.learning_path.practice").alias("n_practice"), F.size("b.key_quotes").alias("n_quotes"),
+        digest(F.get("learning_path.beginner", 0)).alias("beginner"), F.size("learning_path.practice").alias("n_practice"), F.size("key_quotes").alias("n_quotes"),
     )
 
 

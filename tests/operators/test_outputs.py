@@ -163,3 +163,32 @@ def test_nested_paths(spark):
     (met, asked), = rows.select(manifests.values(F.col("doc"), "a[*].b[*].c"), manifests.values(F.col("doc"), "a[*].b[*].c", absent=True)).collect()
     assert [tuple(f) for f in met] == [("a[0].b[0].c", "1"), ("a[2].b[0].c", "x")]
     assert [tuple(f) for f in asked] == [("a[0].b[0].c", "1"), ("a[0].b[1].c", None), ("a[0].b[2].c", None), ("a[2].b[0].c", "x")]
+
+
+def test_costly_values_are_worked_out_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(i):
+        calls.add(1)
+        return ['{"a": 1}', 'so: {"a": 1} x', '{"a": 1, // x\n}', '{"a": ["x"', '{"a": "x", "b":', "none"][i]
+
+    rows = spark.range(6).select(normalising.once(made(F.col("id").cast("int")), lambda x: normalising.document(x)["status"]).alias("s"))
+    assert [r.s for r in rows.collect()] == ["parsed", "extracted", "mended", "closed", "cut", "none"] and calls.value == 6
+    # the plan of a document holds the text it is of once, and each part of a book that a query uses
+    plan = spark.range(1).select(normalising.document(F.concat(F.lit("{"), F.sha2(F.col("id").cast("string"), 256))).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
+def test_split_texts(spark):
+    texts = ["a、b", " a、b ", "a 、 b、、 、c", "a、　b ", "é、ü、字", "🙂 、🙂", "a b、c", "a、b\n", "", "、"]
+    (b,) = book_of(spark, {"core_concepts": [{"core_drivers": t} for t in texts]})
+    assert [c["core_drivers"] for c in b["core_concepts"]] == [[p.strip() for p in t.split("、") if p.strip()] for t in texts]
+
+
+def test_open_ends(spark):
+    texts = ['{"a": "x\\', '{"a": "x\\\\', '{"a": ["x", \n', '{"a": ["x",\n\n\n\n\n', '{"a": ["x"], "b": {"c": [1,  ', '```json\n{"a": ["x",\n```\n', '{"a": "x\\\n']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", normalising.document("t").alias("d")).select("i", "d.status", F.to_json("d.document"))
+    got = {r[0]: (r[1], json.loads(r[2]) if r[2] else None) for r in rows.collect()}
+    assert got[0] == ("closed", {"a": "x"}) and got[1] == ("closed", {"a": "x\\"}) and got[2] == got[3] == got[5] == ("closed", {"a": ["x"]})
+    assert got[4] == ("closed", {"a": ["x"], "b": {"c": [1]}})
