@@ -7,6 +7,7 @@ import re
 
 from quire.functions import rules
 from quire.operators import markdown
+from tests.cost import shuffled
 
 
 def walk(text):
@@ -78,3 +79,17 @@ def test_reports(spark):
 
 def test_empty_table(spark):
     assert markdown.reports(table(spark).limit(0), "i").collect() == []
+
+
+def test_reports_deal_out_few_lines(spark):
+    body = "\n".join(f"plain words of line {i}, with a title" for i in range(400))
+    long = spark.createDataFrame([(i, body) for i in range(20)] + [(20, "---\ntitle: x\n---\n" + body)], "i int, text string")
+    counts = []
+    run = lambda: counts.extend(markdown.reports(long, "i").collect())
+    assert shuffled(spark, run) <= 20 + 404 and len(counts) == 21
+    assert {r.i: r.missing[0] for r in counts}[20] == "author" and all(r.total_lines == 399 for r in counts if r.i < 20)
+
+
+def test_reports_without_keys(spark):
+    rows = markdown.reports(spark.createDataFrame([(None, "TBD"), (None, "a\nb"), (None, None)], "i int, text string"), "i").collect()
+    assert sorted((r.total_lines, r.placeholders) for r in rows) == [(0, 0), (0, 1), (1, 0)]
