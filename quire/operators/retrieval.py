@@ -34,21 +34,41 @@ def idf(posted: DataFrame, pages: DataFrame) -> DataFrame:
     return d.select("token", "df", F.log((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
+#: Tokens of all queries together that every task may hold; more are joined by a shuffle.
+ASKED = 100_000
+
+
+def _title_token(title: str) -> Column:
+    """A token that no text has: it begins with a space."""
+    return F.concat(F.lit(" "), F.col(title))
+
+
 def token_search(pages: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, page_id, score) for queries (query_id, text): summed idf of shared tokens, and a bonus where the
     title has a query token as a substring. Ties go to the smaller page.
 
-    The postings are filtered by the queries' tokens before the join shuffles them; title matches run over distinct
-    titles, not over pages.
+    Titles are postings too, by a token of their own; title matches run over distinct titles, not over pages. Postings are filtered
+    by what is asked for and written, and dealt out by page, so that a page's scores are summed where they are made; how many tasks
+    share them follows the number of sums, which the frequencies of the tokens give.
     """
+    spark = pages.sparkSession
     wanted = queries.select("query_id", F.explode(tokens("text")).alias("token"))
-    posted = postings(pages).join(wanted.select("token").distinct(), "token", "left_semi")
-    weights = idf(posted, pages).select("token", "idf")
-    matched = wanted.join(weights, "token").join(posted, "token").groupBy("query_id", "page_id").agg(F.sum("idf").alias("score"))
     titles = pages.where("title is not null").select("title").distinct()
     hit = titles.join(wanted, F.col("title").contains(F.col("token"))).select("query_id", "title").distinct()
-    bonus = pages.select("page_id", "title").join(hit, "title").select("query_id", "page_id", F.lit(rules.TITLE_BONUS).alias("score"))
-    total = matched.unionByName(bonus).groupBy("query_id", "page_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    asks = wanted.withColumn("bonus", F.lit(None).cast("double")).unionByName(hit.select("query_id", _title_token("title").alias("token"), F.lit(rules.TITLE_BONUS).cast("double").alias("bonus")))
+    asks = scratch.materialize(asks, "search-asks")
+    named = F.when(F.col("title").isNotNull(), F.array(_title_token("title"))).otherwise(F.array().cast("array<string>"))
+    both = pages.select("page_id", F.explode(F.concat(F.array_union(tokens("text"), tokens("title")), named)).alias("token"))
+    posted = scratch.materialize(both.join(asks.select("token").distinct(), "token", "left_semi"), "search-postings")
+    asked = asks.join(idf(posted, pages), "token").select("token", "query_id", F.coalesce("bonus", "idf").alias("score"), "df")
+    asked = scratch.materialize(asked, "search-weights")
+    n, rows = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    asked, shares = asked.drop("df"), scratch.partitions(spark, rows)
+    if n <= ASKED:
+        scored = posted.repartition(shares, "page_id").join(F.broadcast(asked), "token")
+    else:
+        scored = posted.join(asked, "token").repartition(shares, "page_id")
+    total = scored.groupBy("query_id", "page_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return _top(total, "query_id", [F.desc("score"), F.col("page_id")], k).select("query_id", "rank", "page_id", "score")
 
 
